@@ -7,19 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import bpe
+from tidewell.llm import bpe, credentials
 from tidewell.llm.workspace import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.digest(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_texts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_bpe": op5_bpe}
+    return {"op1_secrets": op1_secrets, "op5_bpe": op5_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secrets": credentials.ORACLE_SQL}
