@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import bpe, credentials
-from tidewell.llm.workspace import documents
+from tidewell.llm import bpe, credentials, quality
+from tidewell.llm.workspace import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,12 +17,17 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.digest(documents(spark, sf_dir))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_texts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_secrets": op1_secrets, "op5_bpe": op5_bpe}
+    return {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op5_bpe": op5_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
