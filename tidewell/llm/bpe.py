@@ -25,6 +25,8 @@ NONE = np.int32(2**31 - 1)
 CELLS = 1 << 19
 #: Pieces of more bytes are merged one at a time with a heap: in a matrix their cost is quadratic.
 LONG = 1024
+#: Characters of texts whose pieces are looked up together, about.
+BLOCK = 1 << 21
 #: Pieces a worker remembers.
 REMEMBERED = 400_000
 
@@ -188,16 +190,22 @@ class Encoder:
 
     def pieces(self, texts: list[str]) -> Iterator[list[tuple[str, bytes, int]]]:
         """For each text its pieces as (ids joined by commas, bytes decoded from the ids, number of ids)."""
-        for text in texts:
-            parts, seen = self.find(text), self.seen
-            new = [p for p in set(parts) if p not in seen]
-            if new:
-                if len(seen) + len(new) > REMEMBERED:
-                    seen.clear()
-                    new = list(set(parts))
-                for p, ids in zip(new, self.codec.encode([p.encode() for p in new]), strict=True):
-                    seen[p] = (",".join(map(str, ids)), self.codec.decode(ids), len(ids))
-            yield [seen[p] for p in parts]
+        at = 0
+        while at < len(texts):
+            block, size = [], 0
+            while at < len(texts) and size < BLOCK:  # new pieces of many texts share their matrices
+                block.append(self.find(texts[at]))
+                size += len(texts[at])
+                at += 1
+            every, seen = set().union(*block), self.seen
+            new = [p for p in every if p not in seen]
+            if len(seen) + len(new) > REMEMBERED:
+                seen.clear()
+                new = list(every)
+            for p, ids in zip(new, self.codec.encode([p.encode() for p in new]), strict=True):
+                seen[p] = (",".join(map(str, ids)), self.codec.decode(ids), len(ids))
+            for parts in block:
+                yield [seen[p] for p in parts]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
