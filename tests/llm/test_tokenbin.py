@@ -1,0 +1,63 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+P = pytest.importorskip("public_tokenizers")
+tokenizers = pytest.importorskip("tokenizers")
+
+from tidewell.llm import tokenbin
+from tidewell.llm.workspace import documents
+
+PATH = P.path("byte_bpe_50k.json")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=1500), st.randoms())
+def test_codes_are_addressable(values, rng):
+    cut = rng.randint(0, len(values))
+    shard = tokenbin.Shard(tokenbin.write_shard([7, None], np.array([cut, len(values) - cut]), np.array(values, np.uint32)))
+    assert shard.doc_ids == [7, None] and shard.document(0).tolist() == values[:cut] and shard.document(1).tolist() == values[cut:]
+    for _ in range(20):
+        if values:
+            k = rng.randrange(len(values))
+            assert shard.token(k) == values[k]
+            end = rng.randint(k, len(values))
+            assert shard.tokens(k, end).tolist() == values[k:end]
+    with pytest.raises(IndexError):
+        shard.token(len(values))
+
+
+def test_blocks_as_the_library():
+    library = tokenizers.Tokenizer.from_file(PATH)
+    rng = random.Random(2)
+    alphabet = "abcdeé ñ\n\t漢字🚀.,!? 0123 the ing\x85\xa0\x1c"
+    texts = ["", "a<|endoftext|>b", " ", "'s's", "x y", *["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 200))) for _ in range(300)]]
+    got = tokenbin.Encoder(PATH, P.PATTERN).block(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def want(rows):
+    library, out, start = tokenizers.Tokenizer.from_file(PATH), [], 0
+    for k, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, tokenbin.END_ID]
+        out.append((k is not None, k or 0, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_round_trip(spark):
+    rows = [(5, "one two"), (1, None), (3, ""), (None, "null key"), (3, "again"), (3, "again"), (-4, "é " * 3000)]
+    df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, start int")
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in tokenbin.round_trip(df, PATH, P.PATTERN).collect())
+    assert got == want(rows)
+    assert tokenbin.round_trip(df.limit(0), PATH, P.PATTERN).collect() == []
+
+
+def test_whole_table(spark):
+    docs = documents(spark, "/root/testdata/sf0.001")
+    got = sorted((True, r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenbin.round_trip(docs, PATH, P.PATTERN).collect())
+    assert got == want([(r.doc_id, r.text) for r in docs.collect()])

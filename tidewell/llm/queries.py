@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import bpe, credentials, packing, quality
+from tidewell.llm import bpe, credentials, packing, quality, tokenbin
 from tidewell.llm.workspace import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,12 +26,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_texts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op9_packing": op9_packing}
+    return {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op8_token_files": op8_token_files, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
