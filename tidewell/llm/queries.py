@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import bpe, credentials, packing, quality, tokenbin
+from tidewell.llm import bpe, credentials, packing, quality, tokenbin, toxicity
 from tidewell.llm.workspace import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,8 +34,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("abuse")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op8_token_files": op8_token_files, "op9_packing": op9_packing}
+    return {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op8_token_files": op8_token_files, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
