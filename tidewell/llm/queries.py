@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, credentials, packing, quality, tokenbin, toxicity
+from tidewell.llm import bpe, credentials, nearest, packing, quality, tokenbin, toxicity
 from tidewell.llm.workspace import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_texts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -40,7 +45,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op8_token_files": op8_token_files, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
+    return {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op6_nearest": op6_nearest, "op8_token_files": op8_token_files, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
