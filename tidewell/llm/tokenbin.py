@@ -16,10 +16,12 @@ level uint64 codes, the chunks, the bitmap (least bit first, padded to 64 bytes)
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ SHARD = 1 << 21
 #: Bits that the rank directory has a sum for.
 SPAN = 512
 #: Pieces a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: The split below and the library's agree on all characters whose first UTF-8 byte is smaller.
 AGREED = 0xD5
 SPECIAL = "<|"
@@ -131,21 +133,47 @@ class Shard:
         return self.tokens(int(self.starts[nth]), int(self.starts[nth + 1]))
 
 
+class Memory:
+    """What was made for a key. When full, it keeps what it held as a second generation, for one more turn."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]]) -> None:
+        self.make = make
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, keys: set[str]) -> dict[str, bytes]:
+        """Where all the keys are found."""
+        new = keys - self.now.keys()
+        if len(self.now) + len(new) > REMEMBERED:
+            self.old, self.now, new = self.now, {}, keys
+        old, fresh = self.old, []
+        for k in new:
+            if k in old:
+                self.now[k] = old[k]
+            else:
+                fresh.append(k)
+        self.now.update(zip(fresh, self.make(fresh), strict=True))
+        return self.now
+
+
 class Encoder:
-    """The library's ids of whole texts; pieces that came before are remembered."""
+    """The library's ids of whole texts.
 
-    def __init__(self, path: str, pattern: str) -> None:
-        import os
+    Ids of a text are those of its pieces, one after the other, so pieces are encoded once and
+    remembered. Texts with special tokens, or with scripts that the two splits might see differently,
+    are given to the library whole.
+    """
 
+    def __init__(self, path: str, pattern: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.find = regex.compile(pattern).findall
-        self.seen: dict[str, bytes] = {}
+        self.pieces = Memory(self._pack)
 
     def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def block(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -157,15 +185,9 @@ class Encoder:
             split.append(self.find(text) if plain else None)
             if not plain:
                 whole.append(text)
-        every, seen = set().union(*(p for p in split if p is not None)), self.seen
-        new = [p for p in every if p not in seen]
-        if len(seen) + len(new) > REMEMBERED:
-            seen.clear()
-            new = list(every)
-        for p, ids in zip(new, self._pack(new), strict=True):
-            seen[p] = ids
+        found = self.pieces.learn(set().union(*(p for p in split if p is not None)))
         packed = iter(self._pack(whole))
-        return [next(packed) if parts is None else b"".join([seen[p] for p in parts]) for parts in split]
+        return [next(packed) if parts is None else b"".join([found[p] for p in parts]) for parts in split]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -184,11 +206,13 @@ def write_files(df: DataFrame, folder: str, path: str, pattern: str, key: str =
     """Encodes and writes the texts of df in ascending order of key; returns the manifest, a row a file.
 
     ``folder``: a URI that all machines can write to. Each row's ids end with ``end_id``. A null text
-    counts as empty; null keys come first; rows of one key follow each other, by text. The manifest
-    must be stored once: running it again writes the files again.
+    counts as empty; null keys come first; rows of one key follow each other, by a hash of the text.
+    The manifest must be stored once: running it again writes the files again.
     """
     ordered = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    ordered = ordered.repartitionByRange("k", "t").sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
+    # the bounds of the ranges come from a sample at the driver, so the texts themselves are no key
+    ordered = ordered.withColumn("tie", F.xxhash64("t")).repartitionByRange("k", "tie")
+    ordered = ordered.sortWithinPartitions(F.col("k").asc_nulls_first(), "tie").select("k", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
