@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, credentials, nearest, packing, quality, tokenbin, toxicity
+from tidewell.llm import bpe, credentials, nearest, packing, quality, substrings, tokenbin, toxicity
 from tidewell.llm.workspace import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -45,8 +49,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op6_nearest": op6_nearest, "op8_token_files": op8_token_files, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
+    return {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op6_nearest": op6_nearest, "op7_substrings": op7_substrings, "op8_token_files": op8_token_files, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": credentials.ORACLE_SQL, "op9_packing": packing.ORACLE_SQL}
+    return {"op1_secrets": credentials.ORACLE_SQL, "op7_substrings": substrings.ORACLE_SQL, "op9_packing": packing.ORACLE_SQL}
