@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, credentials, nearest, packing, quality, substrings, tokenbin, toxicity
+from tidewell.llm import bpe, credentials, nearest, packing, quality, setjoin, substrings, tokenbin, toxicity
 from tidewell.llm.workspace import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.digest(documents(spark, sf_dir))
 
 
+def op2_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join(documents(spark, sf_dir))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -49,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op6_nearest": op6_nearest, "op7_substrings": op7_substrings, "op8_token_files": op8_token_files, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
+    return {"op1_secrets": op1_secrets, "op2_setjoin": op2_setjoin, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op6_nearest": op6_nearest, "op7_substrings": op7_substrings, "op8_token_files": op8_token_files, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
