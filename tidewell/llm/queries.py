@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, credentials, nearest, packing, quality, setjoin, substrings, tokenbin, toxicity
+from tidewell.llm import bpe, credentials, lines, nearest, packing, quality, setjoin, substrings, tokenbin, toxicity
 from tidewell.llm.workspace import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_texts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -53,7 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_secrets": op1_secrets, "op2_setjoin": op2_setjoin, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op6_nearest": op6_nearest, "op7_substrings": op7_substrings, "op8_token_files": op8_token_files, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
+    return {"op1_secrets": op1_secrets, "op2_setjoin": op2_setjoin, "op3_quality": op3_quality, "op4_lines": op4_lines, "op5_bpe": op5_bpe, "op6_nearest": op6_nearest, "op7_substrings": op7_substrings, "op8_token_files": op8_token_files, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
