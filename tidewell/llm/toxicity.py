@@ -14,6 +14,7 @@ labels the lexicon is empty and all scores are 0.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.workspace import Workspace
+
 #: Labelled rows learned from, at most: the first by a hash of their doc_id.
 SAMPLE = 20_000
 #: Terms and stems of a lexicon, at most of each: the strongest.
 TERMS, STEMS = 4096, 256
-#: Toxic documents a term must be in, and how much likelier it must be there (as a log).
-LEAST, ODDS = 4, 3.0
+#: Toxic documents a term must be in (and their share), and how much likelier it must be there (as a log).
+LEAST, SHARE, ODDS = 4, 0.01, 3.0
 #: Distinct words that make a beginning a stem; letters of a stem.
 BEGUN, STEM_LETTERS = 4, (4, 5, 6)
 #: Words on either side that tell quotation from abuse, and what a quoted hit counts.
@@ -59,23 +62,27 @@ class Trie:
     """Terms, for the intersection with a word's automaton."""
 
     root: dict = field(default_factory=dict)
-    halves: set = field(default_factory=set)
-    sizes: set = field(default_factory=set)
+    patterns: list[str] = field(default_factory=list)
+    likely: re.Pattern | None = None
 
     def add(self, term: str) -> None:
         node = self.root
         for c in term:
             node = node.setdefault(c, {})
         node[""] = term
-        parts = tolerance(len(term)) + 1
-        if parts > 1:  # with one edit fewer than parts, one part stands unchanged, at most so many places off
-            cuts = [len(term) * k // parts for k in range(parts + 1)]
-            self.halves.update(term[a:b] for a, b in zip(cuts, cuts[1:]))
-            self.sizes = {len(h) for h in self.halves}
+        edits = tolerance(len(term))
+        if edits:  # with so many edits, one of edits + 1 parts stands unchanged, at most so many places off
+            cuts = [len(term) * k // (edits + 1) for k in range(edits + 2)]
+            for a, b in zip(cuts, cuts[1:]):
+                after = len(term) - b
+                self.patterns.append(f".{{{max(0, a - edits)},{a + edits}}}{re.escape(term[a:b])}.{{{max(0, after - edits)},{after + edits}}}")
+            self.likely = None
 
     def near(self, word: str) -> str | None:
         """A term within its tolerance of word; the nearest, of equals the first by alphabet."""
-        if not any(word[i : i + n] in self.halves for n in self.sizes for i in range(len(word) - n + 1)):
+        if self.likely is None:
+            self.likely = re.compile("|".join(self.patterns) or "(?!)", re.DOTALL)
+        if not self.likely.fullmatch(word):
             return None
         best: tuple[int, str] | None = None
         stack = [(self.root, list(range(len(word) + 1)), "")]
@@ -190,7 +197,7 @@ def lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple
     ranked = []
     for word, t, c in counts:
         odds = float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)))
-        if t >= LEAST and odds >= ODDS:
+        if t >= max(LEAST, SHARE * toxic) and odds >= ODDS:
             ranked.append((-odds * np.sqrt(t), word))
     ranked.sort()
     words = [w for _, w in ranked if not w.endswith("*")]
@@ -218,7 +225,12 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     rated = rated.groupBy("k").agg(F.min("y").cast("int").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     sample = rated.orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
     part = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(3)).cast("int")
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").select(F.coalesce("t", F.lit("")).alias("t"), "y", part.alias("part"))
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").select("k", F.coalesce("t", F.lit("")).alias("t"), "y", part.alias("part"))
+    # copies of one document would make terms of all its words: of those with the same least words one counts
+    hashes = F.transform(F.split(F.lower("t"), r"\s+"), lambda w: F.xxhash64(w))
+    rows = rows.withColumn("least", F.slice(F.sort_array(F.array_distinct(hashes)), 1, 2)).groupBy("least", "y")
+    rows = rows.agg(F.min_by(F.struct("t", "part"), F.struct("k", F.xxhash64("t"))).alias("one")).select("one.t", "y", "one.part")
+    rows = Workspace(df.sparkSession, "toxicity").put(rows, "sample")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
