@@ -1,18 +1,67 @@
-"""Documents to training batches, stage by stage."""
+"""Documents to training batches, stage by stage.
+
+Each stage takes what the one before kept and returns the columns of ``documents``; the last returns
+the places of the documents in batches.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.llm import credentials, lines, packing, quality, setjoin
+from tidewell.llm.workspace import Workspace, documents, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the learned list accept."""
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that another has in the same or a similar form first."""
+    return _counted(lines.dedup(docs).drop("n_removed_lines"))
+
+
+def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links join: the one of least doc_id, and of equals the least row."""
+    ws = Workspace(spark, "groups")
+    found = ws.put(setjoin.join(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct(), "first")
+    kept = docs.join(found, "doc_id", "left_semi")
+    nameless = docs.where("doc_id is null")  # no id, no group: they stay
+    return kept.unionByName(nameless).groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64(*docs.columns)).alias("own")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with the spans of secrets masked."""
+    return _counted(credentials.redact(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Length buckets and batches."""
+    return packing.pack(docs)
 
-from tidewell.llm.workspace import documents
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", jaccard_dedup),
+    ("secret scans", secret_scan),
+    ("packing", pack),
+]
 
+#: The learned list and the signatures of lines are not for SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written and read again."""
+    ws = Workspace(spark, "pipeline")
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for number, (_, stage) in enumerate(STAGES):
+        docs = ws.put(stage(spark, docs, sf_dir), f"stage-{number}")
     return docs
