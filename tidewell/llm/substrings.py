@@ -113,6 +113,9 @@ class FingerprintIndex:
         """(hash, doc, place) of fingerprints that all runs together have twice or more."""
         runs = self.runs()
         twice = runs.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+        # from a table of its own, so that a hash of very many documents can be split in the join
+        twice = self.ws.put(twice, f"twice-{self.made:06d}")
+        self.ws.tidy()
         return runs.join(twice, "hash")
 
     def matches(self, batch: DataFrame) -> DataFrame:
@@ -208,12 +211,16 @@ def repeated_windows(docs: DataFrame, ws: Workspace, width: int = WIDTH, gram: i
         index.add(fingerprints(docs.where(F.pmod(F.shiftrightunsigned("doc", 8), F.lit(batches)) == n), width, gram))
     candidates = ws.put(index.repeated().groupBy("doc").agg(F.collect_set("place").alias("places")), "candidates")
     ws.drop(*index.names)
+    ws.tidy()
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     asked = maybe(docs, candidates).where("likely").select("doc", "text").join(candidates, "doc").select("doc", "text", "places")
     windows = ws.put(asked.mapInArrow(_windows(width, gram, buckets), "bucket int, docs binary, places binary, windows binary"), "windows")
     known = windows.where("bucket is null").select("docs", "places").mapInArrow(_unpacked, "doc bigint, places binary")
     shared = windows.where("bucket is not null").groupBy("bucket").applyInArrow(_compared, "doc bigint, places binary")
-    return ws.put(known.unionByName(shared), "repeated")
+    out = ws.put(known.unionByName(shared), "repeated")
+    ws.drop("windows")
+    ws.tidy()
+    return out
 
 
 def _covered(n: int, places: np.ndarray, width: int) -> np.ndarray:

@@ -8,6 +8,7 @@ input again. Where the setting is absent (tests, a laptop) a local folder is set
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -49,8 +50,14 @@ class Workspace:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back: what follows starts from files, not from df's lineage."""
+        schema = df.schema
         df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        return self.spark.read.schema(schema).parquet(self.path(name))
+
+    def tidy(self) -> None:
+        """Lets go of the shuffle files that no plan needs any more, now rather than some time."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def drop(self, *names: str) -> None:
         """Removes tables that nothing will read any more."""
