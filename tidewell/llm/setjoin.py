@@ -8,19 +8,24 @@ than H, some segment differs in d(i) shingles at most: none (the segments are eq
 equals the other, or one of them less one shingle: its one-deletion neighbourhood).
 
 Each class indexes its segments in the scheme of its band (in bands of small sets also their
-one-deletion neighbourhoods) and probes, as the larger of a pair, the schemes of its band and of
-those below. Which segments it probes is allotted by cost: it takes those whose rarest shingle is in
-the fewest documents, by a count-min sketch over all documents. A shared passage or an empty segment
-thus is probed only if nothing better is left; nothing is left out.
-
-Entries of equal hash meet in buckets. In a group of classes each is compared with one of them; then
-only pairs of classes that are not yet connected are, and of these only such that their distances to
-the first allow it (Jaccard distance is a metric). So no link between different components is lost,
-and groups of thousands of near copies cost a comparison or two for each.
+one-deletion neighbourhoods) and looks up, as the larger of a pair, the schemes of its band and of
+those below. Entries of equal hash meet in buckets, so it is known how many classes share each
+segment, and what it is allotted goes by cost: segments that nobody shares are free, and then those
+that the fewest share are probed, until the sum is reached. A class with enough segments of its own
+probes nothing, whatever passages it shares. Nothing is left out.
+
+Classes that share a probed group are candidates. All candidates of a class lie in its coarse
+component (of classes that share groups), which is compared in blocks of bounded size, and then block
+against block where it has several and they are not all connected yet. In a block those that share
+most groups are compared first, and pairs that are in one component by then not at all; texts are
+shipped once for each block, never for each pair. So no link between different components is lost, and
+groups of thousands of near copies cost a few comparisons each.
 
 Defined cases: a document without words (or null) has an empty set and no links. A document of fewer
 than five words has its whole sequence as its one shingle. Repeated rows stay repeated. Only the key
-and the text are read. Sets are compared by 64-bit hashes of their shingles.
+and the text are read. Sets are compared by 64-bit hashes of their shingles. In bands of large sets
+empty segments are not indexed; schemes have a quarter more segments than are needed, so that a set
+with too few filled ones has a probability of less than 1e-8.
 """
 
 from __future__ import annotations
@@ -41,11 +46,15 @@ from tidewell.llm.workspace import Workspace
 SHINGLE = 5
 #: Similar: SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (75, 100)
-CELLS = 1 << 16
 #: Bands whose largest sets are at most so large also index one-deletion neighbourhoods.
 SMALL = 128
-SLACK = 1.2
-PROBE = np.uint32(1 << 31)
+SLACK = 1.25
+#: An entry's owner: the number of its class in the block, its band, and whether it is an index entry.
+NUMBER, BAND, INDEX = np.uint32((1 << 24) - 1), 24, np.uint32(1 << 31)
+#: Classes of a coarse component that are compared in one task, about.
+BLOCK = 1024
+#: The segment noted for entries of large sets.
+ANY = 255
 
 
 def shingle_sets(texts: list[bytes], length: int = SHINGLE) -> list[np.ndarray]:
@@ -112,86 +121,56 @@ def differences(x: int, y: int) -> int:
     return (x + y) * (SHARE[1] - SHARE[0]) // (SHARE[1] + SHARE[0])
 
 
-def entries(s: np.ndarray, band: int, m: int, small: bool, index: bool, differ: int | None, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a set's entries in a scheme, and which of them it probes.
+def entries(s: np.ndarray, band: int, m: int, small: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of a set's entries in a scheme, the segment of each, and the number of segments that count.
 
-    ``differ``: probe for sets of so many differences; None: index only.
+    Small sets: every segment, and every segment less one shingle. Large ones: the filled segments.
     """
     salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 % 2**64)
     places = ((wordhash.mixed(s ^ salt) >> np.uint64(16)) % np.uint64(m)).astype(np.int64)
-    order = np.argsort(places, kind="stable")
-    ordered, placed = s[order], places[order]
-    sizes = np.bincount(placed, minlength=m)
-    terms = wordhash.mixed(ordered * np.uint64(0xD6E8FEB86659FD93) + salt)
-    filled = np.flatnonzero(sizes)
-    begin = np.cumsum(sizes) - sizes
-    sums = np.zeros(m, np.uint64)
-    cost = np.full(m, np.inf)
-    counts = cells[(ordered & np.uint64(CELLS - 1)).astype(np.int64)]
-    if len(filled):
-        sums[filled] = np.add.reduceat(terms, begin[filled])
-        cost[filled] = np.minimum.reduceat(counts, begin[filled])
+    terms = wordhash.mixed(s * np.uint64(0xD6E8FEB86659FD93) + salt)
+    sums, sizes = np.zeros(m, np.uint64), np.bincount(places, minlength=m)
+    np.add.at(sums, places, terms)
     seat = np.arange(m, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + salt
     full = wordhash.mixed(sums ^ seat)
-    probe = np.zeros(m, np.int64)  # 0: none, 1: equal segments, 2: also one deletion
-    if differ is not None:
-        left = differ + 1
-        by_cost = np.lexsort((-sizes, cost))
-        if not small:
-            probe[by_cost[:left]] = 1
-        else:
-            # two for the price of a neighbourhood: its cost is a look-up for each shingle of the segment
-            probe[by_cost[: -(-left // 2)]] = 2
-            if left % 2:
-                probe[by_cost[left // 2]] = 1
     if not small:
-        chosen = np.arange(m) if index else np.flatnonzero(probe)
-        return full[chosen], probe[chosen] > 0
-    less = wordhash.mixed((sums[placed] - terms) ^ seat[placed])
-    whole = np.arange(m) if index else np.flatnonzero(probe)
-    part = np.arange(len(s)) if index else np.flatnonzero(probe[placed] > 1)
-    return np.concatenate([full[whole], less[part]]), np.concatenate([probe[whole] > 0, probe[placed[part]] > 1])
+        filled = np.flatnonzero(sizes)
+        return full[filled], np.full(len(filled), ANY, np.uint8), len(filled)
+    less = wordhash.mixed((sums[places] - terms) ^ seat[places])
+    return np.concatenate([full, less]), np.concatenate([np.arange(m), places]).astype(np.uint8), m
 
 
 def with_sets(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """(id, size, doc, cells): doc is the class; the last row of a task has the task's counts of shingles."""
+    """(id, size, doc): doc is the class, null for empty sets."""
     kind = df.select(F.col(key)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, id_type = np.zeros(CELLS, np.int64), None
-        names = ["id", "size", "doc", "cells"]
         for batch in batches:
-            id_type = batch.column(0).type
             sizes, classes = [], []
             for _, texts in wordhash.blocks(batch.column(1).to_pylist()):
-                sets = shingle_sets(texts, length)
-                sizes += [len(s) for s in sets]
-                classes += [class_of(s) if len(s) else None for s in sets]
-                if sets:
-                    cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(len(sizes), pa.binary())], names)
-        if id_type is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([cells.astype("<i8").tobytes()], pa.binary())], names)
+                for s in shingle_sets(texts, length):
+                    sizes.append(len(s))
+                    classes.append(class_of(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], ["id", "size", "doc"])
 
-    return df.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, size bigint, doc bigint, cells binary")
+    return df.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, size bigint, doc bigint")
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CELLS, np.int64)
-    for b in batches:
-        for raw in b.column(0).to_pylist():
-            total += np.frombuffer(raw, "<i8")
-    yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["cells"])
+PACKED = "bucket int, classes binary, hashes binary, owners binary, segments binary, needs binary"
 
 
-def _signed(cells, length: int, buckets: int):
-    """Texts to packed entries: a row for each block of texts and bucket."""
+def _signed(length: int, buckets: int):
+    """Texts to packed entries: a row for each block of texts and bucket.
+
+    ``needs`` (int64, four to a class and band): class, band, what its segments must sum to, what they
+    would sum to if it shared none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, schemes, seen = np.frombuffer(cells.value, "<i8"), Schemes(), set()
+        schemes, seen = Schemes(), set()
         for batch in batches:
             for _, texts in wordhash.blocks(batch.column(0).to_pylist()):
-                classes, found, owner, probing = [], [], [], []
+                classes, found, owner, segment, needs = [], [], [], [], []
                 for s in shingle_sets(texts, length):
                     c = class_of(s)
                     if not len(s) or c in seen:
@@ -201,114 +180,185 @@ def _signed(cells, length: int, buckets: int):
                     seen.add(c)
                     own = schemes.of(len(s))
                     for band, differ in schemes.below(len(s)):
-                        hashes, probe = entries(s, band, schemes.segments(band), schemes.bands[band][1] <= SMALL, band == own, differ, counts)
+                        small = schemes.bands[band][1] <= SMALL
+                        hashes, places, count = entries(s, band, schemes.segments(band), small)
                         found.append(hashes)
-                        owner.append(np.where(probe, np.uint32(len(classes)) | PROBE, np.uint32(len(classes))))
+                        segment.append(places)
+                        tag = np.uint32(len(classes) | band << BAND) | (INDEX if band == own else np.uint32(0))
+                        owner.append(np.full(len(hashes), tag, np.uint32))
+                        needs.append((c, band, differ + 1, count * (2 if small else 1)))
                     classes.append(c)
                 if not classes:
                     continue
-                hashes, owners = np.concatenate(found), np.concatenate(owner)
+                hashes, owners, places = np.concatenate(found), np.concatenate(owner), np.concatenate(segment)
                 deal = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(deal, kind="stable")
-                hashes, owners, deal = (hashes[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), owners[order].astype("<u4"), deal[order]
+                hashes, owners, places, deal = (hashes[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), owners[order].astype("<u4"), places[order], deal[order]
                 ends = np.searchsorted(deal, np.arange(buckets + 1))
-                names = np.array(classes, "<i8").tobytes()
-                full = [b for b in range(buckets) if ends[b] < ends[b + 1]]
+                names, need = np.array(classes, "<i8").tobytes(), np.array(needs, "<i8")
+                home = need[:, 0] % buckets
+                full = [b for b in range(buckets) if ends[b] < ends[b + 1] or (home == b).any()]
                 columns = [pa.array(full, pa.int32()), pa.array([names] * len(full), pa.binary())]
-                columns += [pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary()) for x in (hashes, owners)]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "classes", "hashes", "owners"])
+                columns += [pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary()) for x in (hashes, owners, places)]
+                columns.append(pa.array([need[home == b].tobytes() for b in full], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "classes", "hashes", "owners", "segments", "needs"])
 
     return run
 
 
+GROUPS = ["gid", "pivot", "doc", "band", "segment", "n", "members", "need", "free"]
+
+
 def _grouped(rows: pa.Table) -> pa.Table:
-    """Groups of classes with an equal entry that one of them probes: (gid, pivot, doc, probe, n).
+    """Classes that share an entry, one of them an index entry: a row for each member of each group.
 
-    Groups of the same members are one, n times.
+    Groups of the same members (and, of small sets, for the same segment) are one, n times. Rows with
+    a null gid are the needs of a class in a band.
     """
-    hashes, classes, probes = [], [], []
-    for names, h, o in zip(*(rows.column(c).to_pylist() for c in ("classes", "hashes", "owners")), strict=True):
+    hashes, classes, owners, places = [], [], [], []
+    for names, h, o, g in zip(*(rows.column(c).to_pylist() for c in ("classes", "hashes", "owners", "segments")), strict=True):
         own = np.frombuffer(o, "<u4")
         hashes.append(np.frombuffer(h, "<u4"))
-        classes.append(np.frombuffer(names, "<i8")[(own & ~PROBE).astype(np.int64)])
-        probes.append(own >= PROBE)
-    h, c, p = np.concatenate(hashes), np.concatenate(classes), np.concatenate(probes)
+        classes.append(np.frombuffer(names, "<i8")[(own & NUMBER).astype(np.int64)])
+        owners.append(own & ~NUMBER)
+        places.append(np.frombuffer(g, np.uint8))
+    h, c, o, g = np.concatenate(hashes), np.concatenate(classes), np.concatenate(owners), np.concatenate(places)
     # most entries stand alone: drop them before the larger sort
     order = np.argsort(h, kind="stable")
-    h, c, p = h[order], c[order], p[order]
-    same = h[1:] == h[:-1]
-    many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    h, c, p = h[many], c[many], p[many]
-    order = np.lexsort((c, h))
-    h, c, p = h[order], c[order], p[order]
-    out = [np.zeros(0, np.int64)] * 5
+    sorted_h = h[order]
+    same = sorted_h[1:] == sorted_h[:-1]
+    many = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(h) else order
+    h, c, o, g = h[many], c[many], o[many], g[many]
+    order = np.lexsort((c, g, o & ~INDEX, h))
+    h, c, o, g = h[order], c[order], o[order], g[order]
+    band = ((o & ~INDEX) >> np.uint32(BAND)).astype(np.int64)
+    whole = (h.astype(np.uint64) << np.uint64(24)) | (band.astype(np.uint64) << np.uint64(8)) | g.astype(np.uint64)
+    out = [np.zeros(0, np.int64)] * 7
     if len(h):
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-        at = np.flatnonzero(new)
-        h, c, p = h[at], c[at], np.logical_or.reduceat(p, at)
-        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.concatenate([begin, [len(h)]]))
+        at = np.flatnonzero(np.concatenate([[True], (whole[1:] != whole[:-1]) | (c[1:] != c[:-1])]))
+        index = np.logical_or.reduceat(o >= INDEX, at)
+        whole, c, band, g = whole[at], c[at], band[at], g[at]
+        begin = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
+        size = np.diff(np.concatenate([begin, [len(c)]]))
         group = np.repeat(np.arange(len(begin)), size)
-        good = (size > 1) & np.logical_or.reduceat(p, begin)
-        members = wordhash.mixed(c.view(np.uint64) * np.uint64(2) + p.astype(np.uint64))
-        kind = wordhash.mixed(np.add.reduceat(members, begin) + size.astype(np.uint64))
-        kinds, one, n = np.unique(kind[good], return_index=True, return_counts=True)
-        chosen = np.flatnonzero(good)[one]
+        good = (size > 1) & np.logical_or.reduceat(index, begin)
+        members = np.add.reduceat(wordhash.mixed(c.view(np.uint64)), begin)
+        kind = wordhash.mixed(members + (band[begin].astype(np.uint64) << np.uint64(8)) + g[begin].astype(np.uint64) + (size.astype(np.uint64) << np.uint64(20)))
+        _, one, n = np.unique(kind[good], return_index=True, return_counts=True)
         times = np.zeros(len(begin), np.int64)
-        times[chosen] = n
+        times[np.flatnonzero(good)[one]] = n
         keep = times[group] > 0
-        out = [kind.view(np.int64)[group][keep], c[begin][group][keep], c[keep], p[keep].astype(np.int64), times[group][keep]]
-    return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in out], ["gid", "pivot", "doc", "probe", "n"])
-
+        out = [kind.view(np.int64)[group][keep], c[begin][group][keep], c[keep], band[keep], g[keep].astype(np.int64), times[group][keep], size[group][keep]]
+    need = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 4) for x in rows.column("needs").to_pylist()])
+    need = np.unique(need, axis=0)  # a class that several tasks met
+    columns = [pa.array(x, pa.int64()) for x in [*out, np.zeros(len(out[0]), np.int64), np.zeros(len(out[0]), np.int64)]]
+    none = pa.nulls(len(need), pa.int64())
+    asked = [none, none, pa.array(need[:, 0]), pa.array(need[:, 1]), none, none, none, pa.array(need[:, 2]), pa.array(need[:, 3])]
+    return pa.concat_tables([pa.Table.from_arrays(columns, GROUPS), pa.Table.from_arrays(asked, GROUPS)])
+
+
+def allotted(made: DataFrame) -> DataFrame:
+    """Members of groups, with ``probe``: 1 where a class probes the group by the allotment of least cost."""
+    groups = made.where("gid is not null")
+    needs = made.where("gid is null").groupBy("doc", "band").agg(F.max("need").alias("need"), F.max("free").alias("free"))
+    # a large set's segments count one each, however often they share a group; a small set's count two, with all their entries
+    seat = F.when(F.col("segment") == ANY, F.col("gid")).otherwise(F.col("segment"))
+    units = F.when(F.first("segment") == ANY, F.sum("n")).otherwise(2)
+    parts = groups.groupBy("doc", "band", seat.alias("seat")).agg(units.alias("units"), F.sum(F.col("n") * F.col("members")).alias("cost"))
+    sums = parts.groupBy("doc", "band").agg(F.sum("units").alias("shared")).join(needs, ["doc", "band"])
+    asked = sums.select("doc", "band", (F.col("need") - F.col("free") + F.col("shared")).alias("left")).where("left > 0")
+    order = Window.partitionBy("doc", "band").orderBy(F.col("cost") / F.col("units"), "seat").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = parts.join(asked, ["doc", "band"]).withColumn("before", F.coalesce(F.sum("units").over(order), F.lit(0))).where("before < left").select("doc", "band", "seat", F.lit(1).alias("probe"))
+    out = groups.withColumn("seat", seat).join(chosen, ["doc", "band", "seat"], "left")
+    return out.select("gid", "pivot", "doc", F.coalesce("probe", F.lit(0)).alias("probe"), "n")
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    small, large = sorted((len(x), len(y)))
+    if small * SHARE[1] < large * SHARE[0]:
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    inner = int((both[1:] == both[:-1]).sum())
+    return SHARE[1] * inner >= SHARE[0] * (small + large - inner)
+
+
+def _links(docs: list[int], roots: list[int], gids: list[list[int]], probes: list[list[int]], sets: list[np.ndarray], sides: list[int] | None) -> list[tuple[int, int]]:
+    """Links that join the components of one block's classes, and no more.
+
+    Candidates share a group that one of them probes. Those that share most are compared first, and
+    pairs that are in one component by then not at all. ``sides``: only pairs across sides count.
+    """
+    root: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while root.get(r, r) != r:
+            root[r] = root.get(root[r], root[r])
+            r = root[r]
+        return r
+
+    by: dict[int, list[tuple[int, int]]] = {}
+    for k, (own, flags) in enumerate(zip(gids, probes, strict=True)):
+        for g, f in zip(own, flags, strict=True):
+            by.setdefault(g, []).append((k, f))
+    n = len(docs)
+    shared = np.zeros((n, n), np.int32)
+    for members in by.values():
+        if len(members) > 1 and any(f for _, f in members):
+            at, asks = np.array([k for k, _ in members]), np.array([f for _, f in members], bool)
+            shared[np.ix_(at, at)] += (asks[:, None] | asks[None, :]).astype(np.int32)
+    shared = np.triu(shared, 1)
+    if sides is not None:
+        side = np.array(sides)
+        shared[side[:, None] == side[None, :]] = 0
+    sizes = np.array([len(x) for x in sets])
+    shared[sizes[:, None] * SHARE[1] < sizes[None, :] * SHARE[0]] = 0
+    shared[sizes[None, :] * SHARE[1] < sizes[:, None] * SHARE[0]] = 0
+    a, b = np.nonzero(shared)
+    order = np.argsort(-shared[a, b], kind="stable")
+    out = []
+    for i, j in zip(a[order].tolist(), b[order].tolist()):
+        ri, rj = find(roots[i]), find(roots[j])
+        if ri != rj and _linked(sets[i], sets[j]):
+            root[max(ri, rj)] = min(ri, rj)
+            out.append((docs[i], docs[j]))
+    return out
 
-def _similar(length: int):
-    """Pairs with their texts to (a, b, inner, size_a, size_b)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            if len(known) > 500:
-                known.clear()
-            fresh = {k: t for k, t in [*zip(a, ta), *zip(b, tb)] if k not in known}
-            order = list(fresh)
-            for at, texts in wordhash.blocks([fresh[k] for k in order]):
-                known.update(zip(order[at : at + len(texts)], shingle_sets(texts, length), strict=True))
-            inner, na, nb = [], [], []
-            for x, y in zip(a, b, strict=True):
-                sx, sy = known[x], known[y]
-                both = np.sort(np.concatenate([sx, sy]), kind="stable")
-                inner.append(int((both[1:] == both[:-1]).sum()))
-                na.append(len(sx))
-                nb.append(len(sy))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in (inner, na, nb)]], ["a", "b", "inner", "na", "nb"])
+def _blocks(length: int):
+    """Members of blocks, of one coarse component or of several small ones, to links (a, b)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        docs, roots, coarse, sides, gids, probes, texts = (rows.column(c).to_pylist() for c in ("doc", "root", "coarse", "side", "gids", "probes", "text"))
+        sets: list[np.ndarray] = []
+        for _, some in wordhash.blocks(texts):
+            sets += shingle_sets(some, length)
+        of: dict[int, list[int]] = {}
+        for k, c in enumerate(coarse):
+            of.setdefault(c, []).append(k)
+        out: list[tuple[int, int]] = []
+        for members in of.values():
+            if len(members) > 1:
+                pick = lambda x: [x[k] for k in members]  # noqa: E731, B023
+                out += _links(*map(pick, (docs, roots, gids, probes, sets)), pick(sides) if sides[members[0]] is not None else None)
+        return pa.Table.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """The similarity of each pair (a, b), from the texts of their classes."""
-    one = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return met.mapInArrow(_similar(length), "a bigint, b bigint, inner bigint, na bigint, nb bigint")
-
-
-_LINKED = f"{SHARE[1]} * inner >= {SHARE[0]} * (na + nb - inner)"
-
-
 def class_components(df: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "text", length: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Sets and classes of all rows (id, size, doc), and (node, root) of linked classes."""
     spark = df.sparkSession
-    made = ws.put(with_sets(df, key, text, length), "sets")
-    sets = made.where("cells is null").select("id", "size", "doc")
-    parts = made.where("cells is not null").select("cells").repartition(8).mapInArrow(_added, "cells binary").collect()  # 8 rows of CELLS counts
-    cells = np.sum([np.zeros(CELLS, np.int64), *[np.frombuffer(r.cells, "<i8") for r in parts]], axis=0)
-    shared = spark.sparkContext.broadcast(cells.astype("<i8").tobytes())
+    sets = ws.put(with_sets(df, key, text, length), "sets")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(_signed(shared, length, buckets), "bucket int, classes binary, hashes binary, owners binary")
-    schema = "gid bigint, pivot bigint, doc bigint, probe bigint, n bigint"
-    groups = ws.put(packed.groupBy("bucket").applyInArrow(_grouped, schema), "groups")
+    packed = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(_signed(length, buckets), PACKED)
+    made = ws.put(packed.groupBy("bucket").applyInArrow(_grouped, ", ".join(f"{c} bigint" for c in GROUPS)), "made")
+    ws.tidy()
+    every = ws.put(allotted(made), "allotted")
+    probed = every.groupBy("gid").agg(F.max("probe").alias("probed")).where("probed = 1").select("gid")
+    # groups met in several buckets are one group, so its members may be repeated
+    groups = ws.put(every.join(ws.put(probed, "probed"), "gid", "left_semi").groupBy("gid", "pivot", "doc").agg(F.max("probe").alias("probe"), F.sum("n").alias("n")), "groups")
+    ws.drop("made", "allotted")
+    ws.tidy()
 
     # texts of the classes in groups: one row of each class
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -328,42 +378,35 @@ def class_components(df: DataFrame, ws: Workspace, key: str = "doc_id", text: st
 
     texts = likely.mapInArrow(classed, "h bigint, doc bigint, text string").join(wanted, ["h", "doc"]).groupBy("doc").agg(F.min("text").alias("text"))
     texts = ws.put(texts, "texts")
-
-    # round 1: each class with the pivot it meets most often
-    star = groups.where("doc <> pivot").groupBy("doc", "pivot").agg(F.sum("n").alias("n"))
-    best = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("n"), "pivot"))
-    sizes = sets.where("doc is not null").groupBy("doc").agg(F.first("size").alias("size"))
-    star = ws.put(star.withColumn("best", best), "star")
-    one = ws.put(_verified(star.where("best = 1").select(F.col("doc").alias("a"), F.col("pivot").alias("b")), texts, length), "verified-1")
-    links = one.where(_LINKED).select("a", "b")
-    first_roots = ws.put(components(links, ws, "first"), "roots-1")
-
-    # round 2: pairs that are not connected yet
-    def rooted(x: DataFrame, column: str, name: str) -> DataFrame:
-        roots = first_roots.select(F.col("node").alias(column), F.col("root").alias(name))
-        return x.join(roots, column, "left").withColumn(name, F.coalesce(name, column))
-
-    apart = rooted(rooted(star.where("best > 1"), "doc", "ra"), "pivot", "rb").where("ra <> rb").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
-    member = rooted(rooted(groups, "doc", "root"), "pivot", "main")
-    near = one.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), (1 - F.col("inner") / (F.col("na") + F.col("nb") - F.col("inner"))).alias("far"))
-    member = member.join(near, ["doc", "pivot"], "left").withColumn("far", F.when(F.col("doc") == F.col("pivot"), 0.0).otherwise(F.col("far")))
-    member = ws.put(member.join(sizes, "doc"), "members")
-    outside = member.where("root <> main and doc <> pivot").select("gid", F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("probe").alias("pa"), F.col("far").alias("fa"), F.col("size").alias("sa"))
-    others = member.select("gid", F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("probe").alias("pb"), F.col("far").alias("fb"), F.col("size").alias("sb"), "pivot")
-    could = (
-        (F.col("ra") != F.col("rb"))
-        & (F.col("b") != F.col("pivot"))
-        & (F.col("pa") + F.col("pb") > 0)
-        & (F.col("sa") * SHARE[1] >= F.col("sb") * SHARE[0])
-        & (F.col("sb") * SHARE[1] >= F.col("sa") * SHARE[0])
-        & (F.coalesce(F.abs(F.col("fa") - F.col("fb")), F.lit(0.0)) <= 1 - SHARE[0] / SHARE[1] + 1e-9)
-    )
-    cross = outside.join(others, "gid").where(could).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(cross).distinct()
-    second = second.join(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    two = ws.put(_verified(second, texts, length), "verified-2")
-    more = two.where(_LINKED).select("a", "b")
-    joined = first_roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+    ws.tidy()
+
+    # every pair to be compared lies in one coarse component
+    edges = groups.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
+    coarse = ws.put(components(edges, ws, "coarse").select(F.col("node").alias("doc"), F.col("root").alias("coarse")), "coarse")
+    many = coarse.groupBy("coarse").agg(F.count("*").alias("members")).select("coarse", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    own = groups.groupBy("doc").agg(F.collect_list("gid").alias("gids"), F.collect_list("probe").alias("probes"))
+    placed = coarse.join(many, "coarse").join(own, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    placed = ws.put(placed, "placed")
+    ws.drop("groups")
+    ws.tidy()
+    spread = F.pmod(F.xxhash64("coarse"), F.lit(8 * buckets))  # small components share a task's call
+    inside = placed.join(texts, "doc").withColumn("key", F.when(F.col("blocks") == 1, spread).otherwise(F.xxhash64("coarse", "block")))
+    inside = inside.select("key", "doc", F.col("doc").alias("root"), "coarse", F.lit(None).cast("int").alias("side"), "gids", "probes", "text")
+    links = ws.put(inside.groupBy("key").applyInArrow(_blocks(length), "a bigint, b bigint"), "links")
+    ws.tidy()
+    roots = ws.put(components(links, ws, "first"), "roots-1")
+
+    # classes of components with several blocks meet those of each other block, unless all are connected
+    large = placed.where("blocks > 1").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    large = ws.put(large, "large")
+    apart = large.groupBy("coarse").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("coarse")
+    across = large.join(apart, "coarse", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+    key = F.xxhash64("coarse", F.least("block", "other"), F.greatest("block", "other"))
+    across = across.join(texts, "doc").select(key.alias("key"), "doc", "root", "coarse", F.col("block").alias("side"), "gids", "probes", "text")
+    more = ws.put(across.groupBy("key").applyInArrow(_blocks(length), "a bigint, b bigint"), "more")
+    ws.drop("texts", "placed", "large")
+    ws.tidy()
+    joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return sets, components(joined, ws, "second")
 
 
