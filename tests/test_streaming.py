@@ -1,0 +1,233 @@
+import json
+
+import pytest
+
+from tidewell.functions import lsn
+from tidewell.operators.current import current_rows
+from tidewell.sources import changefiles
+from tidewell.sources.pgoutput import Decoder, InvalidText, MissingTerminator, Truncated, UnexpectedKind, UnexpectedMarker, UnknownRelation, records
+from tidewell.sources.tablelog import CHECKPOINT, LEGACY_CHECKPOINT, Catalog, replace, snapshot
+from tidewell.streaming.apply import Applier, Backoff, Session, SourceTable, supervise
+
+SOURCE = "123e4567-e89b-12d3-a456-426614174000"
+ORDERS, CUSTOMERS = ("public", "orders"), ("public", "customers")
+
+
+def change(at, commit, table="orders", key="1", op="insert"):
+    image = {"id": key}
+    return {"schema": "public", "table": table, "op": op, "before": image if op == "delete" else None, "after": None if op == "delete" else image, "position": lsn.show(at), "commit_position": lsn.show(commit), "commit_timestamp_us": 0}
+
+
+class World:
+    """A source's session over tables that remember what landed."""
+
+    def __init__(self, most=1000, marks=None, selection=None, failing=0):
+        self.now, self.landed, self.confirmed, self.marks, self.failing = 0.0, [], [], dict(marks or {}), failing
+        self.session = Session(self.commit, lambda t: self.marks.get(t, (None, False)), self.confirmed.append, most, 5.0, lambda: self.now, lambda: selection)
+
+    def commit(self, table, changes, mark):
+        if self.failing:
+            self.failing -= 1
+            raise OSError("store is away")
+        self.landed.append((table[1], [lsn.parse(c["position"]) for c in changes], lsn.parse(mark)))
+        self.marks[table] = mark, False
+
+    def send(self, *items):
+        for x in items:
+            if isinstance(x, int):
+                self.session.progressed(lsn.show(x))
+            else:
+                self.session.change(x)
+
+    def wait(self, seconds=6.0):
+        self.now += seconds
+        self.session.tick()
+
+
+def test_crash_and_redelivery():
+    w = World()
+    w.send(change(1, 10), change(2, 10), 11)
+    w.wait()
+    w.send(change(3, 20))
+    again = World(marks=w.marks)
+    again.send(change(1, 10), change(2, 10), 11, change(3, 20), change(4, 20), 21)
+    again.wait()
+    assert w.landed == [("orders", [1, 2], 10)] and again.landed == [("orders", [3, 4], 20)]
+    assert w.confirmed[-1] == 11 and again.confirmed[0] == 11 and again.confirmed[-1] == 21
+
+
+def test_overlapping_transactions_are_kept():
+    w = World()
+    w.send(change(110, 200), 201)
+    w.wait()
+    w.send(change(100, 300), 301)
+    w.wait()
+    assert [x[1] for x in w.landed] == [[110], [100]]
+
+
+def test_a_transaction_is_never_split():
+    w = World(most=2)
+    w.send(change(1, 10), change(2, 10), change(3, 10))
+    for _ in range(3):
+        w.wait()
+    assert w.landed == []
+    w.send(11)
+    assert w.landed == [("orders", [1, 2, 3], 10)]
+
+
+def test_idle_tables_do_not_hold_back():
+    w = World(most=1)
+    w.send(change(1, 10), 11, change(2, 20, "customers"), 21, change(3, 30, "customers"), 31)
+    assert w.confirmed == [11, 21, 31]
+
+
+def test_confirm_floor():
+    w = World(most=2)
+    w.send(change(1, 10), change(2, 10), 11, change(3, 20), 21, change(4, 30), 31)
+    assert w.confirmed == [11, 19, 31]
+    w = World()
+    w.send(100, 200, 150)
+    assert w.confirmed == [100, 200]
+
+
+def test_legacy_checkpoint():
+    w = World(marks={ORDERS: (lsn.show(100), True)})
+    w.send(change(90, 150), change(120, 150), 151)
+    w.wait()
+    assert w.landed == [("orders", [120], 150)]
+
+
+def test_selection_and_failed_flush():
+    w = World(selection={ORDERS}, failing=1, most=1)
+    w.send(change(1, 10, "customers"), 11, change(2, 20), 21)
+    assert w.landed == [] and w.confirmed == [11, 19]
+    w.send(change(3, 30, "customers"), 31)
+    assert w.landed == [("orders", [2], 20)] and w.confirmed[-1] == 31
+
+
+def test_backoff():
+    b = Backoff()
+    assert [b.after(0) for _ in range(8)] == [1, 2, 4, 8, 16, 32, 60, 60] and b.after(61) == 1
+    slept, left = [], [3]
+
+    def start():
+        left[0] -= 1
+        raise OSError
+
+    assert supervise(start, lambda: left[0] == 0, slept.append, lambda: 0.0) == 3 and slept == [1, 2]
+
+
+# the same rules in micro-batches
+
+
+def write(folder, name, items):
+    lines = [json.dumps({"progress": lsn.show(x)} if isinstance(x, int) else x) for x in items]
+    (folder / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+
+
+def test_offsets_are_transaction_ends():
+    items = [change(1, 10), change(2, 10), change(3, 10), {"progress": "0/B"}, change(4, 20), {"progress": "0/15"}, change(5, 30)]
+    assert changefiles.ends(items) == [4, 6]
+    assert changefiles.next_end(items, 0, 2) == 4 and changefiles.next_end(items, 0, 4) == 6
+    assert changefiles.next_end(items, 6, 1) == 6
+
+
+@pytest.fixture
+def applier(spark, tmp_path):
+    tables = {ORDERS: SourceTable([("id", "integer")], ["id"]), CUSTOMERS: SourceTable([("id", "integer")], ["id"])}
+    return Applier(Catalog(spark, f"file://{tmp_path}/lake"), SOURCE, tables)
+
+
+def run(spark, applier, tmp_path, checkpoint="c"):
+    changefiles.register(spark)
+    stream = spark.readStream.format("changefiles").option("cap", 2).option("confirm", str(tmp_path / "confirmed")).load(str(tmp_path / "log"))
+    query = stream.writeStream.foreachBatch(applier.foreach_batch).option("checkpointLocation", str(tmp_path / checkpoint)).trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def test_stream_lands_once(spark, applier, tmp_path):
+    (tmp_path / "log").mkdir()
+    write(tmp_path / "log", "001", [change(1, 10, key="1"), change(2, 10, key="2"), 11, change(3, 20, key="3"), change(4, 20, "customers"), 21, change(5, 30, op="delete", key="1"), 31, change(6, 40)])
+    run(spark, applier, tmp_path)
+    orders = applier.table(*ORDERS)
+    assert orders.scan().count() == 4 and orders.checkpoint() == (lsn.show(30), False)
+    assert [r.id for r in current_rows(orders.scan(), orders.keys()).collect()] == [2, 3]
+    assert applier.table(*CUSTOMERS).checkpoint() == (lsn.show(20), False)
+    write(tmp_path / "log", "002", [41])
+    run(spark, applier, tmp_path, "another")  # Spark's offsets are lost: all is delivered again
+    assert orders.scan().count() == 5 and orders.checkpoint() == (lsn.show(40), False)
+    assert (tmp_path / "confirmed").exists()
+
+
+def test_batches_follow_selection_and_survive_a_bad_table(spark, applier, tmp_path):
+    changefiles.register(spark)
+    from tidewell.operators.changelog import EVENT
+
+    items = [change(1, 10), change(2, 10, "customers", "no number")]
+    batch = spark.createDataFrame([tuple(c[f] for f in EVENT.names) for c in items], EVENT)
+    assert applier.apply(batch) == {ORDERS: lsn.show(10)} and set(applier.failed) == {CUSTOMERS}
+    with pytest.raises(Exception):
+        applier.foreach_batch(batch, 0)
+    applier.selection = lambda: {ORDERS}
+    assert applier.apply(batch) == {} and applier.failed == {}
+    orders = applier.table(*ORDERS)
+    orders.commit(lambda s: replace(s, snapshots=(snapshot(s, "append", {LEGACY_CHECKPOINT: "0/64"}, (), ()),)))
+    late = spark.createDataFrame([tuple(c[f] for f in EVENT.names) for c in (change(90, 150), change(120, 150))], EVENT)
+    assert applier.apply(late) == {ORDERS: lsn.show(150)} and orders.scan().count() == 1
+    assert orders.load()[1].current.summary[CHECKPOINT] == lsn.show(150)
+
+
+# pgoutput
+
+
+def text(value):
+    return b"n" if value is None else b"t" + len(value).to_bytes(4, "big") + value.encode()
+
+
+def row(*values):
+    return len(values).to_bytes(2, "big") + b"".join(map(text, values))
+
+
+OID = (16412).to_bytes(4, "big")
+RELATION = b"R" + OID + b"public\0orders\0d" + (2).to_bytes(2, "big") + b"".join(b"\1" + n + b"\0" + bytes(8) for n in (b"id", b"total"))
+
+
+def test_messages():
+    d = Decoder()
+    assert d.message(1, RELATION) is None and d.message(1, b"") is None and d.message(1, b"T") is None
+    d.begin(0x40, 844825432919964)
+    got = d.message(0x20, b"I" + OID + b"N" + row("42", "9.99"))
+    assert got == {"schema": "public", "table": "orders", "op": "insert", "before": None, "after": {"id": "42", "total": "9.99"}, "position": "0/20", "commit_position": "0/40", "commit_timestamp_us": 1791510232919964}
+    assert d.message(2, b"U" + OID + b"N" + row("42", "1"))["before"] is None
+    assert d.message(2, b"U" + OID + b"O" + row("42", "0") + b"N" + row("42", "1"))["before"] == {"id": "42", "total": "0"}
+    assert d.message(2, b"D" + OID + b"K" + row("42", None))["before"] == {"id": "42", "total": None}
+    assert d.message(2, b"U" + OID + b"N" + (2).to_bytes(2, "big") + text("1") + b"u")["after"] == {"id": "1", "total": None}
+
+
+@pytest.mark.parametrize(
+    "data,error",
+    [
+        (b"I" + (999).to_bytes(4, "big") + b"N", UnknownRelation),
+        (b"R" + b"\0\0\0", Truncated),
+        (b"R" + OID + b"public", MissingTerminator),
+        (b"I" + OID + b"X" + row("1"), UnexpectedMarker),
+        (b"D" + OID + b"N" + row("1"), UnexpectedMarker),
+        (b"I" + OID + b"N" + (1).to_bytes(2, "big") + b"z", UnexpectedKind),
+        (b"I" + OID + b"N" + (1).to_bytes(2, "big") + b"t" + (1).to_bytes(4, "big") + b"\xff", InvalidText),
+    ],
+)
+def test_damaged_messages(data, error):
+    d = Decoder()
+    d.message(1, RELATION)
+    with pytest.raises(error):
+        d.message(2, data)
+
+
+def test_log_events():
+    events = [("begin", 0x40, 0, b""), ("data", 0x10, 0, RELATION), ("data", 0x20, 0, b"I" + OID + b"N" + row("1", "2")), ("keepalive", 0x99, 0, b""), ("data", 0x28, 0, b"I" + b"\0"), ("commit", 0x48, 0, b""), ("message", 0, 0, b""), ("keepalive", 0x50, 0, b""), ("stop", 0, 0, b""), ("keepalive", 0x60, 0, b"")]
+    got = list(records(iter(events)))
+    assert [next(iter(r)) for r in got] == ["schema", "error", "progress", "progress"]
+    assert got[2] == {"progress": "0/48"} and got[3] == {"progress": "0/50"} and got[1]["error"].startswith("Truncated")

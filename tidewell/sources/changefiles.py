@@ -86,7 +86,7 @@ class ChangeFiles(DataSource):
         return "changefiles"
 
     def schema(self) -> StructType:
-        return StructType(EVENT.fields).add("line", "long")
+        return StructType([*EVENT.fields]).add("line", "long")
 
     def streamReader(self, schema: StructType) -> _Reader:
         return _Reader(self.options)
