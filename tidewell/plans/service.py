@@ -55,9 +55,30 @@ def to_json(df: DataFrame, most_rows: int | None = None) -> str:
     return "[" + ",".join(texts) + "]"
 
 
-def envelope(rows: str, code: str = "00", message: str = "Success") -> str:
-    """The answer around rows that are JSON already."""
-    return f'{{"response_code":{json.dumps(code)},"response_message":{json.dumps(message)},"rows":{rows}}}'
+#: Codes of answers and their messages.
+ANSWERS = {
+    1000: "OK",
+    1001: "Created",
+    1002: "Deleted",
+    2000: "Bad Request",
+    2001: "Not Found",
+    2002: "Conflict",
+    2003: "Internal Server Error",
+    2004: "Upstream Error",
+    2005: "Unauthorized",
+    2006: "Forbidden",
+}
+
+
+def envelope(rows: str) -> str:
+    """The answer around rows that are JSON already; they are not parsed again."""
+    return f'{{"response_code":1000,"response_message":"{ANSWERS[1000]}","rows":{rows}}}'
+
+
+def failure(error: QueryError) -> tuple[int, str]:
+    """(status, answer) for a failed query: an absent catalog is upstream's fault, a refused query the caller's."""
+    code = {502: 2004, 400: 2000}.get(error.code, 2003)
+    return error.code, json.dumps({"response_code": code, "response_message": ANSWERS[code], "error": str(error)})
 
 
 class QueryService:
