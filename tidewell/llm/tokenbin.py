@@ -21,7 +21,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm import wordhash
 from tidewell.llm.workspace import Workspace
 
 MAGIC = b"DAC1"
@@ -39,9 +40,9 @@ SHARD = 1 << 21
 #: Bits that the rank directory has a sum for.
 SPAN = 512
 #: Pieces a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 #: The split below and the library's agree on all characters whose first UTF-8 byte is smaller.
-AGREED = 0xD5
+AGREED, FIRST_UNSURE = 0xD5, 0x540
 SPECIAL = "<|"
 
 
@@ -133,76 +134,151 @@ class Shard:
         return self.tokens(int(self.starts[nth]), int(self.starts[nth + 1]))
 
 
-class Memory:
-    """What was made for a key. When full, it keeps what it held as a second generation, for one more turn."""
+def _classes() -> np.ndarray:
+    """Of the characters the two splits agree on: 0 other, 1 letter, 2 number, 3 space."""
+    out = np.zeros(FIRST_UNSURE, np.uint8)
+    for kind, pattern in ((1, r"\p{L}"), (2, r"\p{N}"), (3, r"\s")):
+        known = regex.compile(pattern)
+        out[[c for c in range(FIRST_UNSURE) if known.match(chr(c))]] = kind
+    return out
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]]) -> None:
-        self.make = make
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
-    def learn(self, keys: set[str]) -> dict[str, bytes]:
-        """Where all the keys are found."""
-        new = keys - self.now.keys()
-        if len(self.now) + len(new) > REMEMBERED:
-            self.old, self.now, new = self.now, {}, keys
-        old, fresh = self.old, []
-        for k in new:
-            if k in old:
-                self.now[k] = old[k]
-            else:
-                fresh.append(k)
-        self.now.update(zip(fresh, self.make(fresh), strict=True))
-        return self.now
+def piece_starts(codes: np.ndarray, kind: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Where the pieces begin that the byte-level pattern cuts texts into; the texts stand one after the other.
+
+    A run of letters, of numbers or of other characters is a piece, with one space before it. A run of
+    spaces is one, without the last if text follows; that is a piece, or joins what follows. The
+    contractions 's 't 're 've 'm 'll 'd are pieces where they begin one.
+    """
+    n = len(codes)
+    first = np.zeros(n + 1, bool)
+    first[text_starts] = True
+    first[n] = True
+    space = kind == 3
+    before = np.concatenate([[0], kind[:-1]])
+    blank_before = np.concatenate([[False], codes[:-1] == 32]) & ~first[:n]
+    changed = first[:n] | (kind != before)
+    follows = np.concatenate([~space[1:], [False]]) & ~first[1:]
+    start = np.where(space, changed | follows, changed & ~blank_before)
+    quote = np.flatnonzero((codes == 39) & start & ~first[1:])
+    if len(quote):
+        padded = np.concatenate([codes, [0, 0, 0]])
+        inner = np.concatenate([first, [True, True]])
+        one, two = padded[quote + 1], padded[quote + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((((one == ord("r")) | (one == ord("v"))) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))) & ~inner[quote + 2]
+        for at, size in ((quote[short], 2), (quote[long & ~short], 3)):
+            start[at + 1] = False
+            if size == 3:
+                start[at + 2] = False
+            after = at + size
+            after = after[after < n]
+            start[after[kind[after] == 1]] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
     """The library's ids of whole texts.
 
-    Ids of a text are those of its pieces, one after the other, so pieces are encoded once and
+    Ids of a text are those of its pieces, one after the other. So the texts of a block are cut into
+    pieces and the pieces hashed, all in numpy; each distinct piece is encoded by the library once and
     remembered. Texts with special tokens, or with scripts that the two splits might see differently,
     are given to the library whole.
     """
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.find = regex.compile(pattern).findall
-        self.pieces = Memory(self._pack)
-
-    def _pack(self, texts: list[str]) -> list[bytes]:
+        self.kind = _classes()
+        self.value = np.random.default_rng(11).integers(1, 2**63, FIRST_UNSURE, dtype=np.uint64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.pieces: list[str] = []
+        self.ids, self.ends, self.blocks = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        """Keeps the pieces that more than one block had, if that makes room."""
+        keep = np.flatnonzero(self.blocks > 1)
+        known, pieces, ids, ends = self.known, self.pieces, self.ids, self.ends
+        self._clear()
+        if len(keep) <= REMEMBERED // 2:
+            new = {old: k for k, old in enumerate(keep.tolist())}
+            self.known = {h: new[p] for h, p in known.items() if p in new}
+            self.pieces = [pieces[p] for p in keep.tolist()]
+            size = np.diff(ends)[keep]
+            upto = np.cumsum(size)
+            self.ends = np.concatenate([[0], upto])
+            self.ids = ids[np.repeat(ends[keep] - (upto - size), size) + np.arange(self.ends[-1])]
+            self.blocks = np.ones(len(keep), np.int32)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str], hashes: list[int]) -> None:
+        made = [array("I", e.ids) for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        self.known.update(zip(hashes, range(len(self.pieces), len(self.pieces) + len(pieces)), strict=True))
+        self.pieces += pieces
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(m.tobytes() for m in made), "<u4")])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(m) for m in made])])
+        self.blocks = np.concatenate([self.blocks, np.zeros(len(made), np.int32)])
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        every = "".join(texts)
+        codes = np.frombuffer(every.encode("utf-32-le"), "<u4")
+        text_ends = np.cumsum([len(t) for t in texts])
+        text_starts = text_ends - [len(t) for t in texts]
+        begin = piece_starts(codes, self.kind[codes], text_starts[text_starts < len(codes)])
+        end = np.append(begin[1:], len(codes))
+        powers, inverse = wordhash._upto(len(codes) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value[codes] * powers[: len(codes)])])
+        hashes = wordhash.mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        names, spans = distinct.tolist(), list(zip(begin[at].tolist(), end[at].tolist()))
+        if len(self.known) + len(names) > REMEMBERED:
+            self._forget()
+        new = [k for k, h in enumerate(names) if h not in self.known]
+        if new:
+            self._learn([every[slice(*spans[k])] for k in new], [names[k] for k in new])
+        places = [self.known[h] for h in names]
+        if any(self.pieces[p] != every[a:b] for p, (a, b) in zip(places, spans)):  # two pieces of one hash
+            return self._whole(texts)
+        self.blocks[places] += 1
+        place = np.array(places, np.int64)[back]
+        first, size = self.ends[place], self.ends[place + 1] - self.ends[place]
+        upto = np.cumsum(size)
+        flat = self.ids[np.repeat(first - (upto - size), size) + np.arange(upto[-1])] if len(place) else self.ids[:0]
+        cuts = np.concatenate([[0], upto])[np.searchsorted(begin, np.append(text_starts, len(codes)))] * 4
+        raw = flat.astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
     def block(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        split: list[list[str] | None] = []
-        whole: list[str] = []
+        plain = []
         for text in texts:
             raw = np.frombuffer(text.encode(), np.uint8)
-            plain = SPECIAL not in text and (not len(raw) or raw.max() < AGREED)
-            split.append(self.find(text) if plain else None)
-            if not plain:
-                whole.append(text)
-        found = self.pieces.learn(set().union(*(p for p in split if p is not None)))
-        packed = iter(self._pack(whole))
-        return [next(packed) if parts is None else b"".join([found[p] for p in parts]) for parts in split]
+            plain.append(SPECIAL not in text and (not len(raw) or raw.max() < AGREED))
+        cut = iter(self._cut([t for t, p in zip(texts, plain) if p]))
+        whole = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
+        return [next(cut if p else whole) for p in plain]
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
-    return _encoders[path, pattern]
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 MANIFEST = "part int, nth int, file string, documents bigint, ids bigint"
 
 
-def write_files(df: DataFrame, folder: str, path: str, pattern: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
+def write_files(df: DataFrame, folder: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """Encodes and writes the texts of df in ascending order of key; returns the manifest, a row a file.
 
     ``folder``: a URI that all machines can write to. Each row's ids end with ``end_id``. A null text
@@ -217,7 +293,7 @@ def write_files(df: DataFrame, folder: str, path: str, pattern: str, key: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        enc, store_at = encoder(path, pattern), fs.FileSystem.from_uri(folder)
+        enc, store_at = encoder(path), fs.FileSystem.from_uri(folder)
         part, nth, last = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         keys: list[int | None] = []
         packed: list[bytes] = []
@@ -289,9 +365,9 @@ def read_files(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFra
     return out.withColumnRenamed("k", key)
 
 
-def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(df: DataFrame, path: str) -> DataFrame:
     """Writes the ids of all documents and reads them back from the files."""
     ws = Workspace(df.sparkSession, "tokens")
     folder = ws.local_path("files")
-    manifest = ws.put(write_files(df, folder, path, pattern), "manifest")
+    manifest = ws.put(write_files(df, folder, path), "manifest")
     return read_files(manifest, folder)
