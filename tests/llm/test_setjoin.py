@@ -104,3 +104,7 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long"), ws, "c").collect()}
     assert all(got[i] == 0 for i in range(61)) and got[100] == got[101] == got[102] == 100
     assert components(spark.createDataFrame([], "a long, b long"), ws, "e").collect() == []
+
+
+def test_as_sql(spark):
+    assert compare(spark, lambda s, d: setjoin.join(documents(s, d)), setjoin.ORACLE_SQL, "/root/testdata/sf0.01") == 1000

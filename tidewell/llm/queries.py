@@ -44,7 +44,7 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenbin.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return tokenbin.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +61,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": credentials.ORACLE_SQL, "op7_substrings": substrings.ORACLE_SQL, "op9_packing": packing.ORACLE_SQL}
+    return {"op1_secrets": credentials.ORACLE_SQL, "op2_setjoin": setjoin.ORACLE_SQL, "op7_substrings": substrings.ORACLE_SQL, "op9_packing": packing.ORACLE_SQL}

@@ -34,8 +34,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import wordhash
@@ -77,10 +78,10 @@ def class_of(s: np.ndarray) -> int:
 
 
 def bands(most: int) -> list[tuple[int, int]]:
-    """Sizes from and to, of each band: consecutive, a third longer each."""
+    """Sizes from and to, of each band: consecutive, each up to 16/9 of its least."""
     out, lo = [], 1
     while lo <= most:
-        hi = max(lo, lo * 4 // 3)
+        hi = max(lo, lo * 16 // 9)
         out.append((lo, hi))
         lo = hi + 1
     return out
@@ -156,7 +157,8 @@ def with_sets(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, size bigint, doc bigint")
 
 
-PACKED = "bucket int, classes binary, hashes binary, owners binary, segments binary, needs binary"
+#: Entries of a bucket stand in runs of one class and band: class, tag and length of each run.
+PACKED = "bucket int, classes binary, tags binary, lengths binary, hashes binary, segments binary, needs binary"
 
 
 def _signed(length: int, buckets: int):
@@ -195,13 +197,21 @@ def _signed(length: int, buckets: int):
                 order = np.argsort(deal, kind="stable")
                 hashes, owners, places, deal = (hashes[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), owners[order].astype("<u4"), places[order], deal[order]
                 ends = np.searchsorted(deal, np.arange(buckets + 1))
-                names, need = np.array(classes, "<i8").tobytes(), np.array(needs, "<i8")
+                names, need = np.array(classes, np.int64), np.array(needs, "<i8")
                 home = need[:, 0] % buckets
-                full = [b for b in range(buckets) if ends[b] < ends[b + 1] or (home == b).any()]
-                columns = [pa.array(full, pa.int32()), pa.array([names] * len(full), pa.binary())]
-                columns += [pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary()) for x in (hashes, owners, places)]
-                columns.append(pa.array([need[home == b].tobytes() for b in full], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "classes", "hashes", "owners", "segments", "needs"])
+                columns: list[list] = [[] for _ in range(7)]
+                for b in range(buckets):
+                    asked = need[home == b]
+                    if ends[b] == ends[b + 1] and not len(asked):
+                        continue
+                    own = owners[ends[b] : ends[b + 1]]
+                    begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+                    runs = own[begin]
+                    lengths = np.diff(np.append(begin, len(own)))
+                    row = (b, names[(runs & NUMBER).astype(np.int64)].astype("<i8"), (runs >> np.uint32(BAND)).astype(np.uint8), lengths.astype("<u4"), hashes[ends[b] : ends[b + 1]], places[ends[b] : ends[b + 1]], asked)
+                    for c, x in zip(columns, row, strict=True):
+                        c.append(x if isinstance(x, int) else x.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["bucket", "classes", "tags", "lengths", "hashes", "segments", "needs"])
 
     return run
 
@@ -216,11 +226,11 @@ def _grouped(rows: pa.Table) -> pa.Table:
     a null gid are the needs of a class in a band.
     """
     hashes, classes, owners, places = [], [], [], []
-    for names, h, o, g in zip(*(rows.column(c).to_pylist() for c in ("classes", "hashes", "owners", "segments")), strict=True):
-        own = np.frombuffer(o, "<u4")
+    for names, tags, lengths, h, g in zip(*(rows.column(c).to_pylist() for c in ("classes", "tags", "lengths", "hashes", "segments")), strict=True):
+        times = np.frombuffer(lengths, "<u4")
         hashes.append(np.frombuffer(h, "<u4"))
-        classes.append(np.frombuffer(names, "<i8")[(own & NUMBER).astype(np.int64)])
-        owners.append(own & ~NUMBER)
+        classes.append(np.repeat(np.frombuffer(names, "<i8"), times))
+        owners.append(np.repeat(np.frombuffer(tags, np.uint8).astype(np.uint32) << np.uint32(BAND), times))
         places.append(np.frombuffer(g, np.uint8))
     h, c, o, g = np.concatenate(hashes), np.concatenate(classes), np.concatenate(owners), np.concatenate(places)
     # most entries stand alone: drop them before the larger sort
@@ -257,20 +267,59 @@ def _grouped(rows: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.Table.from_arrays(columns, GROUPS), pa.Table.from_arrays(asked, GROUPS)])
 
 
+def _allotted(rows: pd.DataFrame) -> pd.DataFrame:
+    """Groups' members with ``probe``: whether the class probes the group, by the allotment of least cost.
+
+    A large set's segments count one each, however many of them share a group; a small set's count two,
+    with all their entries.
+    """
+    needs = rows[rows.gid.isna()].groupby(["doc", "band"], as_index=False)[["need", "free"]].max()
+    groups = rows[rows.gid.notna()].drop(columns=["need", "free"])
+    if groups.empty:
+        return groups.assign(probe=0)[["gid", "pivot", "doc", "probe", "n"]]
+    own = groups.segment == ANY
+    groups = groups.assign(seat=groups.gid.where(own, groups.segment), cost=groups.n * groups.members)
+    parts = groups.groupby(["doc", "band", "seat"], as_index=False).agg(n=("n", "sum"), cost=("cost", "sum"), segment=("segment", "first"))
+    parts["units"] = parts.n.where(parts.segment == ANY, 2)
+    parts = parts.merge(needs, on=["doc", "band"])
+    parts["left"] = parts.need - parts.free + parts.groupby(["doc", "band"]).units.transform("sum")
+    parts["rate"] = parts.cost / parts.units
+    parts = parts.sort_values(["doc", "band", "rate", "seat"], kind="stable")
+    before = parts.groupby(["doc", "band"]).units.cumsum() - parts.units
+    parts["probe"] = (before < parts.left).astype("int64")
+    out = groups.merge(parts[["doc", "band", "seat", "probe"]], on=["doc", "band", "seat"], how="left")
+    return out.assign(probe=out.probe.fillna(0).astype("int64"))[["gid", "pivot", "doc", "probe", "n"]]
+
+
 def allotted(made: DataFrame) -> DataFrame:
-    """Members of groups, with ``probe``: 1 where a class probes the group by the allotment of least cost."""
-    groups = made.where("gid is not null")
-    needs = made.where("gid is null").groupBy("doc", "band").agg(F.max("need").alias("need"), F.max("free").alias("free"))
-    # a large set's segments count one each, however often they share a group; a small set's count two, with all their entries
-    seat = F.when(F.col("segment") == ANY, F.col("gid")).otherwise(F.col("segment"))
-    units = F.when(F.first("segment") == ANY, F.sum("n")).otherwise(2)
-    parts = groups.groupBy("doc", "band", seat.alias("seat")).agg(units.alias("units"), F.sum(F.col("n") * F.col("members")).alias("cost"))
-    sums = parts.groupBy("doc", "band").agg(F.sum("units").alias("shared")).join(needs, ["doc", "band"])
-    asked = sums.select("doc", "band", (F.col("need") - F.col("free") + F.col("shared")).alias("left")).where("left > 0")
-    order = Window.partitionBy("doc", "band").orderBy(F.col("cost") / F.col("units"), "seat").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = parts.join(asked, ["doc", "band"]).withColumn("before", F.coalesce(F.sum("units").over(order), F.lit(0))).where("before < left").select("doc", "band", "seat", F.lit(1).alias("probe"))
-    out = groups.withColumn("seat", seat).join(chosen, ["doc", "band", "seat"], "left")
-    return out.select("gid", "pivot", "doc", F.coalesce("probe", F.lit(0)).alias("probe"), "n")
+    """_allotted for all classes, dealt and sorted by class: one shuffle."""
+    kinds = pa.schema([(c, pa.int64()) for c in ("gid", "pivot", "doc", "probe", "n")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.Table] = []
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            frame = _allotted(table.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get).astype({"doc": "int64", "band": "int64"}))
+            yield from pa.Table.from_pandas(frame, kinds, preserve_index=False).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs = batch.column("doc").to_numpy()
+            last = int(np.searchsorted(docs, docs[-1])) if docs[0] != docs[-1] else 0  # the last class may go on
+            kept.append(pa.Table.from_batches([batch.slice(0, last)]))
+            if last:
+                yield from done(pa.concat_tables(kept))
+                kept = []
+            elif kept[0].num_rows and kept[0].column("doc")[0].as_py() != docs[0]:
+                yield from done(pa.concat_tables(kept))
+                kept = []
+            kept.append(pa.Table.from_batches([batch.slice(last)]))
+        if kept:
+            yield from done(pa.concat_tables(kept))
+
+    dealt = made.repartition("doc").sortWithinPartitions("doc")
+    return dealt.mapInArrow(run, "gid bigint, pivot bigint, doc bigint, probe bigint, n bigint")
 
 
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -333,8 +382,11 @@ def _blocks(length: int):
         for _, some in wordhash.blocks(texts):
             sets += shingle_sets(some, length)
         of: dict[int, list[int]] = {}
-        for k, c in enumerate(coarse):
-            of.setdefault(c, []).append(k)
+        once = set()
+        for k, (c, d) in enumerate(zip(coarse, docs, strict=True)):
+            if d not in once:  # repeated rows of the input
+                once.add(d)
+                of.setdefault(c, []).append(k)
         out: list[tuple[int, int]] = []
         for members in of.values():
             if len(members) > 1:
@@ -349,50 +401,42 @@ def class_components(df: DataFrame, ws: Workspace, key: str = "doc_id", text: st
     """Sets and classes of all rows (id, size, doc), and (node, root) of linked classes."""
     spark = df.sparkSession
     sets = ws.put(with_sets(df, key, text, length), "sets")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(_signed(length, buckets), PACKED)
     made = ws.put(packed.groupBy("bucket").applyInArrow(_grouped, ", ".join(f"{c} bigint" for c in GROUPS)), "made")
     ws.tidy()
     every = ws.put(allotted(made), "allotted")
     probed = every.groupBy("gid").agg(F.max("probe").alias("probed")).where("probed = 1").select("gid")
-    # groups met in several buckets are one group, so its members may be repeated
-    groups = ws.put(every.join(ws.put(probed, "probed"), "gid", "left_semi").groupBy("gid", "pivot", "doc").agg(F.max("probe").alias("probe"), F.sum("n").alias("n")), "groups")
+    groups = ws.put(every.join(ws.put(probed, "probed"), "gid", "left_semi"), "groups")
     ws.drop("made", "allotted")
     ws.tidy()
 
-    # texts of the classes in groups: one row of each class
-    whole = F.coalesce(F.col(text), F.lit(""))
-    members = groups.select("doc").distinct()
-    rows = df.select(F.col(key).alias("id"), whole.alias("text"))
-    first = sets.join(members, "doc").groupBy("doc").agg(F.min(F.xxhash64("id")).alias("h"))
-    wanted = ws.put(first, "wanted")
-    hashed = rows.withColumn("h", F.xxhash64("id"))
-    likely = maybe(hashed.withColumnRenamed("h", "doc"), wanted.select(F.col("h").alias("doc"))).where("likely").select(F.col("doc").alias("h"), "text")
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            classes = []
-            for _, texts in wordhash.blocks(b.column(1).to_pylist()):
-                classes += [class_of(s) if len(s) else None for s in shingle_sets(texts, length)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes, pa.int64()), b.column(1)], ["h", "doc", "text"])
-
-    texts = likely.mapInArrow(classed, "h bigint, doc bigint, text string").join(wanted, ["h", "doc"]).groupBy("doc").agg(F.min("text").alias("text"))
-    texts = ws.put(texts, "texts")
-    ws.tidy()
-
     # every pair to be compared lies in one coarse component
     edges = groups.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
     coarse = ws.put(components(edges, ws, "coarse").select(F.col("node").alias("doc"), F.col("root").alias("coarse")), "coarse")
     many = coarse.groupBy("coarse").agg(F.count("*").alias("members")).select("coarse", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     own = groups.groupBy("doc").agg(F.collect_list("gid").alias("gids"), F.collect_list("probe").alias("probes"))
     placed = coarse.join(many, "coarse").join(own, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    placed = ws.put(placed, "placed")
+    # one row of each class stands for it
+    first = sets.where("doc is not null").groupBy("doc").agg(F.min(F.xxhash64("id")).alias("h"))
+    placed = ws.put(placed.join(first, "doc"), "placed")
     ws.drop("groups")
     ws.tidy()
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            classes = []
+            for _, some in wordhash.blocks(b.column(1).to_pylist()):
+                classes += [class_of(s) if len(s) else None for s in shingle_sets(some, length)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes, pa.int64()), b.column(1)], ["h", "doc", "text"])
+
+    rows = df.select(F.xxhash64(F.col(key)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    likely = maybe(rows, placed.select(F.col("h").alias("doc"))).where("likely").select(F.col("doc").alias("h"), "text")
     spread = F.pmod(F.xxhash64("coarse"), F.lit(8 * buckets))  # small components share a task's call
-    inside = placed.join(texts, "doc").withColumn("key", F.when(F.col("blocks") == 1, spread).otherwise(F.xxhash64("coarse", "block")))
-    inside = inside.select("key", "doc", F.col("doc").alias("root"), "coarse", F.lit(None).cast("int").alias("side"), "gids", "probes", "text")
-    links = ws.put(inside.groupBy("key").applyInArrow(_blocks(length), "a bigint, b bigint"), "links")
+    inside = likely.mapInArrow(classed, "h bigint, doc bigint, text string").withColumnRenamed("h", "own").join(placed, "doc").where("own = h")
+    inside = inside.withColumn("key", F.when(F.col("blocks") == 1, spread).otherwise(F.xxhash64("coarse", "block")))
+    shown = ["key", "doc", F.col("doc").alias("root"), "coarse", F.lit(None).cast("int").alias("side"), "gids", "probes", "text"]
+    links = ws.put(inside.select(*shown).groupBy("key").applyInArrow(_blocks(length), "a bigint, b bigint"), "links")
     ws.tidy()
     roots = ws.put(components(links, ws, "first"), "roots-1")
 
@@ -401,13 +445,17 @@ def class_components(df: DataFrame, ws: Workspace, key: str = "doc_id", text: st
     large = ws.put(large, "large")
     apart = large.groupBy("coarse").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("coarse")
     across = large.join(apart, "coarse", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+    across = ws.put(across, "across")
+    joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if across.isEmpty():
+        return sets, roots
     key = F.xxhash64("coarse", F.least("block", "other"), F.greatest("block", "other"))
-    across = across.join(texts, "doc").select(key.alias("key"), "doc", "root", "coarse", F.col("block").alias("side"), "gids", "probes", "text")
+    texts = likely.mapInArrow(classed, "h bigint, doc bigint, text string").withColumnRenamed("h", "own")
+    across = texts.join(across, "doc").where("own = h").select(key.alias("key"), "doc", "root", "coarse", F.col("block").alias("side"), "gids", "probes", "text")
     more = ws.put(across.groupBy("key").applyInArrow(_blocks(length), "a bigint, b bigint"), "more")
-    ws.drop("texts", "placed", "large")
+    ws.drop("placed", "large", "across")
     ws.tidy()
-    joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    return sets, components(joined, ws, "second")
+    return sets, components(joined.unionByName(more), ws, "second")
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = SHINGLE) -> DataFrame:
@@ -420,3 +468,32 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = S
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("doc", "component_id")
     out = sets.join(named, "doc", "left")
     return out.select(F.col("id").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+#: The same in DuckDB, by counting the shingles that classes share.
+ORACLE_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), grams AS (
+  SELECT DISTINCT r, array_to_string(words[i + 1 : i + 5], ' ') AS g FROM (SELECT r, words, unnest(range(0, greatest(1, len(words) - 4))) AS i FROM split WHERE len(words) > 0)
+), sizes AS (
+  SELECT r, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS class FROM grams GROUP BY r
+), classes AS (
+  SELECT class, min(r) AS r, any_value(n) AS n FROM sizes GROUP BY class
+), rare AS (
+  SELECT g.r, g.g, c.n FROM grams g JOIN classes c ON c.r = g.r
+), pairs AS (
+  SELECT a.r AS x, b.r AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS inner_ FROM rare a JOIN rare b ON a.g = b.g AND a.r < b.r AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) GROUP BY a.r, b.r
+), links AS (
+  SELECT x, y FROM pairs WHERE 100 * inner_ >= 75 * (nx + ny - inner_)
+), both_ AS (
+  SELECT x, y FROM links UNION SELECT y, x FROM links
+), reach AS (
+  SELECT r AS x, r AS y FROM classes UNION SELECT reach.x, both_.y FROM reach JOIN both_ ON reach.y = both_.x
+), least_ AS (
+  SELECT c.r, min(s.doc_id) AS doc_id FROM classes c JOIN sizes z USING (class) JOIN split s ON s.r = z.r GROUP BY c.r
+), named AS (
+  SELECT reach.x AS r, min(least_.doc_id) AS component_id FROM reach JOIN least_ ON least_.r = reach.y GROUP BY reach.x
+)
+SELECT s.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(named.component_id, s.doc_id) AS component_id
+FROM split s LEFT JOIN sizes z USING (r) LEFT JOIN classes c ON c.class = z.class LEFT JOIN named ON named.r = c.r"""
