@@ -6,7 +6,7 @@ from tidewell.llm import lines
 from tidewell.llm.workspace import documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]")
-SHINGLE = re.compile(r"(?s)(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D].{7}))")
+SHINGLE = re.compile(r"(?s)(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D].{11}))")
 
 
 def brute(rows):

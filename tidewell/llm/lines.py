@@ -2,8 +2,9 @@
 
 The shingles of a line are its runs of ``LENGTH`` characters that begin a word. The signature is its
 least shingle hashes (bottom-k MinHash); every two of them make a band. Lines that share a band are
-candidates: each is compared with the least of its group, and then with all members that are not yet
-in one component with it, by the exact Jaccard similarity of their shingle sets. Components are found
+candidates: each is compared with the line of its group that has most company, and then, if it is not
+in one component with most of its group, with all members, by the exact Jaccard similarity of their
+shingle sets. Components are found
 by distributed star rounds. Of each component the first line, by (doc_id, place), stays; all other
 occurrences go, those of equal lines included.
 
@@ -24,11 +25,13 @@ from tidewell.llm.components import components
 from tidewell.llm.substrings import maybe
 from tidewell.llm.workspace import Workspace
 
-LENGTH = 8
+LENGTH = 12
 #: Hashes of a signature.
 KEPT = 4
 #: Similar: SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (75, 100)
+#: Lines of a group that another is compared with at a time, about.
+BLOCK = 256
 SPACE = r"\x20\x09-\x0D"
 
 
@@ -43,14 +46,19 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _shingles(line: Column, length: int) -> Column:
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?<![^{SPACE}])(?=([^{SPACE}].{{{length - 1}}}))"), F.lit(1))
+    # a match takes a whole word, so that the search goes on at the next one, not at the next character
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{length}}}))[^{SPACE}]++[{SPACE}]*+"), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
-def _bands(least: Column) -> Column:
-    """Each two of a signature; a signature of one is a band."""
-    pairs = F.flatten(F.transform(least, lambda x, i: F.transform(F.slice(least, i + 2, F.lit(KEPT)), lambda y: F.xxhash64(x, y))))
-    return F.when(F.size(least) == 1, F.transform(least, lambda x: F.xxhash64(x))).otherwise(pairs)
+_LEAST = [f"l{n}" for n in range(KEPT)]
+
+
+def _bands() -> Column:
+    """Each two of a signature's hashes (columns, null from the last on); a signature of one is a band."""
+    pairs = [F.when(F.col(y).isNotNull(), F.xxhash64(x, y)) for n, x in enumerate(_LEAST) for y in _LEAST[n + 1 :]]
+    alone = F.when(F.col(_LEAST[0]).isNotNull() & F.col(_LEAST[1]).isNull(), F.xxhash64(_LEAST[0]))
+    return F.array_compact(F.array(*pairs, alone))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -67,46 +75,67 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 def line_roots(docs: DataFrame, distinct: DataFrame, ws: Workspace, length: int) -> DataFrame:
     """(node, root) of lines that have a similar other one."""
-    banded = ws.put(distinct.select("h", F.explode("bands").alias("band")), "bands")
-    groups = ws.put(banded.groupBy("band").agg(F.min("h").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("band", "pivot"), "groups")
-    members = ws.put(banded.join(groups, "band"), "members")
-    ws.drop("bands")
+    banded = distinct.select("h", F.explode(_bands()).alias("band"))
+    groups = ws.put(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    ws.tidy()
+    shared = maybe(banded.withColumnRenamed("band", "doc"), groups.select(F.col("band").alias("doc"))).where("likely")
+    found = ws.put(shared.select("h", F.col("doc").alias("band")).join(groups, "band"), "found")
+    ws.tidy()
+    # the first of a group is the line with most company in all its groups: copies are more alike it than one another
+    company = found.groupBy("h").agg(F.sum("n").alias("company"))
+    first_of = found.join(company, "h").groupBy("band").agg(F.max_by("h", F.struct("company", "h")).alias("pivot"))
+    members = ws.put(found.join(ws.put(first_of, "pivots"), "band").select("h", "band", "pivot"), "members")
+    ws.drop("found", "pivots")
     star = ws.put(members.where("h <> pivot").select(*_ordered("h", "pivot")).distinct(), "star")
     asked = star.select(F.col("a").alias("h")).unionByName(star.select(F.col("b").alias("h"))).distinct()
     again = _lines(docs).select(F.col("h").alias("doc"), "line")
     likely = maybe(again, asked.select(F.col("h").alias("doc"))).where("likely").groupBy(F.col("doc").alias("h")).agg(F.first("line").alias("line"))
     sets = ws.put(likely.join(asked, "h", "left_semi").select("h", _shingles(F.col("line"), length).alias("set")), "sets")
+    ws.tidy()
     links = ws.put(_verified(star, sets), "links-1")
     first = ws.put(components(links, ws, "first"), "roots-1")
 
-    # what is still apart from the first of its group is compared with all that are apart from it
-    def rooted(x: DataFrame, column: str, name: str) -> DataFrame:
-        return x.join(first.select(F.col("node").alias(column), F.col("root").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
-
-    sizes = sets.select("h", F.size("set").alias("size"))
-    placed = ws.put(rooted(rooted(members.distinct(), "h", "root"), "pivot", "main").join(sizes, "h"), "placed")
-    outside = placed.where("root <> main").select("band", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"))
-    others = placed.where("h <> pivot").select("band", F.col("h").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
-    could = (F.col("ra") != F.col("rb")) & (F.col("sa") * SHARE[1] >= F.col("sb") * SHARE[0]) & (F.col("sb") * SHARE[1] >= F.col("sa") * SHARE[0])
-    second = outside.join(others, "band").where(could).select(*_ordered("a", "b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(second, sets)
+    # what is still apart from most of its group is compared with all that are apart from it: with a
+    # block of them at a time, inside a row, so that pairs are never rows
+    roots = first.select(F.col("node").alias("h"), "root")
+    placed = ws.put(members.select("band", "h").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "placed")
+    shares = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band")
+    apart = shares.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("band", "main")
+    open_ = ws.put(placed.join(ws.put(apart, "apart"), "band").join(sets, "h"), "open")
+    outside = open_.where("root <> main").select("band", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("set").alias("sa"))
+    one = F.struct(F.col("h").alias("b"), F.col("root").alias("rb"), F.col("set").alias("sb"))
+    numbered = open_.join(open_.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "band")
+    blocks = numbered.groupBy("band", F.pmod(F.xxhash64("h"), F.col("blocks")).alias("block")).agg(F.collect_list(one).alias("others"))
+
+    def similar(x: Column) -> Column:
+        n, m = F.size("sa"), F.size(x["sb"])
+        inner = F.size(F.array_intersect("sa", x["sb"]))
+        sized = (n * SHARE[1] >= m * SHARE[0]) & (m * SHARE[1] >= n * SHARE[0])
+        return (x["rb"] != F.col("ra")) & sized & (SHARE[1] * inner >= SHARE[0] * (n + m - inner))
+
+    met = outside.join(blocks, "band").select("ra", F.explode(F.array_distinct(F.transform(F.filter("others", similar), lambda x: x["rb"]))).alias("rb"))
+    more = met.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
     return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), ws, "second")
 
 
 def removed_places(docs: DataFrame, ws: Workspace, length: int = LENGTH) -> DataFrame:
     """(doc, removed): places of the lines that go, a row for each document that loses any."""
     signed = _lines(docs).withColumn("least", F.slice(_shingles(F.col("line"), length), 1, KEPT))
-    # a generator is a fence: nothing is moved below it, into the lambdas
-    signed = signed.select("doc", "id", "place", "h", F.inline(F.array(F.struct(F.col("least")))))
-    lines = ws.put(signed.select("doc", "id", "place", "h", _bands(F.col("least")).alias("bands")), "lines")
-    seat = F.struct("id", "doc", "place")
-    distinct = ws.put(lines.groupBy("h").agg(F.first("bands").alias("bands"), F.min(seat).alias("seat"), F.count("*").alias("n")), "distinct")
+    lines = ws.put(signed.select("doc", "id", "place", "h", *[F.get("least", n).alias(c) for n, c in enumerate(_LEAST)]), "lines")
+    # longs only, so that lines are counted in hash tables
+    distinct = ws.put(lines.groupBy("h").agg(*[F.first(c).alias(c) for c in _LEAST], F.count("*").alias("n")), "distinct")
+    ws.tidy()
     roots = ws.put(line_roots(docs, distinct, ws, length), "roots-2")
-    rooted = distinct.select("h", "seat", "n").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    stay = rooted.groupBy("root").agg(F.min("seat").alias("stays"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    table = ws.put(rooted.select("h", "root").join(stay, "root").select("h", "stays"), "stays")
-    gone = lines.select("doc", "id", "place", "h").join(table, "h").where(~seat.eqNullSafe(F.col("stays")))
-    return ws.put(gone.groupBy("doc").agg(F.collect_set("place").alias("removed")), "removed")
+    rooted = distinct.select("h", "n").join(roots.withColumnRenamed("node", "h"), "h", "left")
+    wanted = ws.put(rooted.where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root")), "wanted")
+    every = ws.put(lines.select("doc", "id", "place", "h").join(wanted, "h").drop("h"), "occurrences")
+    seat = F.struct("id", "doc", "place")
+    stay = ws.put(every.groupBy("root").agg(F.min(seat).alias("stays")), "stays")
+    gone = every.join(stay, "root").where(~seat.eqNullSafe(F.col("stays")))
+    out = ws.put(gone.groupBy("doc").agg(F.collect_set("place").alias("removed")), "removed")
+    ws.drop("lines", "distinct", "stays", "wanted", "occurrences", "groups", "members", "star", "sets", "placed", "apart", "open")
+    ws.tidy()
+    return out
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
