@@ -40,7 +40,7 @@ SHARD = 1 << 21
 #: Bits that the rank directory has a sum for.
 SPAN = 512
 #: Pieces a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 #: The split below and the library's agree on all characters whose first UTF-8 byte is smaller.
 AGREED, FIRST_UNSURE = 0xD5, 0x540
 SPECIAL = "<|"
@@ -192,23 +192,23 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.kind = _classes()
-        self.value = np.random.default_rng(11).integers(1, 2**63, FIRST_UNSURE, dtype=np.uint64)
+        self.value, self.other = np.random.default_rng(11).integers(1, 2**63, (2, FIRST_UNSURE), dtype=np.uint64)
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[int, int] = {}
-        self.pieces: list[str] = []
+        self.second = np.zeros(0, np.uint64)
         self.ids, self.ends, self.blocks = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def _forget(self) -> None:
         """Keeps the pieces that more than one block had, if that makes room."""
         keep = np.flatnonzero(self.blocks > 1)
-        known, pieces, ids, ends = self.known, self.pieces, self.ids, self.ends
+        known, second, ids, ends = self.known, self.second, self.ids, self.ends
         self._clear()
         if len(keep) <= REMEMBERED // 2:
             new = {old: k for k, old in enumerate(keep.tolist())}
             self.known = {h: new[p] for h, p in known.items() if p in new}
-            self.pieces = [pieces[p] for p in keep.tolist()]
+            self.second = second[keep]
             size = np.diff(ends)[keep]
             upto = np.cumsum(size)
             self.ends = np.concatenate([[0], upto])
@@ -218,10 +218,10 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str], hashes: list[int]) -> None:
+    def _learn(self, pieces: list[str], hashes: list[int], second: np.ndarray) -> None:
         made = [array("I", e.ids) for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        self.known.update(zip(hashes, range(len(self.pieces), len(self.pieces) + len(pieces)), strict=True))
-        self.pieces += pieces
+        self.known.update(zip(hashes, range(len(self.second), len(self.second) + len(pieces)), strict=True))
+        self.second = np.concatenate([self.second, second])
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(m.tobytes() for m in made), "<u4")])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(m) for m in made])])
         self.blocks = np.concatenate([self.blocks, np.zeros(len(made), np.int32)])
@@ -237,14 +237,17 @@ class Encoder:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value[codes] * powers[: len(codes)])])
         hashes = wordhash.mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
         distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        names, spans = distinct.tolist(), list(zip(begin[at].tolist(), end[at].tolist()))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.other[codes] * powers[: len(codes)])])
+        second = (sums[end[at]] - sums[begin[at]]) * inverse[begin[at]]
+        names = distinct.tolist()
         if len(self.known) + len(names) > REMEMBERED:
             self._forget()
         new = [k for k, h in enumerate(names) if h not in self.known]
         if new:
-            self._learn([every[slice(*spans[k])] for k in new], [names[k] for k in new])
+            spans = zip(begin[at[new]].tolist(), end[at[new]].tolist())
+            self._learn([every[a:b] for a, b in spans], [names[k] for k in new], second[new])
         places = [self.known[h] for h in names]
-        if any(self.pieces[p] != every[a:b] for p, (a, b) in zip(places, spans)):  # two pieces of one hash
+        if (self.second[places] != second).any():  # two pieces of one hash
             return self._whole(texts)
         self.blocks[places] += 1
         place = np.array(places, np.int64)[back]
