@@ -31,9 +31,9 @@ def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each group that links join: the one of least doc_id, and of equals the least row."""
     ws = Workspace(spark, "groups")
     found = ws.put(setjoin.join(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct(), "first")
-    kept = docs.join(found, "doc_id", "left_semi")
-    nameless = docs.where("doc_id is null")  # no id, no group: they stay
-    return kept.unionByName(nameless).groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64(*docs.columns)).alias("own")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    kept = docs.join(found, "doc_id", "left_semi").select(docs.columns)
+    one = kept.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")  # dealt by doc_id already
+    return one.unionByName(docs.where("doc_id is null"))  # no id, no group: they stay
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,6 +80,7 @@ def line_roots(docs: DataFrame, distinct: DataFrame, ws: Workspace, length: int)
     ws.tidy()
     shared = maybe(banded.withColumnRenamed("band", "doc"), groups.select(F.col("band").alias("doc"))).where("likely")
     found = ws.put(shared.select("h", F.col("doc").alias("band")).join(groups, "band"), "found")
+    ws.drop("groups")
     ws.tidy()
     # the first of a group is the line with most company in all its groups: copies are more alike it than one another
     company = found.groupBy("h").agg(F.sum("n").alias("company"))
@@ -93,15 +94,20 @@ def line_roots(docs: DataFrame, distinct: DataFrame, ws: Workspace, length: int)
     sets = ws.put(likely.join(asked, "h", "left_semi").select("h", _shingles(F.col("line"), length).alias("set")), "sets")
     ws.tidy()
     links = ws.put(_verified(star, sets), "links-1")
+    ws.drop("star")
+    ws.tidy()
     first = ws.put(components(links, ws, "first"), "roots-1")
 
     # what is still apart from most of its group is compared with all that are apart from it: with a
     # block of them at a time, inside a row, so that pairs are never rows
     roots = first.select(F.col("node").alias("h"), "root")
     placed = ws.put(members.select("band", "h").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "placed")
+    ws.drop("members")
     shares = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band")
     apart = shares.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("band", "main")
     open_ = ws.put(placed.join(ws.put(apart, "apart"), "band").join(sets, "h"), "open")
+    ws.drop("placed", "apart", "sets")
+    ws.tidy()
     outside = open_.where("root <> main").select("band", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("set").alias("sa"))
     one = F.struct(F.col("h").alias("b"), F.col("root").alias("rb"), F.col("set").alias("sb"))
     numbered = open_.join(open_.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "band")
@@ -133,7 +139,7 @@ def removed_places(docs: DataFrame, ws: Workspace, length: int = LENGTH) -> Data
     stay = ws.put(every.groupBy("root").agg(F.min(seat).alias("stays")), "stays")
     gone = every.join(stay, "root").where(~seat.eqNullSafe(F.col("stays")))
     out = ws.put(gone.groupBy("doc").agg(F.collect_set("place").alias("removed")), "removed")
-    ws.drop("lines", "distinct", "stays", "wanted", "occurrences", "groups", "members", "star", "sets", "placed", "apart", "open")
+    ws.drop("lines", "distinct", "stays", "wanted", "occurrences", "open")
     ws.tidy()
     return out
 
