@@ -25,7 +25,7 @@ from tidewell.llm.components import components
 from tidewell.llm.substrings import maybe
 from tidewell.llm.workspace import Workspace
 
-LENGTH = 12
+LENGTH = 5
 #: Hashes of a signature.
 KEPT = 4
 #: Similar: SHARE[1] * intersection >= SHARE[0] * union.
