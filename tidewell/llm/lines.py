@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-The shingles of a line are its runs of ``LENGTH`` characters that begin a word. The signature is its
-least shingle hashes (bottom-k MinHash); every two of them make a band. Lines that share a band are
+The shingles of a line are its runs of ``LENGTH`` characters, from every character on. The signature is
+its least shingle hashes (bottom-k MinHash); every two of them make a band. Lines that share a band are
 candidates: each is compared with the line of its group that has most company, and then, if it is not
 in one component with most of its group, with all members, by the exact Jaccard similarity of their
 shingle sets. Components are found
@@ -12,8 +12,8 @@ Lines are grouped by a 64-bit hash; their texts are read again for candidates on
 shuffled but with documents that lose a line.
 
 Defined cases: a null text stays null and has no lines. Lines without a word are no lines: they are
-neither compared nor removed. A line with no shingle of full length only equals itself. Rows of one
-doc_id and text are treated alike. Null doc_ids come first.
+neither compared nor removed. A line shorter than a shingle only equals itself. Rows of one doc_id
+and text are treated alike. Null doc_ids come first.
 """
 
 from __future__ import annotations
@@ -46,8 +46,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _shingles(line: Column, length: int) -> Column:
-    # a match takes a whole word, so that the search goes on at the next one, not at the next character
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{length}}}))[^{SPACE}]++[{SPACE}]*+"), F.lit(1))
+    # a match takes one character, so that the search goes on at the next one
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{length}}}))."), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
@@ -61,11 +61,17 @@ def _bands() -> Column:
     return F.array_compact(F.array(*pairs, alone))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that are similar, with their distance."""
-    one, two = (sets.select(F.col("h").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
+def _fenced(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """df with further columns, each computed once: nothing moves below a generator, into the lambdas."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """Pairs (a, b) that are similar."""
+    one, two = (texts.select(F.col("h").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+    both = _fenced(pairs.join(one, "a").join(two, "b"), ["a", "b"], sa=_shingles(F.col("la"), length), sb=_shingles(F.col("lb"), length))
     inner = F.size(F.array_intersect("sa", "sb"))
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", inner.alias("inner"), (F.size("sa") + F.size("sb") - inner).alias("outer"))
+    met = both.select("a", "b", inner.alias("inner"), (F.size("sa") + F.size("sb") - inner).alias("outer"))
     return met.where(SHARE[1] * F.col("inner") >= SHARE[0] * F.col("outer")).select("a", "b")
 
 
@@ -91,9 +97,10 @@ def line_roots(docs: DataFrame, distinct: DataFrame, ws: Workspace, length: int)
     asked = star.select(F.col("a").alias("h")).unionByName(star.select(F.col("b").alias("h"))).distinct()
     again = _lines(docs).select(F.col("h").alias("doc"), "line")
     likely = maybe(again, asked.select(F.col("h").alias("doc"))).where("likely").groupBy(F.col("doc").alias("h")).agg(F.first("line").alias("line"))
-    sets = ws.put(likely.join(asked, "h", "left_semi").select("h", _shingles(F.col("line"), length).alias("set")), "sets")
+    # texts, not sets: a set of hashes has eight times the bytes of its line
+    texts = ws.put(likely.join(asked, "h", "left_semi").select("h", "line"), "texts")
     ws.tidy()
-    links = ws.put(_verified(star, sets), "links-1")
+    links = ws.put(_verified(star, texts, length), "links-1")
     ws.drop("star")
     ws.tidy()
     first = ws.put(components(links, ws, "first"), "roots-1")
@@ -105,21 +112,30 @@ def line_roots(docs: DataFrame, distinct: DataFrame, ws: Workspace, length: int)
     ws.drop("members")
     shares = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band")
     apart = shares.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("band", "main")
-    open_ = ws.put(placed.join(ws.put(apart, "apart"), "band").join(sets, "h"), "open")
-    ws.drop("placed", "apart", "sets")
+    open_ = ws.put(placed.join(ws.put(apart, "apart"), "band").join(texts, "h"), "open")
+    ws.drop("placed", "apart", "texts")
     ws.tidy()
-    outside = open_.where("root <> main").select("band", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("set").alias("sa"))
-    one = F.struct(F.col("h").alias("b"), F.col("root").alias("rb"), F.col("set").alias("sb"))
+    one = F.struct("root", "line")
     numbered = open_.join(open_.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "band")
-    blocks = numbered.groupBy("band", F.pmod(F.xxhash64("h"), F.col("blocks")).alias("block")).agg(F.collect_list(one).alias("others"))
+    blocks = numbered.groupBy("band", F.pmod(F.xxhash64("h"), F.col("blocks")).alias("block"))
+    blocks = ws.put(blocks.agg(F.collect_list(one).alias("others"), F.collect_list(F.when(F.col("root") != F.col("main"), one)).alias("outside")), "blocks")
+    ws.drop("open")
+    pairs = blocks.where(F.size("outside") > 0).select("band", "outside").join(blocks.select("band", "others"), "band")
 
-    def similar(x: Column) -> Column:
-        n, m = F.size("sa"), F.size(x["sb"])
-        inner = F.size(F.array_intersect("sa", x["sb"]))
+    def with_sets(members: str) -> Column:
+        return F.transform(members, lambda x: F.struct(x["root"].alias("root"), _shingles(x["line"], length).alias("set")))
+
+    def similar(x: Column, y: Column) -> Column:
+        n, m = F.size(x["set"]), F.size(y["set"])
+        inner = F.size(F.array_intersect(x["set"], y["set"]))
         sized = (n * SHARE[1] >= m * SHARE[0]) & (m * SHARE[1] >= n * SHARE[0])
-        return (x["rb"] != F.col("ra")) & sized & (SHARE[1] * inner >= SHARE[0] * (n + m - inner))
+        return (x["root"] != y["root"]) & sized & (SHARE[1] * inner >= SHARE[0] * (n + m - inner))
+
+    def links_of(x: Column) -> Column:
+        return F.transform(F.filter("others", lambda y: similar(x, y)), lambda y: F.struct(x["root"].alias("ra"), y["root"].alias("rb")))
 
-    met = outside.join(blocks, "band").select("ra", F.explode(F.array_distinct(F.transform(F.filter("others", similar), lambda x: x["rb"]))).alias("rb"))
+    open_sets = _fenced(pairs, [], outside=with_sets("outside"), others=with_sets("others"))
+    met = open_sets.select(F.inline(F.array_distinct(F.flatten(F.transform("outside", links_of)))))
     more = met.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
     return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), ws, "second")
 
@@ -139,7 +155,7 @@ def removed_places(docs: DataFrame, ws: Workspace, length: int = LENGTH) -> Data
     stay = ws.put(every.groupBy("root").agg(F.min(seat).alias("stays")), "stays")
     gone = every.join(stay, "root").where(~seat.eqNullSafe(F.col("stays")))
     out = ws.put(gone.groupBy("doc").agg(F.collect_set("place").alias("removed")), "removed")
-    ws.drop("lines", "distinct", "stays", "wanted", "occurrences", "open")
+    ws.drop("lines", "distinct", "stays", "wanted", "occurrences", "blocks")
     ws.tidy()
     return out
 
