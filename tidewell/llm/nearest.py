@@ -31,7 +31,8 @@ SAMPLE = 20_000
 LISTS, CODES = 4096, 256
 #: Components that share a code.
 WIDTH = 4
-#: How many lists queries visit is set so that, among the sample, lists hold this share of neighbours.
+#: How many lists queries visit is set so that, among the sample, lists hold this share of the neighbours
+#: of each run of so many vectors.
 TARGET, TRIALS = 0.95, 256
 #: Vectors and queries that meet in a block, about.
 BLOCK, QUERIES = 4096, 512
@@ -104,15 +105,25 @@ def fit(sample: np.ndarray, total: int) -> Quantiser:
 
 
 def calibrate(sample: np.ndarray, quantiser: Quantiser, k: int) -> int:
-    """Lists to visit: by brute force inside the sample, so many hold TARGET of the k nearest."""
-    asked = sample[:TRIALS]
-    exact = asked @ sample.T
-    exact[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-    near = np.argsort(-exact, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+    """Lists to visit: by brute force inside the sample, so many hold TARGET of the k nearest.
+
+    All of the sample is asked, in runs of TRIALS in its order, and the run that needs most lists decides:
+    ids may follow clusters, and what is enough for one is not for another.
+    """
+    few = min(k, len(sample) - 1)
+    if few < 1:
+        return 1
     place = nearest_rows(sample, quantiser.centroids)
-    turn = np.argsort(np.argsort(-(asked @ quantiser.centroids.T), axis=1, kind="stable"), axis=1)
-    turns = np.sort(np.take_along_axis(turn, place[near], 1).ravel())
-    return int(turns[min(len(turns) - 1, int(np.ceil(TARGET * len(turns))))]) + 1 if len(turns) else 1
+    most = 0
+    for at in range(0, len(sample), TRIALS):
+        asked = sample[at : at + TRIALS]
+        exact = asked @ sample.T
+        exact[np.arange(len(asked)), np.arange(at, at + len(asked))] = -np.inf
+        near = np.argpartition(-exact, few - 1, axis=1)[:, :few]
+        turn = np.argsort(np.argsort(-(asked @ quantiser.centroids.T), axis=1, kind="stable"), axis=1)
+        turns = np.sort(np.take_along_axis(turn, place[near], 1).ravel())
+        most = max(most, int(turns[min(len(turns) - 1, int(np.ceil(TARGET * len(turns))))]))
+    return most + 1
 
 
 def blocks_of(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
