@@ -125,6 +125,17 @@ def _(spark, sf_dir):
     return top.select("_position", "event_id", F.row_number().over(Window.orderBy(lsn.sort_key(F.col("_position")))).cast("long").alias("place"))
 
 
+@register("lsn_sort_whole", f"SELECT _position, event_id, row_number() OVER (ORDER BY event_id) AS place FROM {EVENTS_LOG}")
+def _(spark, sf_dir):
+    log = events_log(spark, sf_dir).select("_position", "event_id", lsn.sort_key(F.col("_position")).alias("at"))
+    # places within runs of neighbouring positions, and how many rows the runs before have; only runs are counted in one task
+    log = log.withColumn("run", F.substring("at", 1, 9))
+    within = log.withColumn("n", F.row_number().over(Window.partitionBy("run").orderBy("at")))
+    before = F.sum("rows").over(Window.orderBy("run")) - F.col("rows")
+    runs = log.groupBy("run").agg(F.count("*").alias("rows")).select("run", before.alias("before"))
+    return within.join(runs, "run").orderBy("at").select("_position", "event_id", (F.col("n") + F.col("before")).alias("place"))
+
+
 @register("lsn_numeric_max", "SELECT CAST(max((event_id // 16384) * 4294967296 + (event_id % 16384) * 262144) AS DOUBLE) AS top, CAST(min((event_id // 16384) * 4294967296 + (event_id % 16384) * 262144) AS DOUBLE) AS low FROM events")
 def _(spark, sf_dir):
     n = lsn.number(F.col("_position"))
@@ -294,6 +305,7 @@ sql("join_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_cust
 sql("join_left", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 sql("join_right", "SELECT s_suppkey, n_name FROM nation RIGHT JOIN supplier ON n_nationkey = s_nationkey AND n_regionkey = 1")
 sql("join_full", "SELECT c_custkey, s_suppkey FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN (SELECT s_suppkey FROM supplier) s ON c_custkey = s_suppkey")
+sql("join_full_whole", "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey")
 sql("join_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey")
 sql("join_anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
 sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
@@ -328,6 +340,7 @@ sql("qualify", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (
 
 for _name, _op in (("union_all", "UNION ALL"), ("union_distinct", "UNION"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL")):
     sql(f"set_{_name}", f"SELECT c_nationkey AS k FROM customer WHERE c_custkey < 200 {_op} SELECT s_nationkey FROM supplier")
+    sql(f"set_{_name}_whole", f"SELECT c_nationkey AS k FROM customer {_op} SELECT s_nationkey FROM supplier")
 sql("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey ASC NULLS FIRST LIMIT 20 OFFSET 5")
 sql("cte", "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 200000), per AS (SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey) SELECT n, count(*) AS customers FROM per GROUP BY n")
 sql("recursive_cte", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
