@@ -1,19 +1,26 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-The shingles of a line are its runs of ``LENGTH`` characters, from every character on. The signature is
-its least shingle hashes (bottom-k MinHash); every two of them make a band. Lines that share a band are
-candidates: each is compared with the line of its group that has most company, and then, if it is not
-in one component with most of its group, with all members, by the exact Jaccard similarity of their
-shingle sets. Components are found
-by distributed star rounds. Of each component the first line, by (doc_id, place), stays; all other
+The shingles of a line are its runs of ``LENGTH`` characters, from every character on; two lines are
+similar if the Jaccard similarity of these sets is at least ``SHARE``. Candidates come from signatures:
+the least values of ``HASHES`` hash functions over the line's runs of ``GRAM`` characters, of every
+offset (of short lines over their shingles). Each three hashes of ``BANDS`` make a band; lines that
+share a band are a group.
+
+Groups are linked without listing their pairs. In each group every line is compared exactly with one
+pivot, the line that has most company in all its groups. Groups whose lines are in one component by
+then are done, however large. Of the others those of more than ``BLOCK`` lines are split by a further
+hash of the signature, in every way, and get pivots anew. The signatures of lines that are still apart
+then meet those of all lines of their group, block by block inside a row, and each is compared exactly
+with those that it agrees with most; that goes on until no root changes. Components are found by
+distributed star rounds. Of each component the first line, by (doc_id, place), stays; all other
 occurrences go, those of equal lines included.
 
-Lines are grouped by a 64-bit hash; their texts are read again for candidates only, and never
-shuffled but with documents that lose a line.
+Lines are known by a 64-bit hash. Texts of candidates are read again, of one occurrence each.
 
 Defined cases: a null text stays null and has no lines. Lines without a word are no lines: they are
 neither compared nor removed. A line shorter than a shingle only equals itself. Rows of one doc_id
-and text are treated alike. Null doc_ids come first.
+and text are treated alike. Null doc_ids come first. Other columns, of any name and type, are carried
+along. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,17 +33,31 @@ from tidewell.llm.substrings import maybe
 from tidewell.llm.workspace import Workspace
 
 LENGTH = 5
-#: Hashes of a signature.
-KEPT = 4
 #: Similar: SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (75, 100)
+#: Characters of the runs that signatures are made of. Longer than a shingle, as unrelated lines of one language share many shingles.
+GRAM = 7
+#: Lines of at most SHORT[1] characters have a signature of shingles, those of at least SHORT[0] one of longer runs: similar lines have one in common.
+SHORT = (16, 24)
+HASHES = 12
+#: Threes of hashes, no two of which share more than one. At a similarity of 0.7 of the runs 97 % of pairs share a band.
+BANDS = [(i, 4 + j, 8 + (i + j) % 4) for i in range(4) for j in range(4)]
+#: Candidates agree in so many hashes at least; at a similarity of 0.7 of the runs 99 % of pairs do.
+AGREED = 5
+#: Offsets whose hashes are computed together. More do not fit into a method that the JVM compiles.
+STEP = 8
 #: Lines of a group that another is compared with at a time, about.
 BLOCK = 256
 SPACE = r"\x20\x09-\x0D"
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.xxhash64(F.col(key), F.col(text), F.col(key).isNull()).alias("doc"), F.col(key).alias("id"), F.col(text).alias("text"))
+    whole = F.col(f"`{text}`")
+    return df.select(_doc(key, text), F.col(f"`{key}`").alias("id"), whole.alias("text"))
+
+
+def _doc(key: str, text: str) -> Column:
+    return F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"), F.col(f"`{key}`").isNull()).alias("doc")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -45,20 +66,36 @@ def _lines(docs: DataFrame) -> DataFrame:
     return every.where(F.col("line").rlike(f"[^{SPACE}]")).withColumn("h", F.xxhash64("line"))
 
 
-def _shingles(line: Column, length: int) -> Column:
-    # a match takes one character, so that the search goes on at the next one
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{length}}}))."), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
+def _spot() -> Column:
+    return F.xxhash64("doc", "place")
+
 
+def signed(docs: DataFrame, length: int) -> DataFrame:
+    """Distinct lines: h, width of the runs, n (occurrences), spot (of one of them), m0, m1, ... (the signature).
 
-_LEAST = [f"l{n}" for n in range(KEPT)]
+    A line with two signatures has n = 0 in one of its rows. Characters become four bytes each, so that
+    a run at any offset is a slice; the least values of STEP offsets at a time are found in one row.
+    """
+    short, long = SHORT
+    size = F.length("line")
+    widths = F.array_compact(F.array(F.when(size <= long, F.lit(length)), F.when(size >= short, F.lit(max(GRAM, length)))))
+    rows = _lines(docs).select("h", _spot().alias("spot"), size.alias("size"), F.encode("line", "UTF-32").alias("raw"), F.explode(widths).alias("width"))
+    last = "greatest(0, size - width)"
+    rows = rows.select("h", "spot", "size", "width", "raw", F.explode(F.expr(f"sequence(0, {last}, {STEP})")).alias("at"))
+    here = F.expr(f"if(at = 0 and (width = {length} or size > {long}), 1, 0)").alias("here")
+    rows = rows.select("h", "spot", "width", here, F.expr(f"substring(raw, 4 * at + 1, 4 * ({STEP - 1} + width))").alias("part"), F.expr(f"4 * ({last} - at)").alias("most"), F.expr("4 * width").alias("bytes"))
+    # beyond the last offset the last one again: the least stays the same
+    hashes = [F.expr(f"xxhash64(substring(part, least({4 * k}, most) + 1, bytes))").alias(f"x{k}") for k in range(STEP)]
+    rows = rows.select("h", "spot", "width", "here", *hashes)
+    # a hash function for each constant: the order of values after XOR with it
+    masks = [(k + 1) * 0x9E3779B97F4A7C15 % 2**63 for k in range(HASHES)]
+    least = [F.least(*[F.col(f"x{k}").bitwiseXOR(F.lit(m)) for k in range(STEP)]).alias(f"m{n}") for n, m in enumerate(masks)]
+    rows = rows.select("h", "spot", "width", "here", *least)
+    return rows.groupBy("h", "width").agg(F.sum("here").alias("n"), F.min("spot").alias("spot"), *[F.min(f"m{n}").alias(f"m{n}") for n in range(HASHES)])
 
 
 def _bands() -> Column:
-    """Each two of a signature's hashes (columns, null from the last on); a signature of one is a band."""
-    pairs = [F.when(F.col(y).isNotNull(), F.xxhash64(x, y)) for n, x in enumerate(_LEAST) for y in _LEAST[n + 1 :]]
-    alone = F.when(F.col(_LEAST[0]).isNotNull() & F.col(_LEAST[1]).isNull(), F.xxhash64(_LEAST[0]))
-    return F.array_compact(F.array(*pairs, alone))
+    return F.array(*[F.xxhash64("width", F.lit(n), *[f"m{k}" for k in band]) for n, band in enumerate(BANDS)])
 
 
 def _fenced(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
@@ -66,96 +103,139 @@ def _fenced(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def _shingles(line: Column, length: int) -> Column:
+    """Hashes of a line's shingles, equal ones as often as they come: in pieces, so that a long line costs no more a character."""
+    pieces = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{length},{length + 31}}})).{{1,32}}"), F.lit(1))
+    return F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (length - 1)), lambda i: F.xxhash64(F.substr(p, i, F.lit(length))))))
+
+
+def _similar(inner: Column, n: Column, m: Column) -> Column:
+    return SHARE[1] * inner >= SHARE[0] * (n + m - inner)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """Pairs (a, b) that are similar."""
     one, two = (texts.select(F.col("h").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
-    both = _fenced(pairs.join(one, "a").join(two, "b"), ["a", "b"], sa=_shingles(F.col("la"), length), sb=_shingles(F.col("lb"), length))
-    inner = F.size(F.array_intersect("sa", "sb"))
-    met = both.select("a", "b", inner.alias("inner"), (F.size("sa") + F.size("sb") - inner).alias("outer"))
-    return met.where(SHARE[1] * F.col("inner") >= SHARE[0] * F.col("outer")).select("a", "b")
+    sets = {f"s{x}": F.array_distinct(_shingles(F.col(f"l{x}"), length)) for x in "ab"}
+    both = _fenced(pairs.join(one, "a").join(two, "b"), ["a", "b"], **sets)
+    met = _fenced(both, ["a", "b"], n=F.size("sa"), m=F.size("sb"), inner=F.size(F.array_intersect("sa", "sb")))
+    return met.where(_similar(F.col("inner"), F.col("n"), F.col("m"))).select("a", "b")
+
+
+def _star(members: DataFrame, signatures: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """(a, b): every member (key, h, width, n) of a group with its pivot, once each, if their signatures agree."""
+    company = members.groupBy("h").agg(F.sum("n").alias("company"))
+    sized = ws.put(members.join(company, "h"), f"{name}-sized")
+    # copies are more alike the line with most company than one another
+    most = sized.groupBy("key").agg(F.max("company").alias("company"))
+    first = sized.join(most, ["key", "company"]).groupBy("key").agg(F.min("h").alias("pivot"))
+    star = sized.join(first, "key").where("h <> pivot").select(F.least("h", "pivot").alias("a"), F.greatest("h", "pivot").alias("b"), "width").distinct()
+    one, two = (signatures.select(F.col("h").alias(x), "width", *[F.col(f"m{n}").alias(f"{x}{n}") for n in range(HASHES)]) for x in "ab")
+    agreed = sum(((F.col(f"a{n}") == F.col(f"b{n}")).cast("int") for n in range(HASHES)), F.lit(0))
+    out = ws.put(star.join(one, ["a", "width"]).join(two, ["b", "width"]).where(agreed >= AGREED).select("a", "b").distinct(), name)
+    ws.drop(f"{name}-sized")
+    return out
+
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (key, h, width, n) with ``root`` and their group's ``main`` root, of groups that are not in one component; of two lines the star has compared both."""
+    placed = members.where("n > 2").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    shares = placed.groupBy("key", "root").agg(F.count("*").alias("share")).groupBy("key")
+    # the largest share, as a number that a hash table can keep; of equals any
+    most = shares.agg(F.max("share").alias("share"), F.count("*").alias("roots")).where("roots > 1")
+    main = placed.groupBy("key", "root").agg(F.count("*").alias("share")).join(most, ["key", "share"]).groupBy("key").agg(F.min("root").alias("main"))
+    return placed.join(main, "key")
 
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
+def _finer(members: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Members (key, h, width, n) of the groups' parts: those that agree in one more hash, for each of the hashes."""
+    every = F.array(*[F.xxhash64("key", F.lit(n), f"m{n}") for n in range(HASHES)])
+    split = members.select("key", "h", "width").join(signatures, ["h", "width"]).select("h", "width", F.explode(every).alias("key"))
+    many = split.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return split.join(many, "key")
 
-def line_roots(docs: DataFrame, distinct: DataFrame, ws: Workspace, length: int) -> DataFrame:
+
+def _nearest(members: DataFrame, signatures: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """(a, b): lines apart from their group's main component, each with the two lines of each block of the group it agrees with most.
+
+    One of the two is in the main component, the other in a third one.
+    """
+    one = F.struct("h", "root", F.array(*[f"m{n}" for n in range(HASHES)]).alias("signature"))
+    numbered = members.join(signatures, ["h", "width"]).withColumn("block", F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / BLOCK)))
+    apart = F.when(F.col("root") != F.col("main"), one)
+    blocks = ws.put(numbered.groupBy("key", "block").agg(F.collect_list(one).alias("others"), F.collect_list(apart).alias("apart"), F.first("main").alias("main")), f"{name}-blocks")
+    pairs = blocks.where(F.size("apart") > 0).select("key", "apart").join(blocks.select("key", "others", "main"), "key")
+
+    def best(main: bool):
+        return lambda x: best_of(x, main)
+
+    def best_of(x: Column, main: bool) -> Column:
+        there = F.filter("others", lambda y: (y["root"] != x["root"]) & ((y["root"] == F.col("main")) == F.lit(main)))
+        agreed = F.transform(there, lambda y: F.struct(F.size(F.filter(F.zip_with(x["signature"], y["signature"], lambda p, q: p == q), lambda z: z)).alias("agreed"), y["h"].alias("h")))
+        most = F.array_max(agreed)
+        return F.struct(x["h"].alias("a"), F.when(most["agreed"] >= AGREED, most["h"]).alias("b"))
+
+    met = pairs.select(F.inline(F.concat(*[F.transform("apart", best(m)) for m in (True, False)])))
+    return ws.put(met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+
+
+def line_roots(docs: DataFrame, signatures: DataFrame, ws: Workspace, length: int) -> DataFrame:
     """(node, root) of lines that have a similar other one."""
-    banded = distinct.select("h", F.explode(_bands()).alias("band"))
-    groups = ws.put(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "groups")
-    ws.tidy()
-    shared = maybe(banded.withColumnRenamed("band", "doc"), groups.select(F.col("band").alias("doc"))).where("likely")
-    found = ws.put(shared.select("h", F.col("doc").alias("band")).join(groups, "band"), "found")
+    banded = signatures.select("h", "width", F.explode(_bands()).alias("key"))
+    groups = ws.put(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    members = ws.put(maybe(banded, groups, "key").where("likely").drop("likely").join(groups, "key"), "members")
     ws.drop("groups")
-    ws.tidy()
-    # the first of a group is the line with most company in all its groups: copies are more alike it than one another
-    company = found.groupBy("h").agg(F.sum("n").alias("company"))
-    first_of = found.join(company, "h").groupBy("band").agg(F.max_by("h", F.struct("company", "h")).alias("pivot"))
-    members = ws.put(found.join(ws.put(first_of, "pivots"), "band").select("h", "band", "pivot"), "members")
-    ws.drop("found", "pivots")
-    star = ws.put(members.where("h <> pivot").select(*_ordered("h", "pivot")).distinct(), "star")
-    asked = star.select(F.col("a").alias("h")).unionByName(star.select(F.col("b").alias("h"))).distinct()
-    again = _lines(docs).select(F.col("h").alias("doc"), "line")
-    likely = maybe(again, asked.select(F.col("h").alias("doc"))).where("likely").groupBy(F.col("doc").alias("h")).agg(F.first("line").alias("line"))
+    signatures = ws.put(signatures.drop("n").join(members.select("h").distinct(), "h", "left_semi"), "candidates")
+    star = _star(members, signatures, ws, "star")
+    again = maybe(_lines(docs).select("h", _spot().alias("spot"), "line"), signatures, "spot").where("likely")
     # texts, not sets: a set of hashes has eight times the bytes of its line
-    texts = ws.put(likely.join(asked, "h", "left_semi").select("h", "line"), "texts")
+    texts = ws.put(again.groupBy("h").agg(F.first("line").alias("line")).join(signatures, "h", "left_semi"), "texts")
     ws.tidy()
-    links = ws.put(_verified(star, texts, length), "links-1")
-    ws.drop("star")
-    ws.tidy()
-    first = ws.put(components(links, ws, "first"), "roots-1")
+    links = ws.put(_verified(star, texts, length), "links-0")
+    roots = ws.put(components(links, ws, "first"), "roots-0")
 
-    # what is still apart from most of its group is compared with all that are apart from it: with a
-    # block of them at a time, inside a row, so that pairs are never rows
-    roots = first.select(F.col("node").alias("h"), "root")
-    placed = ws.put(members.select("band", "h").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "placed")
+    open_ = ws.put(_open(members, roots), "open-0")
     ws.drop("members")
-    shares = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band")
-    apart = shares.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("band", "main")
-    open_ = ws.put(placed.join(ws.put(apart, "apart"), "band").join(texts, "h"), "open")
-    ws.drop("placed", "apart", "texts")
-    ws.tidy()
-    one = F.struct("root", "line")
-    numbered = open_.join(open_.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "band")
-    blocks = numbered.groupBy("band", F.pmod(F.xxhash64("h"), F.col("blocks")).alias("block"))
-    blocks = ws.put(blocks.agg(F.collect_list(one).alias("others"), F.collect_list(F.when(F.col("root") != F.col("main"), one)).alias("outside")), "blocks")
-    ws.drop("open")
-    pairs = blocks.where(F.size("outside") > 0).select("band", "outside").join(blocks.select("band", "others"), "band")
-
-    def with_sets(members: str) -> Column:
-        return F.transform(members, lambda x: F.struct(x["root"].alias("root"), _shingles(x["line"], length).alias("set")))
-
-    def similar(x: Column, y: Column) -> Column:
-        n, m = F.size(x["set"]), F.size(y["set"])
-        inner = F.size(F.array_intersect(x["set"], y["set"]))
-        sized = (n * SHARE[1] >= m * SHARE[0]) & (m * SHARE[1] >= n * SHARE[0])
-        return (x["root"] != y["root"]) & sized & (SHARE[1] * inner >= SHARE[0] * (n + m - inner))
-
-    def links_of(x: Column) -> Column:
-        return F.transform(F.filter("others", lambda y: similar(x, y)), lambda y: F.struct(x["root"].alias("ra"), y["root"].alias("rb")))
-
-    open_sets = _fenced(pairs, [], outside=with_sets("outside"), others=with_sets("others"))
-    met = open_sets.select(F.inline(F.array_distinct(F.flatten(F.transform("outside", links_of)))))
-    more = met.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-    return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), ws, "second")
+    large, number, tried = open_.where(F.col("n") > BLOCK), 0, star
+    if not large.isEmpty():
+        parts = ws.put(_finer(large, signatures), "parts")
+        fresh = _star(parts, signatures, ws, "star-1").join(star, ["a", "b"], "left_anti")
+        roots = _joined(roots, ws.put(_verified(fresh, texts, length), "links-1"), ws, "roots-1")
+        members = open_.where(F.col("n") <= BLOCK).select("key", "h", "width", "n").unionByName(parts)
+        open_, number, tried = ws.put(_open(members, roots), "open-1"), 1, star.unionByName(ws.read("star-1"))
+    while True:
+        number += 1
+        near = _nearest(open_, signatures, ws, f"near-{number}")
+        more = ws.put(_verified(near.join(tried, ["a", "b"], "left_anti"), texts, length), f"links-{number}")
+        if more.isEmpty():
+            return roots
+        tried = tried.unionByName(near)
+        roots = _joined(roots, more, ws, f"roots-{number}")
+        # only groups that have a line with another root than before can link more
+        moved = open_.join(roots.select(F.col("node").alias("h"), F.col("root").alias("now")), "h").where("root <> now").select("key").distinct()
+        open_ = ws.put(_open(open_.select("key", "h", "width", "n").join(moved, "key", "left_semi"), roots), f"open-{number}")
+
+
+def _joined(roots: DataFrame, links: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return ws.put(components(known.unionByName(links), ws, f"{name}-star"), name)
 
 
 def removed_places(docs: DataFrame, ws: Workspace, length: int = LENGTH) -> DataFrame:
     """(doc, removed): places of the lines that go, a row for each document that loses any."""
-    signed = _lines(docs).withColumn("least", F.slice(_shingles(F.col("line"), length), 1, KEPT))
-    lines = ws.put(signed.select("doc", "id", "place", "h", *[F.get("least", n).alias(c) for n, c in enumerate(_LEAST)]), "lines")
-    # longs only, so that lines are counted in hash tables
-    distinct = ws.put(lines.groupBy("h").agg(*[F.first(c).alias(c) for c in _LEAST], F.count("*").alias("n")), "distinct")
+    signatures = ws.put(signed(docs, length), "signatures")
+    ws.tidy()
+    roots = line_roots(docs, signatures, ws, length)
     ws.tidy()
-    roots = ws.put(line_roots(docs, distinct, ws, length), "roots-2")
-    rooted = distinct.select("h", "n").join(roots.withColumnRenamed("node", "h"), "h", "left")
+    rooted = signatures.groupBy("h").agg(F.sum("n").alias("n")).join(roots.withColumnRenamed("node", "h"), "h", "left")
     wanted = ws.put(rooted.where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root")), "wanted")
-    every = ws.put(lines.select("doc", "id", "place", "h").join(wanted, "h").drop("h"), "occurrences")
+    occurrences = maybe(_lines(docs).select("doc", "id", "place", "h"), wanted, "h").where("likely").drop("likely")
+    every = ws.put(occurrences.join(wanted, "h").drop("h"), "occurrences")
     seat = F.struct("id", "doc", "place")
     stay = ws.put(every.groupBy("root").agg(F.min(seat).alias("stays")), "stays")
     gone = every.join(stay, "root").where(~seat.eqNullSafe(F.col("stays")))
     out = ws.put(gone.groupBy("doc").agg(F.collect_set("place").alias("removed")), "removed")
-    ws.drop("lines", "distinct", "stays", "wanted", "occurrences", "blocks")
+    ws.drop("signatures", "candidates", "texts", "stays", "wanted", "occurrences")
     ws.tidy()
     return out
 
@@ -170,8 +250,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     docs = _keyed(df, key, text)
     removed = removed_places(docs, ws, length)
     whole = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, named)])
-    rows = df.select(F.xxhash64(F.col(key), F.col(text), F.col(key).isNull()).alias("doc"), whole.alias("row"), F.split(F.col(text), "\n", -1).alias("lines"))
-    split = maybe(rows, removed)
+    rows = df.select(_doc(key, text), whole.alias("row"), F.split(F.col(f"`{text}`"), "\n", -1).alias("lines"))
+    split = maybe(rows, removed, "doc")
     own = named[df.columns.index(text)]
     same = split.where(~F.col("likely")).select("row", F.col(f"row.{own}").alias("left"), F.lit(0).alias("n"))
     some = split.where("likely").join(removed, "doc", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
@@ -186,7 +266,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
 
 def digest(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """A row for each row of df: key, n_lines (with a word), n_removed_lines, kept_sha256 of the text left."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     n = F.size(F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))).cast("long")
-    out = dedup(df.select(F.col(key).alias("doc_id"), n.alias("n_lines"), F.col(text).alias("text")), "doc_id", "text", length)
+    out = dedup(df.select(F.col(f"`{key}`").alias("doc_id"), n.alias("n_lines"), F.col(f"`{text}`").alias("text")), "doc_id", "text", length)
     return out.select(F.col("doc_id").alias(key), "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

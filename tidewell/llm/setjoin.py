@@ -430,8 +430,8 @@ def class_components(df: DataFrame, ws: Workspace, key: str = "doc_id", text: st
                 classes += [class_of(s) if len(s) else None for s in shingle_sets(some, length)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes, pa.int64()), b.column(1)], ["h", "doc", "text"])
 
-    rows = df.select(F.xxhash64(F.col(key)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    likely = maybe(rows, placed.select(F.col("h").alias("doc"))).where("likely").select(F.col("doc").alias("h"), "text")
+    rows = df.select(F.xxhash64(F.col(key)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    likely = maybe(rows, placed, "h").where("likely").select("h", "text")
     spread = F.pmod(F.xxhash64("coarse"), F.lit(8 * buckets))  # small components share a task's call
     inside = likely.mapInArrow(classed, "h bigint, doc bigint, text string").withColumnRenamed("h", "own").join(placed, "doc").where("own = h")
     inside = inside.withColumn("key", F.when(F.col("blocks") == 1, spread).otherwise(F.xxhash64("coarse", "block")))

@@ -32,8 +32,8 @@ from tidewell.llm.workspace import Workspace
 
 WIDTH, GRAM = 35, 18
 FAN_IN = 4
-#: Bits of the filter of documents with candidates: 1 MB at most, whatever the input.
-FILTER_BITS = 1 << 23
+#: Bits of a filter of members, at most: 4 MB.
+FILTER_BITS = 1 << 25
 
 
 def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,15 +123,19 @@ class FingerprintIndex:
         return batch.join(self.runs().select("hash").distinct(), "hash", "left_semi")
 
 
-def maybe(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """docs with ``likely``: false only where members (a column doc) lack the doc.
+def maybe(rows: DataFrame, members: DataFrame, name: str) -> DataFrame:
+    """rows with ``likely``: false only where the members (a table) lack the row's value of the column, a long.
 
-    A filter of FILTER_BITS bits, made by Spark and broadcast: its size does not grow.
+    A filter of 16 bits a member, broadcast. Its size is known from the count of the members; were it more
+    than FILTER_BITS, all rows are likely and the join that follows does the work.
     """
-    bit = lambda c: F.pmod(c, F.lit(FILTER_BITS))
-    shifted = F.expr("shiftleft(1L, cast(b % 64 as int))")
-    filled = members.select(bit(F.col("doc")).alias("b")).select(F.expr("b div 64").alias("cell"), shifted.alias("one")).groupBy("cell").agg(F.bit_or("one").alias("bits"))
-    return docs.withColumn("b", bit(F.col("doc"))).withColumn("cell", F.expr("b div 64")).join(F.broadcast(filled), "cell", "left").withColumn("likely", F.coalesce(F.expr("shiftright(bits, cast(b % 64 as int)) & 1 = 1"), F.lit(False))).drop("b", "cell", "bits")
+    bits = max(1 << 16, 1 << (16 * members.count()).bit_length())
+    if bits > FILTER_BITS:
+        return rows.withColumn("likely", F.lit(True))
+    bit = F.pmod(F.xxhash64(name), F.lit(bits))
+    filled = members.select(bit.alias("_bit")).groupBy(F.expr("_bit div 64").alias("_cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_bits"))
+    found = rows.withColumn("_bit", bit).withColumn("_cell", F.expr("_bit div 64")).join(F.broadcast(filled), "_cell", "left")
+    return found.withColumn("likely", F.coalesce(F.expr("shiftright(_bits, cast(_bit % 64 as int)) & 1 = 1"), F.lit(False))).drop("_bit", "_cell", "_bits")
 
 
 def _windows(width: int, gram: int, buckets: int):
@@ -213,7 +217,7 @@ def repeated_windows(docs: DataFrame, ws: Workspace, width: int = WIDTH, gram: i
     ws.drop(*index.names)
     ws.tidy()
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = maybe(docs, candidates).where("likely").select("doc", "text").join(candidates, "doc").select("doc", "text", "places")
+    asked = maybe(docs, candidates, "doc").where("likely").select("doc", "text").join(candidates, "doc").select("doc", "text", "places")
     windows = ws.put(asked.mapInArrow(_windows(width, gram, buckets), "bucket int, docs binary, places binary, windows binary"), "windows")
     known = windows.where("bucket is null").select("docs", "places").mapInArrow(_unpacked, "doc bigint, places binary")
     shared = windows.where("bucket is not null").groupBy("bucket").applyInArrow(_compared, "doc bigint, places binary")
@@ -250,7 +254,7 @@ def _removed(df: DataFrame, key: str, text: str, width: int, gram: int, batches:
     docs = keyed(df, key, text)
     found = repeated_windows(docs, ws, width, gram, batches)
     marks = found.groupBy("doc").agg(F.collect_list("places").alias("places"))
-    split = maybe(docs, found.select("doc"))
+    split = maybe(docs, found, "doc")
     id_type = docs.schema["id"].dataType.simpleString()
     out_type = pa.binary() if kind == "binary" else pa.string()
 

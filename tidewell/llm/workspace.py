@@ -54,6 +54,10 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def read(self, name: str) -> DataFrame:
+        """A table that put() wrote."""
+        return self.spark.read.parquet(self.path(name))
+
     def tidy(self) -> None:
         """Lets go of the shuffle files that no plan needs any more, now rather than some time."""
         gc.collect()
