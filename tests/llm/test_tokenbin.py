@@ -71,3 +71,26 @@ def test_whole_table(spark):
     docs = documents(spark, "/root/testdata/sf0.001")
     got = sorted((True, r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenbin.round_trip(docs, PATH).collect())
     assert got == want([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_blocks_of_one_script():
+    library = tokenizers.Tokenizer.from_file(PATH)
+    for texts in (["漢字"], ["It’s fine — “quoted”."], ["a <|endoftext|>"], [""], ["", "漢字", ""], [], ["א", "ב"]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokenbin.encoder(PATH).block(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_texts_made_to_collide():
+    """Thue-Morse words and their complements have one polynomial hash modulo 2**64, whatever the base."""
+    library = tokenizers.Tokenizer.from_file(PATH)
+    for size in (1024, 2048, 4096):
+        word = "".join("ab"[n.bit_count() & 1] for n in range(size))
+        texts = [word, word.translate(str.maketrans("ab", "ba"))]
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokenbin.encoder(PATH).block(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_run_and_small_memory(monkeypatch):
+    library = tokenizers.Tokenizer.from_file(PATH)
+    monkeypatch.setattr(tokenbin, "REMEMBERED_BYTES", 500)
+    enc, run = tokenbin.Encoder(PATH), "aB3" * 100_000
+    for texts in ([run, "some words"], ["more words here " * 20], ["some words", run[:-1]]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.block(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]

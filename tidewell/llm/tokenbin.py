@@ -8,6 +8,11 @@ read by a few look-ups, without decoding what stands before it.
 Documents are dealt by range of doc_id and written in that order, a bounded shard at a time; the
 manifest names the files of the attempts that succeeded, so tasks may run again on other machines.
 
+Defined cases: a null text counts as empty; each document ends with the end id, so an empty one has
+that alone. Null keys come first, rows of one key follow each other. An empty table writes no file.
+Texts are encoded whole, however long; what a worker remembers is bounded in pieces and in bytes. Only
+the key and the text are read.
+
 File layout, little-endian: magic ``DAC1``; uint32 levels; uint64 documents, ids; per document int64
 doc_id, uint8 whether it is null, uint64 ids before it in the file (arrays, one after the other); per
 level uint64 codes, the chunks, the bitmap (least bit first, padded to 64 bytes) and the directory
@@ -30,7 +35,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm import wordhash
 from tidewell.llm.workspace import Workspace
 
 MAGIC = b"DAC1"
@@ -39,8 +43,8 @@ END_ID = 2
 SHARD = 1 << 21
 #: Bits that the rank directory has a sum for.
 SPAN = 512
-#: Pieces a worker remembers.
-REMEMBERED = 1_500_000
+#: Pieces a worker remembers, and their bytes.
+REMEMBERED, REMEMBERED_BYTES = 1_500_000, 1 << 26
 #: The split below and the library's agree on all characters whose first UTF-8 byte is smaller.
 AGREED, FIRST_UNSURE = 0xD5, 0x540
 SPECIAL = "<|"
@@ -181,9 +185,9 @@ class Encoder:
     """The library's ids of whole texts.
 
     Ids of a text are those of its pieces, one after the other. So the texts of a block are cut into
-    pieces and the pieces hashed, all in numpy; each distinct piece is encoded by the library once and
-    remembered. Texts with special tokens, or with scripts that the two splits might see differently,
-    are given to the library whole.
+    pieces in numpy; each distinct piece is encoded by the library once and remembered, by its bytes.
+    Texts with special tokens, or with scripts that the two splits might see differently, are given to
+    the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -192,68 +196,63 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.kind = _classes()
-        self.value, self.other = np.random.default_rng(11).integers(1, 2**63, (2, FIRST_UNSURE), dtype=np.uint64)
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.second = np.zeros(0, np.uint64)
+        self.known: dict[bytes, int] = {}
+        self.bytes = 0
         self.ids, self.ends, self.blocks = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def _forget(self) -> None:
         """Keeps the pieces that more than one block had, if that makes room."""
         keep = np.flatnonzero(self.blocks > 1)
-        known, second, ids, ends = self.known, self.second, self.ids, self.ends
+        known, ids, ends = self.known, self.ids, self.ends
         self._clear()
-        if len(keep) <= REMEMBERED // 2:
-            new = {old: k for k, old in enumerate(keep.tolist())}
-            self.known = {h: new[p] for h, p in known.items() if p in new}
-            self.second = second[keep]
-            size = np.diff(ends)[keep]
-            upto = np.cumsum(size)
-            self.ends = np.concatenate([[0], upto])
-            self.ids = ids[np.repeat(ends[keep] - (upto - size), size) + np.arange(self.ends[-1])]
+        new = {old: k for k, old in enumerate(keep.tolist())}
+        kept = {piece: new[k] for piece, k in known.items() if k in new}
+        size = sum(map(len, kept))
+        if len(keep) <= REMEMBERED // 2 and size <= REMEMBERED_BYTES // 2:
+            self.known, self.bytes = kept, size
+            count = np.diff(ends)[keep]
+            upto = np.cumsum(count)
+            self.ends = np.concatenate([[0], upto]).astype(np.int64)
+            self.ids = ids[np.repeat(ends[keep] - (upto - count), count) + np.arange(self.ends[-1])]
             self.blocks = np.ones(len(keep), np.int32)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str], hashes: list[int], second: np.ndarray) -> None:
-        made = [array("I", e.ids) for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        self.known.update(zip(hashes, range(len(self.second), len(self.second) + len(pieces)), strict=True))
-        self.second = np.concatenate([self.second, second])
+    def _learn(self, pieces: list[bytes]) -> None:
+        made = [array("I", e.ids) for e in self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        self.known.update(zip(pieces, range(len(self.blocks), len(self.blocks) + len(pieces)), strict=True))
+        self.bytes += sum(map(len, pieces))
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(m.tobytes() for m in made), "<u4")])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(m) for m in made])])
         self.blocks = np.concatenate([self.blocks, np.zeros(len(made), np.int32)])
 
     def _cut(self, texts: list[str]) -> list[bytes]:
+        if not any(texts):
+            return [b""] * len(texts)
         every = "".join(texts)
         codes = np.frombuffer(every.encode("utf-32-le"), "<u4")
         text_ends = np.cumsum([len(t) for t in texts])
         text_starts = text_ends - [len(t) for t in texts]
         begin = piece_starts(codes, self.kind[codes], text_starts[text_starts < len(codes)])
-        end = np.append(begin[1:], len(codes))
-        powers, inverse = wordhash._upto(len(codes) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value[codes] * powers[: len(codes)])])
-        hashes = wordhash.mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
-        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.other[codes] * powers[: len(codes)])])
-        second = (sums[end[at]] - sums[begin[at]]) * inverse[begin[at]]
-        names = distinct.tolist()
-        if len(self.known) + len(names) > REMEMBERED:
+        # a piece begins where the one before ends; a character has one or two bytes here
+        at = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80))]).astype(np.int64)[np.append(begin, len(codes))]
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(at), pa.py_buffer(every.encode())]).dictionary_encode()
+        names, back = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        if len(self.known) + len(names) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self._forget()
-        new = [k for k, h in enumerate(names) if h not in self.known]
+        new = [p for p in names if p not in self.known]
         if new:
-            spans = zip(begin[at[new]].tolist(), end[at[new]].tolist())
-            self._learn([every[a:b] for a, b in spans], [names[k] for k in new], second[new])
-        places = [self.known[h] for h in names]
-        if (self.second[places] != second).any():  # two pieces of one hash
-            return self._whole(texts)
+            self._learn(new)
+        places = np.array([self.known[p] for p in names], np.int64)
         self.blocks[places] += 1
-        place = np.array(places, np.int64)[back]
+        place = places[back]
         first, size = self.ends[place], self.ends[place + 1] - self.ends[place]
         upto = np.cumsum(size)
-        flat = self.ids[np.repeat(first - (upto - size), size) + np.arange(upto[-1])] if len(place) else self.ids[:0]
+        flat = self.ids[np.repeat(first - (upto - size), size) + np.arange(upto[-1])]
         cuts = np.concatenate([[0], upto])[np.searchsorted(begin, np.append(text_starts, len(codes)))] * 4
         raw = flat.astype("<u4").tobytes()
         return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
