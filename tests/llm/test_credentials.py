@@ -72,5 +72,13 @@ def test_redact(spark):
     assert texts[11] == "[secret] " * 300
 
 
+def test_long_runs_and_odd_names(spark):
+    run = "aB" * 500_000
+    rows = [(1, run, {"x": 1}, 7), (2, f"{ID} {run}3", None, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` map<string, int>, spans int")
+    got = {r.doc_id: r for r in credentials.redact(df).collect()}
+    assert got[1].text == run and got[2].text == "[secret] [secret]" and got[1]["a.b"] == {"x": 1} and got[2].spans == 8
+
+
 def test_as_sql(spark):
     assert compare(spark, lambda s, d: credentials.digest(documents(s, d)), credentials.ORACLE_SQL, "/root/testdata/sf0.01") == 1000
