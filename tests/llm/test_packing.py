@@ -22,6 +22,21 @@ def test_boundaries_are_optimal(histogram, buckets):
     assert len(tops) <= buckets and cost(tops) == min(map(cost, every))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(500, 5000), st.integers(1, 9), min_size=2, max_size=40), st.integers(1, 6))
+def test_boundaries_of_long_texts(histogram, buckets):
+    """The least padded total by the plain program, beyond 511 words."""
+    bounds = sorted(histogram)
+    best = {(0, 0): 0}
+    for level in range(1, buckets + 1):
+        for j in range(1, len(bounds) + 1):
+            found = [best[level - 1, i] + bounds[j - 1] * sum(histogram[b] for b in bounds[i:j]) for i in range(j) if (level - 1, i) in best]
+            if found:
+                best[level, j] = min(found)
+    tops = packing.boundaries(np.array(bounds), np.array([histogram[b] for b in bounds]), buckets)
+    assert sum(c * min(t for t in tops if t >= b) for b, c in histogram.items()) == min(best[k, len(bounds)] for k in range(1, buckets + 1) if (k, len(bounds)) in best)
+
+
 def test_as_sql(spark):
     assert compare(spark, lambda s, d: packing.pack(documents(s, d)), packing.ORACLE_SQL, "/root/testdata/sf0.01") == 1000
 

@@ -1,8 +1,10 @@
 """Packing into optimal length buckets.
 
-A histogram of all lengths is gathered (its bins are bounded: exact below 512, then 256 to an
-octave). Dynamic programming over it chooses the bucket boundaries of least padding. Inside each
-bucket, documents in the order of their key form batches that hold at most a budget of padded tokens.
+A histogram of all lengths is gathered, a row for each length that occurs: its size is bounded by the
+longest text, not by the number of documents. Dynamic programming over it chooses the bucket boundaries
+of least padding; the cuts of longer prefixes lie farther right, so each row of the program is found by
+divide and conquer. Inside each bucket, documents in the order of their key form batches that hold at
+most a budget of padded tokens.
 
 Places in a bucket are global ranks: rows are dealt by range of (bucket, key), numbered inside each
 part, and shifted by the count of the parts before. No bucket is gathered in one task.
@@ -24,7 +26,6 @@ from tidewell.llm.workspace import Workspace
 BUCKETS = 16
 #: Padded tokens of a batch.
 BUDGET = 16_384
-FINE = 8  # bits kept of a length in its bin
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,39 +34,24 @@ def n_words(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
 
 
-def _bin(length: Column) -> Column:
-    """Lengths to bins: the length without its low bits, so that FINE + 1 leading bits remain."""
-    low = F.greatest(F.lit(0), F.length(F.bin(length)) - FINE - 1)
-    step = F.call_function("shiftleft", F.lit(1).cast("long"), low)
-    return (length - length % step).cast("long")
-
-
 def boundaries(bounds: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     """The at most ``buckets`` upper bounds, out of ascending ``bounds``, of the least padded total.
 
-    cost[j] is the padded total of the bins up to j. With one bucket more, bins i+1..j are padded to
-    bounds[j]. Of equal costs the earliest cut is taken, and the fewest buckets.
+    cost[j] is the padded total of the lengths up to j. With one bucket more, lengths i+1..j are padded
+    to bounds[j]. Of equal costs the earliest cut is taken, and the fewest buckets.
     """
     n = len(bounds)
     if not n:
         return []
-    before = np.concatenate([[0], np.cumsum(counts)]).astype(float)
-    b = bounds.astype(float)
+    before = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    b = bounds.astype(np.int64)
     cost = b * before[1:]
     cuts: list[np.ndarray] = []
-    best, levels = [float(cost[-1])], min(buckets, n)
-    block = max(1, (1 << 22) // n)
-    for _ in range(1, levels):
-        new, cut = np.full(n, np.inf), np.zeros(n, np.int64)
-        for lo in range(0, n, block):
-            j = np.arange(lo, min(n, lo + block))
-            grid = cost[None, : j[-1] + 1] + b[j][:, None] * (before[j + 1][:, None] - before[None, 1 : j[-1] + 2])
-            grid[np.arange(j[-1] + 1)[None, :] >= j[:, None]] = np.inf
-            cut[j] = grid.argmin(1)
-            new[j] = grid[np.arange(len(j)), cut[j]]
+    best = [int(cost[-1])]
+    for _ in range(1, min(buckets, n)):
+        cost, cut = _one_more(b, before, cost)
         cuts.append(cut)
-        cost = new
-        best.append(float(cost[-1]))
+        best.append(int(cost[-1]))
     level, j, out = int(np.argmin(best)), n - 1, []
     while True:
         out.append(int(bounds[j]))
@@ -75,6 +61,25 @@ def boundaries(bounds: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -
         level -= 1
 
 
+def _one_more(b: np.ndarray, before: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Costs and first best cuts with one bucket more. The middles of all open ranges are solved together."""
+    n = len(b)
+    new, cut = np.full(n, 1 << 62, np.int64), np.zeros(n, np.int64)
+    low, high, first, last = (np.array([x]) for x in (1, n - 1, 0, n - 2))
+    while len(low):
+        mid = (low + high) // 2
+        size = np.minimum(last, mid - 1) - first + 1
+        start = np.cumsum(size) - size
+        i = np.arange(size.sum()) - np.repeat(start - first, size)
+        value = cost[i] + np.repeat(b[mid], size) * (np.repeat(before[mid + 1], size) - before[i + 1])
+        new[mid] = np.minimum.reduceat(value, start)
+        cut[mid] = at = np.minimum.reduceat(np.where(value == np.repeat(new[mid], size), i, n), start)
+        low, high, first, last = (np.concatenate(x) for x in ((low, mid + 1), (mid - 1, high), (first, at), (at, last)))
+        open_ = low <= high
+        low, high, first, last = low[open_], high[open_], first[open_], last[open_]
+    return new, cut
+
+
 def pack(df: DataFrame, length: Column | None = None, key: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """A row for each row of df: key, n_tokens, bucket (from 0), bucket_len, batch_id, slot.
 
@@ -84,12 +89,11 @@ def pack(df: DataFrame, length: Column | None = None, key: str = "doc_id", bucke
     """
     spark = df.sparkSession
     ws = Workspace(spark, "packing")
-    lengths = ws.put(df.select(F.col(key).alias("k"), (n_words() if length is None else length).cast("long").alias("n_tokens")), "lengths")
-    histogram = lengths.groupBy(_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("most"), F.count("*").alias("rows")).orderBy("bin").collect()
-    tops = boundaries(np.array([r.most for r in histogram], np.int64), np.array([r.rows for r in histogram], np.int64), buckets)
-    sizes = [0] * len(tops)
-    for r in histogram:
-        sizes[sum(r.most > t for t in tops)] += r.rows
+    lengths = ws.put(df.select(F.col(f"`{key}`").alias("k"), (n_words() if length is None else length).cast("long").alias("n_tokens")), "lengths")
+    histogram = np.array([tuple(r) for r in lengths.groupBy("n_tokens").count().collect()], np.int64).reshape(-1, 2)
+    histogram = histogram[np.argsort(histogram[:, 0])]
+    tops = boundaries(histogram[:, 0], histogram[:, 1], buckets)
+    sizes = np.bincount(np.searchsorted(tops, histogram[:, 0]), histogram[:, 1], len(tops)).astype(int).tolist()
     room = [max(1, budget // max(t, 1)) for t in tops]
     start = np.concatenate([[0], np.cumsum(sizes)]).astype(int).tolist()
     first = np.concatenate([[0], np.cumsum([-(-s // r) for s, r in zip(sizes, room, strict=True)])]).astype(int).tolist()
@@ -122,11 +126,9 @@ def pack(df: DataFrame, length: Column | None = None, key: str = "doc_id", bucke
 ORACLE_SQL = f"""
 WITH RECURSIVE lengths AS (
   SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS n_tokens FROM documents
-), binned AS (
-  SELECT *, n_tokens - n_tokens % CAST(power(2, greatest(0, length(bin(n_tokens)) - {FINE + 1})) AS BIGINT) AS b FROM lengths
 ), bins AS (
-  SELECT row_number() OVER (ORDER BY b) AS j, most, sum(n) OVER (ORDER BY b) AS upto
-  FROM (SELECT b, CAST(max(n_tokens) AS DOUBLE) AS most, CAST(count(*) AS DOUBLE) AS n FROM binned GROUP BY b)
+  SELECT row_number() OVER (ORDER BY most) AS j, most, CAST(sum(n) OVER (ORDER BY most) AS BIGINT) AS upto
+  FROM (SELECT n_tokens AS most, count(*) AS n FROM lengths GROUP BY n_tokens)
 ), program AS (
   SELECT 1 AS level, j, most * upto AS cost, [most] AS tops FROM bins
   UNION ALL
@@ -137,7 +139,7 @@ WITH RECURSIVE lengths AS (
 ), dealt AS (
   SELECT doc_id, n_tokens, CAST(len(list_filter(tops, lambda x: x < n_tokens)) AS INTEGER) AS bucket, tops FROM lengths, best
 ), roomy AS (
-  SELECT *, CAST(tops[bucket + 1] AS BIGINT) AS bucket_len, greatest(1, {BUDGET} // greatest(CAST(tops[bucket + 1] AS BIGINT), 1)) AS room FROM dealt
+  SELECT *, tops[bucket + 1] AS bucket_len, greatest(1, {BUDGET} // greatest(tops[bucket + 1], 1)) AS room FROM dealt
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id NULLS FIRST, n_tokens) - 1 AS place FROM roomy
 ), firsts AS (
