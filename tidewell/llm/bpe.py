@@ -5,6 +5,10 @@ together. A bucket is a matrix of token ids, a row for each piece, padded to the
 bucket. In each round every row merges its leftmost pair of minimum rank. Ranks of pairs come from
 an open-addressing hash table in numpy arrays; rows without a further merge leave the matrix and the
 matrix is narrowed to its longest row (compaction).
+
+Defined cases: a null text counts as empty and has no ids; an empty table gives an empty one. Texts are
+encoded whole. A piece of more than ``LONG`` bytes (a run without a break) takes a heap instead of a
+matrix row, with equal ids: a row would cost the square of its length.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ CELLS = 1 << 19
 LONG = 1024
 #: Characters of texts whose pieces are looked up together, about.
 BLOCK = 1 << 21
-#: Pieces a worker remembers.
-REMEMBERED = 400_000
+#: Pieces a worker remembers, and their bytes.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 1 << 26
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -187,6 +191,7 @@ class Encoder:
         self.codec = Codec(load_ranks(path))
         self.find = regex.compile(pattern).findall
         self.seen: dict[str, tuple[str, bytes, int]] = {}
+        self.bytes = 0
 
     def pieces(self, texts: list[str]) -> Iterator[list[tuple[str, bytes, int]]]:
         """For each text its pieces as (ids joined by commas, bytes decoded from the ids, number of ids)."""
@@ -199,11 +204,12 @@ class Encoder:
                 at += 1
             every, seen = set().union(*block), self.seen
             new = [p for p in every if p not in seen]
-            if len(seen) + len(new) > REMEMBERED:
+            if len(seen) + len(new) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
                 seen.clear()
-                new = list(every)
+                new, self.bytes = list(every), 0
             for p, ids in zip(new, self.codec.encode([p.encode() for p in new]), strict=True):
                 seen[p] = (",".join(map(str, ids)), self.codec.decode(ids), len(ids))
+                self.bytes += len(seen[p][0]) + len(seen[p][1])
             for parts in block:
                 yield [seen[p] for p in parts]
 

@@ -109,6 +109,7 @@ class Matcher:
         for t in terms:
             if not any(t.startswith(x) for x in stems):  # the stem finds those, whatever follows it
                 self.trie.add(t)
+        self.longest = max((len(t) + tolerance(len(t)) for t in self.terms), default=0)  # a longer word is near no term
         self.seen: dict[str, int] = {}
 
     def kind(self, raw: str) -> int:
@@ -122,7 +123,7 @@ class Matcher:
         plain = word.translate(LOOKALIKE)
         if plain in self.terms:
             return FUZZY
-        if 4 <= len(plain) <= 40 and word not in self.exempt and self.trie.near(plain):
+        if 4 <= len(plain) <= self.longest and word not in self.exempt and self.trie.near(plain):
             return FUZZY
         return 0
 
