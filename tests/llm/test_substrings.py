@@ -62,5 +62,12 @@ def test_runs_are_compacted_and_matched(spark, monkeypatch):
     assert sorted(map(tuple, index.matches(parts[4]).collect())) == sorted(tuple(r) for r in parts[4].collect() if r.hash in old)
 
 
+def test_runs_made_to_collide(spark):
+    """Windows of two words in the order of a Thue-Morse word and its complement, and an unbroken megabyte."""
+    texts = [" ".join("ab"[(n.bit_count() + k) & 1] * 3 for n in range(35)) for k in (0, 1)] + ["x" * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.digest(df).collect()) == [(0, 35, 0), (1, 35, 0), (2, 1, 0)]
+
+
 def test_as_sql(spark):
     assert compare(spark, lambda s, d: substrings.digest(documents(s, d)), substrings.ORACLE_SQL, "/root/testdata/sf0.01") == 1000
