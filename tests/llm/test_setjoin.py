@@ -106,5 +106,24 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), ws, "e").collect() == []
 
 
+def test_too_few_segments(spark, monkeypatch):
+    """With fewer segments than are needed, large sets are compared with all others."""
+    monkeypatch.setattr(setjoin, "SLACK", 0.5)
+    monkeypatch.setattr(setjoin, "FEW", 20)
+    rows = make(5, 60, [150, 200])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in setjoin.join(df).collect()) == brute(rows)
+
+
+def test_words_made_to_collide(spark):
+    """Thue-Morse words and their complements have one polynomial hash modulo 2**64, whatever the base."""
+    rows = []
+    for size in (1024, 2048, 4096):
+        word = "".join("ab"[n.bit_count() & 1] for n in range(size))
+        rows += [(len(rows), word), (len(rows) + 1, word.translate(str.maketrans("ab", "ba")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.component_id for r in setjoin.join(df).collect()) == list(range(6))
+
+
 def test_as_sql(spark):
     assert compare(spark, lambda s, d: setjoin.join(documents(s, d)), setjoin.ORACLE_SQL, "/root/testdata/sf0.01") == 1000

@@ -42,8 +42,8 @@ def with_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     Repeated three-word windows are found by sorting a document's window hashes with their places, in
     the row itself; documents whose windows all differ skip that.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    df = df.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), whole.alias("text"))
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), whole.alias("text"))
     df = df.withColumn("words", F.filter(F.split("text", BREAKS, -1), lambda w: w != "")).withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     window = lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
     none = F.array().cast("array<bigint>")

@@ -23,9 +23,11 @@ groups of thousands of near copies cost a few comparisons each.
 
 Defined cases: a document without words (or null) has an empty set and no links. A document of fewer
 than five words has its whole sequence as its one shingle. Repeated rows stay repeated. Only the key
-and the text are read. Sets are compared by 64-bit hashes of their shingles. In bands of large sets
-empty segments are not indexed; schemes have a quarter more segments than are needed, so that a set
-with too few filled ones has a probability of less than 1e-8.
+and the text are read. An empty table gives an empty one. Candidates are found by 64-bit hashes of
+shingles and verified on their words. Neighbourhoods cost an entry for each shingle besides those of the
+segments; they are indexed in bands where that is at most ``SMALL`` entries a set. In the other bands only
+filled segments are indexed, of which there are a quarter more than are needed; a set that still has too
+few of them is compared with all others, exactly, in blocks of such sets.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm import wordhash
@@ -47,8 +49,10 @@ from tidewell.llm.workspace import Workspace
 SHINGLE = 5
 #: Similar: SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (75, 100)
-#: Bands whose largest sets are at most so large also index one-deletion neighbourhoods.
+#: Entries that the one-deletion neighbourhoods of a set may cost, one a shingle.
 SMALL = 128
+#: Sets with too few segments that are compared with all others at a time.
+FEW = 256
 SLACK = 1.25
 #: An entry's owner: the number of its class in the block, its band, and whether it is an index entry.
 NUMBER, BAND, INDEX = np.uint32((1 << 24) - 1), 24, np.uint32(1 << 31)
@@ -73,6 +77,23 @@ def shingle_sets(texts: list[bytes], length: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def exact_sets(texts: list[bytes], length: int = SHINGLE) -> list[np.ndarray]:
+    """As shingle_sets, of numbers that stand for the words themselves: equal in these texts only where all words are."""
+    numbers, _, starts = wordhash.numbered([t.lower() for t in texts])
+    every = numbers
+    for k in range(1, length):  # runs of k words to numbers, then those with the word that follows
+        every = every[: max(0, len(numbers) - k)] * (len(numbers) + 1) + numbers[k:]
+        every = np.unique(every, return_inverse=True)[1].astype(np.int64)
+    short: dict[tuple[int, ...], int] = {}
+    out = []
+    for a, b in zip(starts.tolist(), starts[1:].tolist()):
+        if b - a >= length:
+            out.append(np.unique(every[a : b - length + 1]))
+        else:
+            out.append(np.array([-1 - short.setdefault(tuple(numbers[a:b].tolist()), len(short))] if b > a else [], np.int64))
+    return out
+
+
 def class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -378,9 +399,7 @@ def _blocks(length: int):
 
     def run(rows: pa.Table) -> pa.Table:
         docs, roots, coarse, sides, gids, probes, texts = (rows.column(c).to_pylist() for c in ("doc", "root", "coarse", "side", "gids", "probes", "text"))
-        sets: list[np.ndarray] = []
-        for _, some in wordhash.blocks(texts):
-            sets += shingle_sets(some, length)
+        sets = exact_sets([t.encode() for t in texts], length)
         of: dict[int, list[int]] = {}
         once = set()
         for k, (c, d) in enumerate(zip(coarse, docs, strict=True)):
@@ -397,6 +416,40 @@ def _blocks(length: int):
     return run
 
 
+def _compared(few: list[bytes], length: int):
+    """Texts to links (a, b) of their classes with those of a few texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = [(class_of(s), s) for s in shingle_sets(few, length)]
+        for batch in batches:
+            found = set()
+            for _, texts in wordhash.blocks(batch.column(0).to_pylist()):
+                sets = shingle_sets(texts, length)
+                for (c, one), (d, two) in ((x, (class_of(s), s)) for s in sets if len(s) for x in asked):
+                    if c != d and (c, d) not in found and _linked(one, two):
+                        found.add((c, d))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _links_of_few(short: DataFrame, sets: DataFrame, df: DataFrame, ws: Workspace, key: str, text: str, length: int) -> DataFrame | None:
+    """Links of the classes in ``short`` with all others, exactly; None if there are none. FEW texts are at the driver at a time."""
+    if short.isEmpty():
+        return None
+    first = sets.join(short, "doc").groupBy("doc").agg(F.min(F.xxhash64("id")).alias("h"))
+    rows = df.select(F.xxhash64(F.col(key)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = ws.put(rows.join(first.select("h").distinct(), "h").withColumn("turn", F.floor(F.row_number().over(Window.orderBy("h")) / FEW)), "few")
+    parts = []
+    for turn in range(texts.agg(F.max("turn")).first()[0] + 1):
+        few = [r.text.encode() for r in texts.where(F.col("turn") == turn).select("text").collect()]
+        parts.append(ws.put(rows.select("text").mapInArrow(_compared(few, length), "a bigint, b bigint").distinct(), f"few-{turn}"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def class_components(df: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "text", length: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Sets and classes of all rows (id, size, doc), and (node, root) of linked classes."""
     spark = df.sparkSession
@@ -405,6 +458,7 @@ def class_components(df: DataFrame, ws: Workspace, key: str = "doc_id", text: st
     packed = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(_signed(length, buckets), PACKED)
     made = ws.put(packed.groupBy("bucket").applyInArrow(_grouped, ", ".join(f"{c} bigint" for c in GROUPS)), "made")
     ws.tidy()
+    exact = _links_of_few(made.where("gid is null and free < need").select("doc").distinct(), sets, df, ws, key, text, length)
     every = ws.put(allotted(made), "allotted")
     probed = every.groupBy("gid").agg(F.max("probe").alias("probed")).where("probed = 1").select("gid")
     groups = ws.put(every.join(ws.put(probed, "probed"), "gid", "left_semi"), "groups")
@@ -437,6 +491,8 @@ def class_components(df: DataFrame, ws: Workspace, key: str = "doc_id", text: st
     inside = inside.withColumn("key", F.when(F.col("blocks") == 1, spread).otherwise(F.xxhash64("coarse", "block")))
     shown = ["key", "doc", F.col("doc").alias("root"), "coarse", F.lit(None).cast("int").alias("side"), "gids", "probes", "text"]
     links = ws.put(inside.select(*shown).groupBy("key").applyInArrow(_blocks(length), "a bigint, b bigint"), "links")
+    if exact is not None:
+        links = links.unionByName(exact)
     ws.tidy()
     roots = ws.put(components(links, ws, "first"), "roots-1")
 
