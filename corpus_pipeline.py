@@ -2,6 +2,11 @@
 
 Each stage takes what the one before kept and returns the columns of ``documents``; the last returns
 the places of the documents in batches.
+
+Defined cases: a null text has no words, so the quality rules reject it; a stage that gets one keeps it as
+it is. Documents are told apart by doc_id and text: rows that share only the doc_id are documents of their
+own, of rows that share both the join keeps one. Null doc_ids come first. Further columns, of any name and
+type, are carried along. An empty table gives empty stages.
 """
 
 from __future__ import annotations
@@ -28,12 +33,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links join: the one of least doc_id, and of equals the least row."""
+    """One document of each group that links join: the one of least doc_id, null first."""
     ws = Workspace(spark, "groups")
-    found = ws.put(setjoin.join(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct(), "first")
-    kept = docs.join(found, "doc_id", "left_semi").select(docs.columns)
-    one = kept.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")  # dealt by doc_id already
-    return one.unionByName(docs.where("doc_id is null"))  # no id, no group: they stay
+    row = next(c for c in (f"row{n}" for n in range(len(docs.columns) + 1)) if c not in docs.columns)
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text", F.col("doc_id").isNull()))
+    groups = setjoin.join(keyed.select(row, "text"), row).select(row, "component_id").distinct()
+    named = groups.join(keyed.select(row, "doc_id").distinct(), row)
+    first = ws.put(named.groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first")).select(f"first.{row}"), "first")
+    return keyed.join(first, row, "left_semi").dropDuplicates([row]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
