@@ -49,5 +49,20 @@ def test_stages_against_brute_force(spark):
     assert all(v <= packing.BUDGET for v in used.values())
 
 
+def test_odd_rows(spark):
+    """Null texts, rows that share doc_id or both, clashing and dotted names, maps, and an empty table."""
+    text = " ".join(f"word{n}" for n in range(80))
+    rows = [(1, text, 1, {"a": 1}, 5), (1, text, 2, {}, 6), (1, text.replace("word", "other"), 3, None, 7), (2, text + " more", 4, {}, 8), (3, None, 5, {}, 9), (None, "", None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, `a.b` map<string, int>, row0 int")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        if name == "n-gram Jaccard join":
+            assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in out.collect()) == [(0, ""), (1, "other"), (1, "word0"), (3, "")]
+        else:
+            assert out.count() == len(rows), name
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
