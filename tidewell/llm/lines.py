@@ -8,12 +8,12 @@ share a band are a group.
 
 Groups are linked without listing their pairs. In each group every line is compared exactly with one
 pivot, the line that has most company in all its groups. Groups whose lines are in one component by
-then are done, however large. Of the others those of more than ``BLOCK`` lines are split by a further
-hash of the signature, in every way, and get pivots anew. The signatures of lines that are still apart
-then meet those of all lines of their group, block by block inside a row, and each is compared exactly
-with those that it agrees with most; that goes on until no root changes. Components are found by
-distributed star rounds. Of each component the first line, by (doc_id, place), stays; all other
-occurrences go, those of equal lines included.
+then are done, however large. The others are split by one more hash of the signature, for each of the
+hashes, and every line meets the pivots of its parts: those lack the pivot that it is unlike. So the work
+is in proportion to the lines, also in a group of thousands of near copies; two similar lines are missed if
+neither meets the other or a line of its component as a pivot (tests measure how many).
+Components are found by distributed star rounds. Of each component the first line, by (doc_id, place),
+stays; all other occurrences go, those of equal lines included.
 
 Lines are known by a 64-bit hash. Texts of candidates are read again, of one occurrence each.
 
@@ -46,8 +46,6 @@ BANDS = [(i, 4 + j, 8 + (i + j) % 4) for i in range(4) for j in range(4)]
 AGREED = 5
 #: Offsets whose hashes are computed together. More do not fit into a method that the JVM compiles.
 STEP = 8
-#: Lines of a group that another is compared with at a time, about.
-BLOCK = 256
 SPACE = r"\x20\x09-\x0D"
 
 
@@ -137,14 +135,11 @@ def _star(members: DataFrame, signatures: DataFrame, ws: Workspace, name: str) -
     return out
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (key, h, width, n) with ``root`` and their group's ``main`` root, of groups that are not in one component; of two lines the star has compared both."""
-    placed = members.where("n > 2").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    shares = placed.groupBy("key", "root").agg(F.count("*").alias("share")).groupBy("key")
-    # the largest share, as a number that a hash table can keep; of equals any
-    most = shares.agg(F.max("share").alias("share"), F.count("*").alias("roots")).where("roots > 1")
-    main = placed.groupBy("key", "root").agg(F.count("*").alias("share")).join(most, ["key", "share"]).groupBy("key").agg(F.min("root").alias("main"))
-    return placed.join(main, "key")
+def _open(members: DataFrame, roots: DataFrame, least: int) -> DataFrame:
+    """Members (key, h, width, n) of groups of at least so many lines that are not in one component."""
+    placed = members.where(F.col("n") >= least).join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    return placed.join(apart, "key").select("key", "h", "width", "n")
 
 
 def _finer(members: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -155,30 +150,6 @@ def _finer(members: DataFrame, signatures: DataFrame) -> DataFrame:
     return split.join(many, "key")
 
 
-def _nearest(members: DataFrame, signatures: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """(a, b): lines apart from their group's main component, each with the two lines of each block of the group it agrees with most.
-
-    One of the two is in the main component, the other in a third one.
-    """
-    one = F.struct("h", "root", F.array(*[f"m{n}" for n in range(HASHES)]).alias("signature"))
-    numbered = members.join(signatures, ["h", "width"]).withColumn("block", F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / BLOCK)))
-    apart = F.when(F.col("root") != F.col("main"), one)
-    blocks = ws.put(numbered.groupBy("key", "block").agg(F.collect_list(one).alias("others"), F.collect_list(apart).alias("apart"), F.first("main").alias("main")), f"{name}-blocks")
-    pairs = blocks.where(F.size("apart") > 0).select("key", "apart").join(blocks.select("key", "others", "main"), "key")
-
-    def best(main: bool):
-        return lambda x: best_of(x, main)
-
-    def best_of(x: Column, main: bool) -> Column:
-        there = F.filter("others", lambda y: (y["root"] != x["root"]) & ((y["root"] == F.col("main")) == F.lit(main)))
-        agreed = F.transform(there, lambda y: F.struct(F.size(F.filter(F.zip_with(x["signature"], y["signature"], lambda p, q: p == q), lambda z: z)).alias("agreed"), y["h"].alias("h")))
-        most = F.array_max(agreed)
-        return F.struct(x["h"].alias("a"), F.when(most["agreed"] >= AGREED, most["h"]).alias("b"))
-
-    met = pairs.select(F.inline(F.concat(*[F.transform("apart", best(m)) for m in (True, False)])))
-    return ws.put(met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-
-
 def line_roots(docs: DataFrame, signatures: DataFrame, ws: Workspace, length: int) -> DataFrame:
     """(node, root) of lines that have a similar other one."""
     banded = signatures.select("h", "width", F.explode(_bands()).alias("key"))
@@ -194,31 +165,17 @@ def line_roots(docs: DataFrame, signatures: DataFrame, ws: Workspace, length: in
     links = ws.put(_verified(star, texts, length), "links-0")
     roots = ws.put(components(links, ws, "first"), "roots-0")
 
-    open_ = ws.put(_open(members, roots), "open-0")
+    # what is apart from others of its group meets the pivots of the group's parts
+    open_ = ws.put(_open(members, roots, 3), "open")
     ws.drop("members")
-    large, number, tried = open_.where(F.col("n") > BLOCK), 0, star
-    if not large.isEmpty():
-        parts = ws.put(_finer(large, signatures), "parts")
-        fresh = _star(parts, signatures, ws, "star-1").join(star, ["a", "b"], "left_anti")
-        roots = _joined(roots, ws.put(_verified(fresh, texts, length), "links-1"), ws, "roots-1")
-        members = open_.where(F.col("n") <= BLOCK).select("key", "h", "width", "n").unionByName(parts)
-        open_, number, tried = ws.put(_open(members, roots), "open-1"), 1, star.unionByName(ws.read("star-1"))
-    while True:
-        number += 1
-        near = _nearest(open_, signatures, ws, f"near-{number}")
-        more = ws.put(_verified(near.join(tried, ["a", "b"], "left_anti"), texts, length), f"links-{number}")
-        if more.isEmpty():
-            return roots
-        tried = tried.unionByName(near)
-        roots = _joined(roots, more, ws, f"roots-{number}")
-        # only groups that have a line with another root than before can link more
-        moved = open_.join(roots.select(F.col("node").alias("h"), F.col("root").alias("now")), "h").where("root <> now").select("key").distinct()
-        open_ = ws.put(_open(open_.select("key", "h", "width", "n").join(moved, "key", "left_semi"), roots), f"open-{number}")
-
-
-def _joined(roots: DataFrame, links: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    parts = ws.put(_open(ws.put(_finer(open_, signatures), "parts"), roots, 2), "open-parts")
+    again = _star(parts.select("key", "h", "width", "n"), signatures, ws, "star-1").join(star, ["a", "b"], "left_anti")
+    for x in "ab":
+        again = again.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
+    more = ws.put(_verified(again.where("ra <> rb").select("a", "b"), texts, length), "links-1")
+    ws.drop("open", "parts", "open-parts", "star", "star-1")
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return ws.put(components(known.unionByName(links), ws, f"{name}-star"), name)
+    return ws.put(components(known.unionByName(more), ws, "second"), "roots-1")
 
 
 def removed_places(docs: DataFrame, ws: Workspace, length: int = LENGTH) -> DataFrame:
