@@ -15,7 +15,7 @@ from tidewell.plans.cache import Cache
 from tidewell.plans.saved import SavedQueries, Source, Sources, checked_query, may
 from tidewell.plans.service import CatalogError, ExecutionError, QueryService, envelope, failure, is_metadata, to_json
 from tidewell.sources import tablelog
-from tidewell.sources.tablelog import Catalog, File, NoSuchTable
+from tidewell.sources.tablelog import Catalog, Conflict, File, NoSuchTable
 from tidewell.streaming import backfill
 
 SOURCE = "123e4567-e89b-12d3-a456-426614174000"
@@ -254,6 +254,33 @@ def test_scope(service):
     assert json.loads(service.list_tables([NS], {NS: "shop"})) == [{"namespace": NS, "table": "public__t", "source": "shop"}]
 
 
+def test_names_of_one_part_stay_inside(spark, service):
+    spark.range(3).createOrReplaceGlobalTempView("private_view")
+    spark.sql("CREATE TABLE IF NOT EXISTS private_stuff USING parquet AS SELECT 1 AS id")
+    try:
+        for sql in ("SELECT * FROM private_stuff", "SELECT * FROM default.private_stuff", "SELECT * FROM global_temp.private_view", "SELECT * FROM (WITH private_stuff AS (SELECT 2 AS id) SELECT * FROM private_stuff) a, private_stuff b"):
+            with pytest.raises(ExecutionError, match="table not found"):
+                service.query(sql, [])
+        assert json.loads(service.query("WITH x AS (SELECT 2 AS id), y AS (SELECT id + 1 AS id FROM x) SELECT * FROM y", [])) == [{"id": 3}]
+    finally:
+        spark.sql("DROP TABLE private_stuff")
+        spark.catalog.dropGlobalTempView("private_view")
+
+
+def test_files_are_whole_or_absent(catalog, filled):
+    """What a writer leaves that died before it was done is no entry of the log."""
+    store = filled.store
+    store._at(f"{store.root}/_new/torn")[1].create(store._at(f"{store.root}/_new/torn")[0]).close()
+    assert filled.load()[0] >= 0
+    store.create(f"{store.root}/x/one.json", "a")
+    with pytest.raises(Conflict):
+        store.create(f"{store.root}/x/one.json", "b")
+    assert store.read(f"{store.root}/x/one.json") == "a"
+    store.replace(f"{store.root}/x/one.json", "c")
+    store.replace(f"{store.root}/x/one.json", "d")
+    assert store.read(f"{store.root}/x/one.json") == "d"
+
+
 def test_pages_and_errors(spark, catalog, service):
     assert [r["id"] for r in json.loads(service.read_table(NS, "public__t", 2, 3))] == [2, 3, 4]
     assert service.read_table(NS, "public__t", 100) == "[]"

@@ -136,6 +136,15 @@ def relations(spark: SparkSession, sql: str) -> list[tuple[tuple[str, ...], int,
     return sorted(found, key=lambda x: x[1])
 
 
+def named_in_with(spark: SparkSession, sql: str) -> set[str]:
+    """The names that WITH clauses anywhere in the statement define, in lower case."""
+    found: set[str] = set()
+    for p in _plans(parse(spark, sql)):
+        if p.getClass().getSimpleName() == "UnresolvedWith":
+            found |= {r._1().lower() for r in _seq(p.cteRelations())}
+    return found
+
+
 def rewrite(spark: SparkSession, sql: str, view_of: Callable[[tuple[str, ...]], str | None]) -> str:
     """The query with tables' names replaced by view_of(parts); None leaves a name as it is."""
     out = sql

@@ -42,9 +42,7 @@ class SavedQueries:
         if any(q.name.lower() == query.name.lower() and q.id != query.id for q in self.all(query.project)):
             raise ValueError(f"there is a query named {query.name!r} already")
         path = f"{self.root}/{query.project}/{query.id}.json"
-        if self.store.exists(path):
-            self.store.delete(path)
-        self.store.create(path, json.dumps(asdict(query)))
+        self.store.replace(path, json.dumps(asdict(query)))
         return query
 
     def delete(self, project: str, id: str) -> None:
@@ -96,9 +94,7 @@ class Sources:
 
     def put(self, source: Source) -> None:
         path = f"{self.root}/{source.checked().id}.json"
-        if self.store.exists(path):
-            self.store.delete(path)
-        self.store.create(path, json.dumps(asdict(source)))
+        self.store.replace(path, json.dumps(asdict(source)))
 
 
 #: Who may do what. An admin everything; a developer SQL in own projects; a user browse them.

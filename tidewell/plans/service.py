@@ -100,7 +100,8 @@ class QueryService:
         views: dict[tuple[str, str], str] = {}
 
         def view_of(parts: tuple[str, ...]) -> str | None:
-            if len(parts) == 1:
+            # a name of one part is a WITH clause's, and only where it cannot reach the shared catalog instead
+            if len(parts) == 1 and parts[0].lower() in gate.named_in_with(own, sql) and not own.catalog.tableExists(f"`{parts[0].replace('`', '``')}`"):
                 return None
             if len(parts) != 3 or parts[0] != CATALOG or parts[1] not in allowed:
                 raise ExecutionError(f"table not found: {'.'.join(parts)}")
@@ -154,8 +155,10 @@ class QueryService:
             keys, rows = table.keys(), table.scan()
         except NoSuchTable as error:
             raise ExecutionError(f"table not found: {namespace}.{name}") from error
-        rows.sparkSession.conf.set("spark.sql.caseSensitive", "true")
-        return to_json(page(current_rows(rows, keys), offset, limit))
+        own = scoped(self.spark)  # names that differ in case only, without touching the caller's session
+        own.conf.set("spark.sql.caseSensitive", "true")
+        _register(own, rows, "page")
+        return to_json(page(current_rows(own.table("page"), keys), offset, limit))
 
 
 def _register(own: SparkSession, df: DataFrame, name: str) -> None:
