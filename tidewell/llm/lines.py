@@ -8,8 +8,9 @@ share a band are a group.
 
 Groups are linked without listing their pairs. In each group every line is compared exactly with one
 pivot, the line that has most company in all its groups. Groups whose lines are in one component by
-then are done, however large. The others are split by one more hash of the signature, for each of the
-hashes, and every line meets the pivots of its parts: those lack the pivot that it is unlike. So the work
+then are done, however large. The others are split by one more hash of the signature, in turn by each of
+four that the band has not, and every line meets the pivots of its parts: those lack the pivot that it is
+unlike. So the work
 is in proportion to the lines, also in a group of thousands of near copies; two similar lines are missed if
 neither meets the other or a line of its component as a pivot (tests measure how many).
 Components are found by distributed star rounds. Of each component the first line, by (doc_id, place),
@@ -25,6 +26,8 @@ along. An empty table gives an empty one.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,8 @@ SHORT = (16, 24)
 HASHES = 12
 #: Threes of hashes, no two of which share more than one. At a similarity of 0.7 of the runs 97 % of pairs share a band.
 BANDS = [(i, 4 + j, 8 + (i + j) % 4) for i in range(4) for j in range(4)]
+#: The hashes that split the groups of a band further: at a similarity of 0.7 of the runs 99 % of a group's pairs share a part.
+FURTHER = [((i + 1) % 4, (i + 2) % 4, 4 + (j + 1) % 4, 8 + (i + j + 1) % 4) for i in range(4) for j in range(4)]
 #: Candidates agree in so many hashes at least; at a similarity of 0.7 of the runs 99 % of pairs do.
 AGREED = 5
 #: Offsets whose hashes are computed together. More do not fit into a method that the JVM compiles.
@@ -102,57 +107,56 @@ def _fenced(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
 
 
 def _shingles(line: Column, length: int) -> Column:
-    """Hashes of a line's shingles, equal ones as often as they come: in pieces, so that a long line costs no more a character."""
-    pieces = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{length},{length + 31}}})).{{1,32}}"), F.lit(1))
-    return F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (length - 1)), lambda i: F.xxhash64(F.substr(p, i, F.lit(length))))))
-
+    """Hashes of a line's shingles, equal ones as often as they come: in pieces, so that a long line costs no more a character.
 
-def _similar(inner: Column, n: Column, m: Column) -> Column:
-    return SHARE[1] * inner >= SHARE[0] * (n + m - inner)
+    Characters of a piece become four bytes each, as a shingle is a slice then.
+    """
+    pieces = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{length},{length + 31}}})).{{1,32}}"), F.lit(1))
+    starts = lambda p: F.sequence(F.lit(1), F.octet_length(p) - (4 * length - 1), F.lit(4))
+    wide = F.transform(pieces, lambda p: F.encode(p, "UTF-32"))
+    return F.flatten(F.transform(wide, lambda p: F.transform(starts(p), lambda i: F.xxhash64(F.substr(p, i, F.lit(4 * length))))))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """Pairs (a, b) that are similar."""
     one, two = (texts.select(F.col("h").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
-    sets = {f"s{x}": F.array_distinct(_shingles(F.col(f"l{x}"), length)) for x in "ab"}
-    both = _fenced(pairs.join(one, "a").join(two, "b"), ["a", "b"], **sets)
-    met = _fenced(both, ["a", "b"], n=F.size("sa"), m=F.size("sb"), inner=F.size(F.array_intersect("sa", "sb")))
-    return met.where(_similar(F.col("inner"), F.col("n"), F.col("m"))).select("a", "b")
+    both = _fenced(pairs.join(one, "a").join(two, "b"), ["a", "b"], **{f"s{x}": _shingles(F.col(f"l{x}"), length) for x in "ab"})
+    met = _fenced(both, ["a", "b"], shared=F.size(F.array_intersect("sa", "sb")), either=F.size(F.array_union("sa", "sb")))
+    return met.where((F.col("shared") > 0) & (SHARE[1] * F.col("shared") >= SHARE[0] * F.col("either"))).select("a", "b")
 
 
 def _star(members: DataFrame, signatures: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """(a, b): every member (key, h, width, n) of a group with its pivot, once each, if their signatures agree."""
     company = members.groupBy("h").agg(F.sum("n").alias("company"))
-    sized = ws.put(members.join(company, "h"), f"{name}-sized")
-    # copies are more alike the line with most company than one another
-    most = sized.groupBy("key").agg(F.max("company").alias("company"))
-    first = sized.join(most, ["key", "company"]).groupBy("key").agg(F.min("h").alias("pivot"))
-    star = sized.join(first, "key").where("h <> pivot").select(F.least("h", "pivot").alias("a"), F.greatest("h", "pivot").alias("b"), "width").distinct()
+    # copies are more alike the line with most company than one another; of equals the least hash
+    order = F.col("company").cast("decimal(18,0)") * F.lit(Decimal(2**64)) - F.col("h")
+    first = members.join(company, "h").groupBy("key").agg(F.max_by("h", order).alias("pivot"))
+    star = members.join(first, "key").where("h <> pivot").select(F.least("h", "pivot").alias("a"), F.greatest("h", "pivot").alias("b"), "width").distinct()
     one, two = (signatures.select(F.col("h").alias(x), "width", *[F.col(f"m{n}").alias(f"{x}{n}") for n in range(HASHES)]) for x in "ab")
     agreed = sum(((F.col(f"a{n}") == F.col(f"b{n}")).cast("int") for n in range(HASHES)), F.lit(0))
-    out = ws.put(star.join(one, ["a", "width"]).join(two, ["b", "width"]).where(agreed >= AGREED).select("a", "b").distinct(), name)
-    ws.drop(f"{name}-sized")
-    return out
+    return ws.put(star.join(one, ["a", "width"]).join(two, ["b", "width"]).where(agreed >= AGREED).select("a", "b").distinct(), name)
 
 
 def _open(members: DataFrame, roots: DataFrame, least: int) -> DataFrame:
-    """Members (key, h, width, n) of groups of at least so many lines that are not in one component."""
+    """Members of groups of at least so many lines that are not in one component."""
     placed = members.where(F.col("n") >= least).join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     apart = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    return placed.join(apart, "key").select("key", "h", "width", "n")
+    return placed.join(apart, "key").select(members.columns)
 
 
 def _finer(members: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Members (key, h, width, n) of the groups' parts: those that agree in one more hash, for each of the hashes."""
-    every = F.array(*[F.xxhash64("key", F.lit(n), f"m{n}") for n in range(HASHES)])
-    split = members.select("key", "h", "width").join(signatures, ["h", "width"]).select("h", "width", F.explode(every).alias("key"))
+    """Members (key, h, width, n) of the groups' parts: those that agree in one more hash, for each of FURTHER."""
+    hashes = F.array(*[f"m{n}" for n in range(HASHES)]).alias("hashes")
+    others = F.get(F.array(*[F.array(*map(F.lit, x)) for x in FURTHER]), F.col("band"))
+    every = members.join(signatures, ["h", "width"]).select("key", "h", "width", hashes, F.explode(others).alias("other"))
+    split = every.select("h", "width", F.xxhash64("key", "other", F.get("hashes", F.col("other"))).alias("key"))
     many = split.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     return split.join(many, "key")
 
 
 def line_roots(docs: DataFrame, signatures: DataFrame, ws: Workspace, length: int) -> DataFrame:
     """(node, root) of lines that have a similar other one."""
-    banded = signatures.select("h", "width", F.explode(_bands()).alias("key"))
+    banded = signatures.select("h", "width", F.posexplode(_bands()).alias("band", "key"))
     groups = ws.put(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "groups")
     members = ws.put(maybe(banded, groups, "key").where("likely").drop("likely").join(groups, "key"), "members")
     ws.drop("groups")
@@ -169,7 +173,7 @@ def line_roots(docs: DataFrame, signatures: DataFrame, ws: Workspace, length: in
     open_ = ws.put(_open(members, roots, 3), "open")
     ws.drop("members")
     parts = ws.put(_open(ws.put(_finer(open_, signatures), "parts"), roots, 2), "open-parts")
-    again = _star(parts.select("key", "h", "width", "n"), signatures, ws, "star-1").join(star, ["a", "b"], "left_anti")
+    again = _star(parts, signatures, ws, "star-1").join(star, ["a", "b"], "left_anti")
     for x in "ab":
         again = again.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
     more = ws.put(_verified(again.where("ra <> rb").select("a", "b"), texts, length), "links-1")
