@@ -127,3 +127,47 @@ def test_words_made_to_collide(spark):
 
 def test_as_sql(spark):
     assert compare(spark, lambda s, d: setjoin.join(documents(s, d)), setjoin.ORACLE_SQL, "/root/testdata/sf0.01") == 1000
+
+
+def test_similar_sets_are_not_parted():
+    """Members of a group that can be similar stay in one part, others mostly do not; many near copies are one part."""
+    rng = np.random.default_rng(11)
+    sets = []
+    for size in (1, 2, 4, 7, 30, 60, 250, 600):
+        for _ in range(12):
+            base = rng.integers(0, 2**64, size, dtype=np.uint64)
+            sets.append(np.unique(base))
+            for _ in range(3):
+                drop = rng.integers(0, size // 5 + 1)
+                sets.append(np.unique(np.concatenate([base[drop:], rng.integers(0, 2**64, rng.integers(0, size // 6 + 1), dtype=np.uint64)])))
+    probes = rng.random(len(sets)) < 0.5
+    part = setjoin._parts(np.array([len(x) for x in sets]), setjoin.folded([setjoin.sketch(x) for x in sets]), probes)
+    for i in range(len(sets)):
+        for j in range(i):
+            if (probes[i] or probes[j]) and setjoin._linked(sets[i], sets[j]):
+                assert part[i] == part[j] >= 0
+    assert len(set(part.tolist())) > 60
+    alone = np.unique(rng.integers(0, 2**64, 60, dtype=np.uint64))
+    close = [np.append(alone, np.uint64(n)) for n in range(3000)]
+    part = setjoin._parts(np.array([len(x) for x in close]), setjoin.folded([setjoin.sketch(x) for x in close]), np.ones(len(close), bool))
+    assert set(part.tolist()) == {0}
+
+
+def test_unlike_texts_do_not_meet_block_by_block(spark, monkeypatch):
+    """Small sets that share segments by chance alone, in a component of several blocks: no text is shipped once for each other block."""
+    monkeypatch.setattr(setjoin, "BLOCK", 5)
+    rng = random.Random(12)
+    rows = [(n, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(6, 11)))) for n in range(300)]
+    rows += [(300 + n, rows[n][1] + " more") for n in range(0, 300, 10)]
+    made = {}
+    put = Workspace.put
+
+    def noted(self, df, name):
+        out = put(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "put", noted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in setjoin.join(df).collect()) == brute(rows)
+    assert made["coarse"] > 100 and made["across"] <= len(rows), made

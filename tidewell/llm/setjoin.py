@@ -15,7 +15,11 @@ that the fewest share are probed, until the sum is reached. A class with enough
 probes nothing, whatever passages it shares. Nothing is left out.
 
 Classes that share a probed group are candidates. All candidates of a class lie in its coarse
-component (of classes that share groups), which is compared in blocks of bounded size, and then block
+component (of classes that share groups). Chance ties unrelated classes, so that these components grow
+faster than the input; those of several blocks are therefore parted first: a class has a sketch, the
+parities of its shingles by hash, and two sets differ in as many shingles at least as their sketches in
+bits, so that a group falls into the parts whose members can be similar. No similar pair is parted.
+A component is compared in blocks of bounded size, and then block
 against block where it has several and they are not all connected yet. In a block those that share
 most groups are compared first, and pairs that are in one component by then not at all; texts are
 shipped once for each block, never for each pair. So no link between different components is lost, and
@@ -58,6 +62,8 @@ SLACK = 1.25
 NUMBER, BAND, INDEX = np.uint32((1 << 24) - 1), 24, np.uint32(1 << 31)
 #: Classes of a coarse component that are compared in one task, about.
 BLOCK = 1024
+#: Bits of a sketch at least; a larger set has a bit a shingle, about.
+BITS = 256
 #: The segment noted for entries of large sets.
 ANY = 255
 
@@ -98,6 +104,20 @@ def class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles by their lower bits: two sets differ in as many shingles at least as these in bits."""
+    bits = max(BITS, 1 << (len(s) - 1).bit_length())
+    parity = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """A row of uint64 for each sketch, all as wide as the shortest: the upper half is added to the lower."""
+    width = min(map(len, sketches))
+    rows = (np.frombuffer(x, "<u8").reshape(-1, width // 8) for x in sketches)
+    return np.stack([np.bitwise_xor.reduce(x, axis=0) for x in rows])
+
+
 def bands(most: int) -> list[tuple[int, int]]:
     """Sizes from and to, of each band: consecutive, each up to 16/9 of its least."""
     out, lo = [], 1
@@ -163,19 +183,20 @@ def entries(s: np.ndarray, band: int, m: int, small: bool) -> tuple[np.ndarray,
 
 
 def with_sets(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """(id, size, doc): doc is the class, null for empty sets."""
+    """(id, size, doc, sketch): doc is the class, null for empty sets, as the sketch is."""
     kind = df.select(F.col(key)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes = [], []
+            sizes, classes, sketches = [], [], []
             for _, texts in wordhash.blocks(batch.column(1).to_pylist()):
                 for s in shingle_sets(texts, length):
                     sizes.append(len(s))
                     classes.append(class_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], ["id", "size", "doc"])
+                    sketches.append(sketch(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, pa.binary())], ["id", "size", "doc", "sketch"])
 
-    return df.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, size bigint, doc bigint")
+    return df.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, size bigint, doc bigint, sketch binary")
 
 
 #: Entries of a bucket stand in runs of one class and band: class, tag and length of each run.
@@ -186,7 +207,7 @@ def _signed(length: int, buckets: int):
     """Texts to packed entries: a row for each block of texts and bucket.
 
     ``needs`` (int64, four to a class and band): class, band, what its segments must sum to, what they
-    would sum to if it shared none.
+    would sum to if it shared none. Sets that may not differ at all are of one class: they need nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +230,7 @@ def _signed(length: int, buckets: int):
                         segment.append(places)
                         tag = np.uint32(len(classes) | band << BAND) | (INDEX if band == own else np.uint32(0))
                         owner.append(np.full(len(hashes), tag, np.uint32))
-                        needs.append((c, band, differ + 1, count * (2 if small else 1)))
+                        needs.append((c, band, differ + 1 if differ else 0, count * (2 if small else 1)))
                     classes.append(c)
                 if not classes:
                     continue
@@ -343,6 +364,46 @@ def allotted(made: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "gid bigint, pivot bigint, doc bigint, probe bigint, n bigint")
 
 
+def _parts(sizes: np.ndarray, bits: np.ndarray, probes: np.ndarray) -> np.ndarray:
+    """For each member of a group the first of its part, -1 if it is alone: parts are joined by pairs of which one probes that can be similar.
+
+    A member meets those only that have no part yet, so that a group of near copies costs no more than its members.
+    """
+    part = np.full(len(sizes), -1)
+    rest, asking = np.arange(len(sizes)), np.flatnonzero(probes)
+    while len(asking):
+        first, todo = asking[0], [asking[0]]
+        rest, asking = rest[rest != first], asking[1:]
+        while todo:
+            k = todo.pop()
+            met = rest if probes[k] else asking
+            least, most = np.minimum(sizes[met], sizes[k]), np.maximum(sizes[met], sizes[k])
+            apart = np.bitwise_count(bits[met] ^ bits[k]).sum(axis=1, dtype=np.int64)
+            near = met[(least * SHARE[1] >= most * SHARE[0]) & (apart <= differences(least, most))]
+            if len(near):
+                part[first] = first
+                part[near] = first
+                rest, asking = (x[part[x] < 0] for x in (rest, asking))
+                todo += near.tolist()
+    return part
+
+
+def _parted(rows: pa.Table) -> pa.Table:
+    """Members of groups to members of their parts; those that are alone go."""
+    rows = rows.sort_by("gid")
+    gid, doc, probe, size = (rows.column(c).to_numpy() for c in ("gid", "doc", "probe", "size"))
+    sketches = rows.column("sketch").to_pylist()
+    begin = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]])).tolist()
+    out = []
+    for a, b in zip(begin, [*begin[1:], len(gid)], strict=True):
+        part = _parts(size[a:b], folded(sketches[a:b]), probe[a:b] > 0)
+        at = np.flatnonzero(part >= 0)
+        pivot = doc[a:b][part[at]]
+        name = wordhash.mixed(gid[a:b][at].view(np.uint64) + wordhash.mixed(pivot.view(np.uint64)))
+        out.append((name.view(np.int64), pivot, doc[a:b][at], probe[a:b][at]))
+    return pa.Table.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], ["gid", "pivot", "doc", "probe"])
+
+
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     small, large = sorted((len(x), len(y)))
     if small * SHARE[1] < large * SHARE[0]:
@@ -450,8 +511,14 @@ def _links_of_few(short: DataFrame, sets: DataFrame, df: DataFrame, ws: Workspac
     return out
 
 
+def _coarse(groups: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """(doc, coarse) of classes that share groups."""
+    edges = groups.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
+    return components(edges, ws, name).select(F.col("node").alias("doc"), F.col("root").alias("coarse"))
+
+
 def class_components(df: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "text", length: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Sets and classes of all rows (id, size, doc), and (node, root) of linked classes."""
+    """Sets and classes of all rows (id, size, doc, sketch), and (node, root) of linked classes."""
     spark = df.sparkSession
     sets = ws.put(with_sets(df, key, text, length), "sets")
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -466,15 +533,23 @@ def class_components(df: DataFrame, ws: Workspace, key: str = "doc_id", text: st
     ws.tidy()
 
     # every pair to be compared lies in one coarse component
-    edges = groups.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
-    coarse = ws.put(components(edges, ws, "coarse").select(F.col("node").alias("doc"), F.col("root").alias("coarse")), "coarse")
+    coarse = ws.put(_coarse(groups, ws, "coarse"), "coarse")
+    several = coarse.groupBy("coarse").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
+    wide = ws.put(coarse.join(several, "coarse", "left_semi").select("doc"), "wide")
+    if not wide.isEmpty():
+        sketches = sets.join(wide, "doc", "left_semi").groupBy("doc").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+        asked = groups.join(sketches, "doc").select(F.pmod("gid", F.lit(8 * buckets)).alias("key"), "gid", "doc", "probe", "size", "sketch")
+        parted = ws.put(asked.groupBy("key").applyInArrow(_parted, "gid bigint, pivot bigint, doc bigint, probe bigint"), "parted")
+        coarse = ws.put(coarse.join(wide, "doc", "left_anti").select("doc", "coarse").unionByName(_coarse(parted, ws, "finer")), "coarse-1")
+        groups = ws.put(groups.join(wide, "doc", "left_anti").select(parted.columns).unionByName(parted), "groups-1")
+        ws.drop("groups", "parted")
     many = coarse.groupBy("coarse").agg(F.count("*").alias("members")).select("coarse", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     own = groups.groupBy("doc").agg(F.collect_list("gid").alias("gids"), F.collect_list("probe").alias("probes"))
     placed = coarse.join(many, "coarse").join(own, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     # one row of each class stands for it
     first = sets.where("doc is not null").groupBy("doc").agg(F.min(F.xxhash64("id")).alias("h"))
     placed = ws.put(placed.join(first, "doc"), "placed")
-    ws.drop("groups")
+    ws.drop("groups", "groups-1")
     ws.tidy()
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
