@@ -51,7 +51,7 @@ FURTHER = [((i + 1) % 4, (i + 2) % 4, 4 + (j + 1) % 4, 8 + (i + j + 1) % 4) for
 AGREED = 5
 #: Offsets whose hashes are computed together. More do not fit into a method that the JVM compiles.
 STEP = 8
-SPACE = r"\x20\x09-\x0D"
+SPACE = " \t\n\x0b\x0c\r"
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -66,7 +66,11 @@ def _doc(key: str, text: str) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, id, place, line, h) of every line with a word."""
     every = docs.select("doc", "id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    return every.where(F.col("line").rlike(f"[^{SPACE}]")).withColumn("h", F.xxhash64("line"))
+    return every.where(_worded(F.col("line"))).withColumn("h", F.xxhash64("line"))
+
+
+def _worded(line: Column) -> Column:
+    return F.ltrim(line, F.lit(SPACE)) != ""
 
 
 def _spot() -> Column:
@@ -101,6 +105,12 @@ def _bands() -> Column:
     return F.array(*[F.xxhash64("width", F.lit(n), *[f"m{k}" for k in band]) for n, band in enumerate(BANDS)])
 
 
+def _packed(signatures: DataFrame) -> DataFrame:
+    """(h, width, spot, p0, p1, ...): 32 bits of each hash of the signature, two in a long."""
+    low = [F.col(f"m{n}").bitwiseAND(F.lit(2**32 - 1)) for n in range(HASHES)]
+    return signatures.select("h", "width", "spot", *[F.shiftleft(x, 32).bitwiseOR(y).alias(f"p{n}") for n, (x, y) in enumerate(zip(low[::2], low[1::2]))])
+
+
 def _fenced(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     """df with further columns, each computed once: nothing moves below a generator, into the lambdas."""
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
@@ -125,15 +135,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     return met.where((F.col("shared") > 0) & (SHARE[1] * F.col("shared") >= SHARE[0] * F.col("either"))).select("a", "b")
 
 
-def _star(members: DataFrame, signatures: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """(a, b): every member (key, h, width, n) of a group with its pivot, once each, if their signatures agree."""
-    company = members.groupBy("h").agg(F.sum("n").alias("company"))
-    # copies are more alike the line with most company than one another; of equals the least hash
+def _company(members: DataFrame) -> DataFrame:
+    return members.groupBy("h").agg(F.sum("n").alias("company"))
+
+
+def _star(members: DataFrame, company: DataFrame, packed: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """(a, b): every member (key, h, width, n) of a group and its pivot b, once each, if their signatures agree."""
+    # copies are more alike the line with most company than one another; of equals the least hash.
+    # The order is of lines, not of groups: no two lines are pivots of each other
     order = F.col("company").cast("decimal(18,0)") * F.lit(Decimal(2**64)) - F.col("h")
-    first = members.join(company, "h").groupBy("key").agg(F.max_by("h", order).alias("pivot"))
-    star = members.join(first, "key").where("h <> pivot").select(F.least("h", "pivot").alias("a"), F.greatest("h", "pivot").alias("b"), "width").distinct()
-    one, two = (signatures.select(F.col("h").alias(x), "width", *[F.col(f"m{n}").alias(f"{x}{n}") for n in range(HASHES)]) for x in "ab")
-    agreed = sum(((F.col(f"a{n}") == F.col(f"b{n}")).cast("int") for n in range(HASHES)), F.lit(0))
+    first = members.join(company, "h").groupBy("key").agg(F.max_by("h", order).alias("b"))
+    star = members.select("key", F.col("h").alias("a"), "width").join(first, "key").where("a <> b").select("a", "b", "width").distinct()
+    one, two = (packed.select(F.col("h").alias(x), "width", *[F.col(f"p{n}").alias(f"{x}{n}") for n in range(HASHES // 2)]) for x in "ab")
+    unlike = [F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}")) for n in range(HASHES // 2)]
+    agreed = sum(((half == 0).cast("int") for x in unlike for half in (F.shiftrightunsigned(x, 32), F.shiftleft(x, 32))), F.lit(0))
     return ws.put(star.join(one, ["a", "width"]).join(two, ["b", "width"]).where(agreed >= AGREED).select("a", "b").distinct(), name)
 
 
@@ -144,11 +159,12 @@ def _open(members: DataFrame, roots: DataFrame, least: int) -> DataFrame:
     return placed.join(apart, "key").select(members.columns)
 
 
-def _finer(members: DataFrame, signatures: DataFrame) -> DataFrame:
+def _finer(members: DataFrame, packed: DataFrame) -> DataFrame:
     """Members (key, h, width, n) of the groups' parts: those that agree in one more hash, for each of FURTHER."""
-    hashes = F.array(*[f"m{n}" for n in range(HASHES)]).alias("hashes")
+    halves = (half for n in range(HASHES // 2) for half in (F.shiftrightunsigned(f"p{n}", 32), F.col(f"p{n}").bitwiseAND(F.lit(2**32 - 1))))
+    hashes = F.array(*halves).alias("hashes")
     others = F.get(F.array(*[F.array(*map(F.lit, x)) for x in FURTHER]), F.col("band"))
-    every = members.join(signatures, ["h", "width"]).select("key", "h", "width", hashes, F.explode(others).alias("other"))
+    every = members.join(packed, ["h", "width"]).select("key", "h", "width", hashes, F.explode(others).alias("other"))
     split = every.select("h", "width", F.xxhash64("key", "other", F.get("hashes", F.col("other"))).alias("key"))
     many = split.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     return split.join(many, "key")
@@ -160,11 +176,13 @@ def line_roots(docs: DataFrame, signatures: DataFrame, ws: Workspace, length: in
     groups = ws.put(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "groups")
     members = ws.put(maybe(banded, groups, "key").where("likely").drop("likely").join(groups, "key"), "members")
     ws.drop("groups")
-    signatures = ws.put(signatures.drop("n").join(members.select("h").distinct(), "h", "left_semi"), "candidates")
-    star = _star(members, signatures, ws, "star")
-    again = maybe(_lines(docs).select("h", _spot().alias("spot"), "line"), signatures, "spot").where("likely")
+    company = ws.put(_company(members), "company")
+    candidates = maybe(signatures.drop("n"), company, "h").where("likely").drop("likely").join(company, "h", "left_semi")
+    packed = ws.put(_packed(candidates), "candidates")
+    star = _star(members, company, packed, ws, "star")
+    again = maybe(_lines(docs).select("h", _spot().alias("spot"), "line"), packed, "spot").where("likely").drop("likely")
     # texts, not sets: a set of hashes has eight times the bytes of its line
-    texts = ws.put(again.groupBy("h").agg(F.first("line").alias("line")).join(signatures, "h", "left_semi"), "texts")
+    texts = ws.put(again.join(company, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "texts")
     ws.tidy()
     links = ws.put(_verified(star, texts, length), "links-0")
     roots = ws.put(components(links, ws, "first"), "roots-0")
@@ -172,12 +190,14 @@ def line_roots(docs: DataFrame, signatures: DataFrame, ws: Workspace, length: in
     # what is apart from others of its group meets the pivots of the group's parts
     open_ = ws.put(_open(members, roots, 3), "open")
     ws.drop("members")
-    parts = ws.put(_open(ws.put(_finer(open_, signatures), "parts"), roots, 2), "open-parts")
-    again = _star(parts, signatures, ws, "star-1").join(star, ["a", "b"], "left_anti")
+    parts = ws.put(_open(ws.put(_finer(open_, packed), "parts"), roots, 2), "open-parts")
+    again = _star(parts, _company(parts), packed, ws, "star-1")
+    # the company within the parts may turn a pair round
+    again = again.join(star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     for x in "ab":
         again = again.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
     more = ws.put(_verified(again.where("ra <> rb").select("a", "b"), texts, length), "links-1")
-    ws.drop("open", "parts", "open-parts", "star", "star-1")
+    ws.drop("company", "open", "parts", "open-parts", "star", "star-1")
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return ws.put(components(known.unionByName(more), ws, "second"), "roots-1")
 
@@ -211,11 +231,13 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     docs = _keyed(df, key, text)
     removed = removed_places(docs, ws, length)
     whole = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, named)])
-    rows = df.select(_doc(key, text), whole.alias("row"), F.split(F.col(f"`{text}`"), "\n", -1).alias("lines"))
-    split = maybe(rows, removed, "doc")
+    rows = df.select(_doc(key, text), whole.alias("row"))
+    rows = maybe(rows, removed, "doc")
     own = named[df.columns.index(text)]
-    same = split.where(~F.col("likely")).select("row", F.col(f"row.{own}").alias("left"), F.lit(0).alias("n"))
-    some = split.where("likely").join(removed, "doc", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    same = rows.where(~F.col("likely")).select("row", F.col(f"row.{own}").alias("left"), F.lit(0).alias("n"))
+    some = rows.where("likely").join(removed, "doc", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    # split after the join: the lines beside the text would be sent, too
+    some = _fenced(some, ["row", "removed"], lines=F.split(F.col(f"row.{own}"), "\n", -1))
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
     # the places of lines that stay, as a column of their own, so that a look-up is one step
     some = some.select("row", "lines", "removed", F.inline(F.array(F.struct(F.when(F.col("lines").isNotNull(), places).alias("places")))))
@@ -227,7 +249,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
 
 def digest(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """A row for each row of df: key, n_lines (with a word), n_removed_lines, kept_sha256 of the text left."""
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    n = F.size(F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))).cast("long")
-    out = dedup(df.select(F.col(f"`{key}`").alias("doc_id"), n.alias("n_lines"), F.col(f"`{text}`").alias("text")), "doc_id", "text", length)
-    return out.select(F.col("doc_id").alias(key), "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out = dedup(df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "doc_id", "text", length)
+    out = out.withColumn("text", F.coalesce("text", F.lit("")))
+    # only lines with a word go
+    n = F.size(F.filter(F.split("text", "\n", -1), _worded)).cast("long") + F.col("n_removed_lines")
+    return out.select(F.col("doc_id").alias(key), n.alias("n_lines"), "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
