@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, credentials, lines, nearest, packing, quality, setjoin, substrings, tokenbin, toxicity
+from tidewell.llm import bpe, credentials, filteraudit, lines, nearest, packing, quality, setjoin, substrings, tokenbin, toxicity
 from tidewell.llm.workspace import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,9 +56,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("abuse")
 
 
+def op11_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_secrets": op1_secrets, "op2_setjoin": op2_setjoin, "op3_quality": op3_quality, "op4_lines": op4_lines, "op5_bpe": op5_bpe, "op6_nearest": op6_nearest, "op7_substrings": op7_substrings, "op8_token_files": op8_token_files, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
+    return {"op1_secrets": op1_secrets, "op2_setjoin": op2_setjoin, "op3_quality": op3_quality, "op4_lines": op4_lines, "op5_bpe": op5_bpe, "op6_nearest": op6_nearest, "op7_substrings": op7_substrings, "op8_token_files": op8_token_files, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity, "op11_filteraudit": op11_filteraudit}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": credentials.ORACLE_SQL, "op2_setjoin": setjoin.ORACLE_SQL, "op7_substrings": substrings.ORACLE_SQL, "op9_packing": packing.ORACLE_SQL}
+    return {"op1_secrets": credentials.ORACLE_SQL, "op2_setjoin": setjoin.ORACLE_SQL, "op7_substrings": substrings.ORACLE_SQL, "op9_packing": packing.ORACLE_SQL, "op11_filteraudit": filteraudit.ORACLE_SQL}
