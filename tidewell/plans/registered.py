@@ -260,6 +260,35 @@ def _(spark, sf_dir):
     return joins.interval(read(spark, sf_dir, "part"), n, "p_size", "s", "e", 3).select("p_partkey", "n_nationkey")
 
 
+@register("join_inequality", "SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem JOIN orders ON l_extendedprice - 96000 > o_totalprice AND l_shipdate < o_orderdate")
+def _(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") - 96000).alias("over"), "l_shipdate")
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    return joins.inequality(li, o, [("over", ">", "o_totalprice"), ("l_shipdate", "<", "o_orderdate")]).select("l_orderkey", "l_linenumber", "o_orderkey")
+
+
+_HOT = "CASE WHEN user_id % 2 = 0 THEN -1 ELSE user_id END"
+
+
+@register("asof_hot_key", f"""WITH e AS (SELECT event_id, {_HOT} AS k, ts, event_type FROM events),
+r AS (SELECT k, ts, max(event_id) AS purchase FROM e WHERE event_type = 'purchase' GROUP BY k, ts)
+SELECT l.event_id, l.k, r.purchase FROM (SELECT * FROM e WHERE event_type <> 'purchase') l ASOF LEFT JOIN r ON l.k = r.k AND l.ts >= r.ts""")
+def _(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", F.expr(_HOT).alias("k"), "ts", "event_type")  # half of all rows have one key
+    left, right = e.where("event_type <> 'purchase'").select("event_id", "k", "ts"), e.where("event_type = 'purchase'").select("k", "ts", F.col("event_id").alias("purchase"))
+    return joins.asof(left, right, ["k"], "ts", ["purchase"]).select("event_id", "k", "purchase")
+
+
+@register("interval_join_levels", """SELECT a.event_id AS span, count(*) AS n, max(b.event_id) AS last FROM (SELECT event_id, ts AS s, ts + to_microseconds(CAST(CASE WHEN event_id % 200 = 1 THEN 63072000 ELSE power(6, event_id % 8) END * 1000000 AS BIGINT)) AS e FROM events WHERE event_type = 'error') a
+JOIN events b ON b.ts >= a.s AND b.ts < a.e GROUP BY a.event_id""")
+def _(spark, sf_dir):
+    # from a second to two years
+    seconds = F.when(F.col("event_id") % 200 == 1, 63072000).otherwise(F.pow(F.lit(6), F.col("event_id") % 8))
+    e = read(spark, sf_dir, "events")
+    spans = e.where("event_type = 'error'").select(F.col("event_id").alias("span"), F.col("ts").alias("s"), F.timestamp_add("MICROSECOND", (seconds * 1000000).cast("long"), F.col("ts")).alias("e"))
+    return joins.interval(e.select("event_id", "ts"), spans, "ts", "s", "e").groupBy("span").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
 @register("groups_frame", "SELECT c_custkey, CAST(sum(c_nationkey) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s FROM customer")
 def _(spark, sf_dir):
     return dialect.groups_frame(read(spark, sf_dir, "customer"), ["c_mktsegment"], F.col("c_nationkey"), 1, 1, F.sum("c_nationkey"), "s").select("c_custkey", "s")
