@@ -12,11 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions import coercion, dialect, lsn, naming
+from tidewell.functions import coercion, dialect, lsn, naming, sketches
 from tidewell.operators import changelog, joins
 from tidewell.operators.current import current_rows, latest, page
 from tidewell.operators.maintenance import Policy, plan
 from tidewell.sources import catalogs
+from tidewell.sources.scratch import stored
 from tidewell.sources.tablelog import File
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,3 +402,64 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     return e.groupBy(F.window("ts", "1 hour").start.alias("start"), "event_type").agg(F.count("*").alias("n"))
+
+
+# sketches: what they estimate against what is exact, which DuckDB counts in full
+
+_SHARES = [0.1, 0.5, 0.99]
+_WEIGHTED = """SELECT {keys}, s.share, (SELECT min(x) FROM (SELECT {inner}, {value} AS x, sum({weight}) OVER (PARTITION BY {inner_keys} ORDER BY {value}) AS c, sum({weight}) OVER (PARTITION BY {inner_keys}) AS t FROM lineitem) w
+WHERE {same} AND c >= s.share * t) AS exact, true AS within FROM (SELECT DISTINCT {keys} FROM lineitem) g, (SELECT CAST(unnest([0.1, 0.5, 0.99]) AS DOUBLE) AS share) s"""
+
+
+@register("approx_percentile_weighted", _WEIGHTED.format(keys="l_returnflag, l_linestatus", inner="l_returnflag AS f, l_linestatus AS l", inner_keys="l_returnflag, l_linestatus", value="l_extendedprice", weight="l_quantity", same="f = l_returnflag AND l = l_linestatus"))
+def _(spark, sf_dir):
+    li, by = read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"]
+    sketch = stored(sketches.quantile_sketch(li, by, "l_extendedprice", "l_quantity"), "quantiles")
+    exact = sketches.refined(li, sketch, by, "l_extendedprice", "l_quantity", _SHARES)
+    return sketches.quantiles(sketch, by, _SHARES).join(exact, [*by, "share"]).select(*by, "share", "exact", sketches.within(F.col("estimate"), F.col("exact")).alias("within"))
+
+
+@register("quantile_sketch_rollup", _WEIGHTED.format(keys="l_returnflag", inner="l_returnflag AS f", inner_keys="l_returnflag", value="l_extendedprice", weight="1", same="f = l_returnflag") + " UNION ALL SELECT 'all', share, (SELECT min(x) FROM (SELECT l_extendedprice AS x, count(*) OVER (ORDER BY l_extendedprice) AS c, count(*) OVER () AS t FROM lineitem) w WHERE c >= s.share * t), true FROM (SELECT CAST(unnest([0.1, 0.5, 0.99]) AS DOUBLE) AS share) s")
+def _(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    fine = stored(sketches.quantile_sketch(li.withColumn("month", F.date_trunc("month", "l_shipdate")), ["l_returnflag", "month"], "l_extendedprice"), "quantiles")
+    out = []
+    for by in (["l_returnflag"], []):
+        sketch = sketches.merged(fine, by)
+        both = sketches.quantiles(sketch, by, _SHARES).join(sketches.refined(li, sketch, by, "l_extendedprice", None, _SHARES), [*by, "share"])
+        out.append(both.select(F.col("l_returnflag") if by else F.lit("all").alias("l_returnflag"), "share", "exact", sketches.within(F.col("estimate"), F.col("exact")).alias("within")))
+    return out[0].unionByName(out[1])
+
+
+@register("distinct_sketch_rollup", "SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS within FROM lineitem GROUP BY l_returnflag")
+def _(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    fine = stored(sketches.distinct_sketch(li.withColumn("month", F.date_trunc("month", "l_shipdate")), ["l_returnflag", "month"], "l_partkey"), "distinct")
+    exact = li.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("exact"))
+    near = F.abs(F.col("estimate") - F.col("exact")) <= sketches.distinct_bound() * F.col("exact")
+    return sketches.distinct_counts(fine, ["l_returnflag"]).join(exact, "l_returnflag").select("l_returnflag", "exact", near.alias("within"))
+
+
+@register("set_sketch_overlap", """WITH c AS (SELECT o_custkey, bool_or(o_orderstatus = 'O') AS o, bool_or(o_orderstatus = 'F') AS f FROM orders GROUP BY o_custkey)
+SELECT count(*) FILTER (WHERE o AND f) AS both_, count(*) FILTER (WHERE o AND NOT f) AS first_, true AS within FROM c""")
+def _(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    fine = stored(sketches.set_sketch(o, ["o_orderstatus"], "o_custkey"), "sets")
+    one, two = (F.max(F.when(F.col("o_orderstatus") == s, F.col("sketch"))).alias(s) for s in "OF")
+    found = fine.agg(one, two).select(*[c.alias(f"__{n}") for n, c in sketches.overlaps(F.col("O"), F.col("F")).items()])
+    each = o.groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "O").alias("o"), F.bool_or(F.col("o_orderstatus") == "F").alias("f"))
+    exact = each.agg(F.count_if(F.col("o") & F.col("f")).alias("both_"), F.count_if(F.col("o") & ~F.col("f")).alias("first_"), F.count_if(F.col("o") | F.col("f")).alias("either"))
+    off = sketches.overlap_bound() * F.col("either")
+    near = (F.abs(F.col("__both") - F.col("both_")) <= off) & (F.abs(F.col("__first") - F.col("first_")) <= off) & (F.abs(F.col("__either") - F.col("either")) <= off)
+    return exact.join(F.broadcast(found), F.lit(True)).select("both_", "first_", near.alias("within"))
+
+
+@register("rank_sketch_rollup", "SELECT event_type, CAST(unnest([0.1, 0.5, 0.99]) AS DOUBLE) AS share, count(*) AS n, true AS within FROM events GROUP BY event_type")
+def _(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    fine = stored(sketches.rank_sketch(e.withColumn("day", F.date_trunc("day", "ts")), ["event_type", "day"], "value"), "ranks")
+    found = sketches.rank_quantiles(fine, ["event_type"], _SHARES)
+    # the ranks that the estimate has: of the values below it, and of those up to it
+    ranks = e.join(F.broadcast(found), "event_type").groupBy("event_type", "share", "n").agg(F.count_if(F.col("value") < F.col("estimate")).alias("below"), F.count_if(F.col("value") <= F.col("estimate")).alias("upto"))
+    off = sketches.rank_bound() * F.col("n")
+    return ranks.select("event_type", "share", "n", ((F.col("below") - off <= F.col("share") * F.col("n")) & (F.col("share") * F.col("n") <= F.col("upto") + off)).alias("within"))
