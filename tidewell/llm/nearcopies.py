@@ -72,12 +72,9 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def keys(values: np.ndarray) -> np.ndarray:
-    """A key for each band of a signature."""
-    out = np.arange(BANDS, dtype=np.uint64)
-    for column in values.reshape(BANDS, ROWS).T:
-        out = wordhash.mixed(out * np.uint64(0x9E3779B97F4A7C15) + column)
-    return out.view(np.int64)
+def keys(values: Column) -> Column:
+    """A key for each band of a signature, from its values as they are stored."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.substring(values, k * 2 * ROWS + 1, F.lit(2 * ROWS)), k))
 
 
 def least_equal(n: int, miss: float = MISS) -> int:
@@ -119,34 +116,31 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def with_sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, id, h1, h2, size, class, keys, values) of each row. keys and values: where a task meets a class first."""
+    """(row, id, h1, h2, size, class, values) of each row; values (16 bits of each): where a task meets a class first."""
     own, whole = F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = df.select(F.monotonically_increasing_id().alias("row"), own.alias("id"), *_named(own, whole), whole.alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            sizes, classes, bands, values = [], [], [], []
+            sizes, classes, values = [], [], []
             for _, texts in wordhash.blocks(batch.column("t").to_pylist()):
                 for s in shingle_sets(texts, SHINGLE):
                     name = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                     sizes.append(len(s))
                     classes.append(name)
                     if name is None or name in seen:
-                        bands.append(None)
                         values.append(None)
                         continue
                     if len(seen) > 100_000:
                         seen.clear()
                     seen.add(name)
-                    own = signature(s)
-                    bands.append(keys(own))
-                    values.append(own.astype("<u2").tobytes())
-            columns = [pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(values, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], ["row", "id", "h1", "h2", "size", "class", "keys", "values"])
+                    values.append(signature(s).astype("<u2").tobytes())
+            columns = [pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(values, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], ["row", "id", "h1", "h2", "size", "class", "values"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row long, id {kind}, h1 long, h2 long, size long, class binary, keys array<long>, values binary")
+    return rows.mapInArrow(run, f"row long, id {kind}, h1 long, h2 long, size long, class binary, values binary")
 
 
 def _named(key: Column, text: Column) -> list[Column]:
@@ -216,10 +210,10 @@ def links(texts: DataFrame, placed: DataFrame, *key: Column) -> DataFrame:
 def class_components(df: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sets of all rows (id, size, class), classes (class, node, least id) and their components (node, root)."""
     sets = ws.put(with_sets(df, key, text), "sets")
-    classes = ws.put(sets.where("class is not null").groupBy("class").agg(F.min(F.when(F.col("keys").isNotNull(), F.col("row"))).alias("node"), F.min("id").alias("least")), "classes")
-    stands = sets.join(classes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "h1", "h2", "size", "keys", "values")
+    classes = ws.put(sets.where("class is not null").groupBy("class").agg(F.min(F.when(F.col("values").isNotNull(), F.col("row"))).alias("node"), F.min("id").alias("least")), "classes")
+    stands = sets.join(classes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "h1", "h2", "size", "values")
     stands = ws.put(stands, "stands")
-    banded = stands.select("node", F.explode("keys").alias("gid"))
+    banded = stands.select("node", F.explode(keys(F.col("values"))).alias("gid"))
     several = ws.put(banded.groupBy("gid").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("gid", "pivot"), "several")
     groups = ws.put(banded.join(several, "gid"), "groups")
 
@@ -227,7 +221,7 @@ def class_components(df: DataFrame, ws: Workspace, key: str = "doc_id", text: st
     edges = groups.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     coarse = ws.put(components(edges, ws, "coarse").select("node", F.col("root").alias("coarse")), "coarse")
     own = groups.groupBy("node").agg(F.collect_list("gid").alias("met"))
-    placed = coarse.join(stands.drop("keys"), "node").join(own, "node")
+    placed = coarse.join(maybe(stands, coarse, "node").where("likely").drop("likely"), "node").join(own, "node")
     wide = coarse.join(stands.select("node", "size"), "node").groupBy("coarse").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / LOAD)).cast("int").alias("blocks"))
     placed = ws.put(placed.join(wide, "coarse").withColumn("root", F.col("node")).withColumn("side", F.lit(None).cast("int")), "placed")
     ws.drop("several", "groups", "stands")
