@@ -47,7 +47,7 @@ VALUES = BANDS * ROWS
 #: Values compared at a time, and the probability of a link at which a pair is dropped.
 BATCH, MISS = 48, 1e-6
 #: Classes, and shingles, of a component that are compared in one task, about.
-BLOCK, LOAD = 1024, 1 << 22
+BLOCK, LOAD = 1024, 1 << 20
 #: Pairs of signatures compared at a time.
 PAIRS = 1 << 16
 
