@@ -47,6 +47,8 @@ PARTS, SMOOTH = 1_000_000_000, 1
 LEADING = 200
 #: Cells (source and term) of a bucket, about; sources of a bucket whose rows are worked out in one task, about.
 CELLS, STRIPE = 1 << 20, 512
+#: Bytes of texts that are counted together: what they share goes to Spark once.
+BLOCK = 4 << 20
 
 Hash = Callable[[bytes], int]
 
@@ -92,7 +94,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to (lang, source, term, n, docs) by block; a null term shows that the group occurs."""
     for batch in batches:
         langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for at, texts in wordhash.blocks(batch.column(2).to_pylist()):
+        for at, texts in wordhash.blocks(batch.column(2).to_pylist(), BLOCK):
             names: dict[tuple[str, str], int] = {}
             home = np.array([names.setdefault(k, len(names)) for k in zip(langs[at : at + len(texts)], sources[at : at + len(texts)], strict=True)], np.int64)
             terms, term, doc = terms_of(texts)

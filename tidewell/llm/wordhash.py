@@ -64,12 +64,12 @@ def runs(hashes: np.ndarray, length: int) -> np.ndarray:
         size *= 2
 
 
-def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts as bytes in blocks of about BLOCK bytes, each with the number of its first text."""
+def blocks(texts: list[str | None], most: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts as bytes in blocks of about so many bytes, each with the number of its first text."""
     at, block, size = 0, [], 0
     for k, t in enumerate(texts):
         raw = (t or "").encode()
-        if block and size + len(raw) > BLOCK:
+        if block and size + len(raw) > most:
             yield at, block
             at, block, size = k, [], 0
         block.append(raw)
