@@ -46,7 +46,7 @@ PARTS, SMOOTH = 1_000_000_000, 1
 #: Term rows of a group.
 LEADING = 200
 #: Cells (source and term) of a bucket, about; sources of a bucket whose rows are worked out in one task, about.
-CELLS, STRIPE = 1 << 20, 512
+CELLS, STRIPE = 1 << 18, 512
 #: Bytes of texts that are counted together: what they share goes to Spark once.
 BLOCK = 4 << 20
 
