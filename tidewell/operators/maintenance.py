@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import logging
+import re
 import time
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from itertools import accumulate, groupby, takewhile
+from operator import itemgetter
 
 from pyspark.sql import functions as F
 
@@ -31,68 +34,64 @@ class Policy:
 
 
 def plan(files: list[File], policy: Policy) -> list[list[File]]:
-    """Bins of files worth rewriting, oldest first.
+    """Which files to rewrite together, in the order of commits.
 
-    A bin is consecutive in the order of commits, so that the ranges of positions in its file stay
-    narrow: large files part the small ones into stretches, and a stretch is filled bin after bin up to
-    the target. A bin counts if it has enough files, or at least two that are not small together.
-    Planning ends at the first bin that would pass the cap on bytes.
+    Small files are packed one after the other, each into the bin before it as long as ``target`` is not exceeded. A large
+    file ends a bin, so that what one file holds in the end lies close together in the log. Bins that would save too little stay
+    as they are; of the others the oldest are taken, up to ``most_bytes`` in all.
     """
-    stretches: list[list[File]] = [[]]
-    for f in sorted(files, key=lambda f: (f.sequence, f.path)):
+    ordered = sorted(files, key=lambda f: (f.sequence, f.path))
+
+    def place(last: tuple[int, int], f: File) -> tuple[int, int]:
+        number, filled = last
         if f.size >= policy.small:
-            stretches.append([])
-        else:
-            stretches[-1].append(f)
-    bins: list[list[File]] = []
-    for stretch in stretches:
-        filled = policy.target + 1
-        for f in stretch:
-            if filled + f.size > policy.target:
-                bins.append([])
-                filled = 0
-            bins[-1].append(f)
-            filled += f.size
-    out, spent = [], 0
-    for b in bins:
-        size = sum(f.size for f in b)
-        if len(b) < 2 or (len(b) < policy.least_files and size < policy.small):
-            continue
-        spent += size
-        if spent > policy.most_bytes:
-            break
-        out.append(b)
-    return out
+            return number + 1, policy.target
+        return (number, filled + f.size) if filled + f.size <= policy.target else (number + 1, f.size)
+
+    numbers = [number for number, _ in accumulate(ordered, place, initial=(0, policy.target))][1:]
+    small = [(number, f) for number, f in zip(numbers, ordered, strict=True) if f.size < policy.small]
+    bins = [[f for _, f in own] for _, own in groupby(small, key=itemgetter(0))]
+    size = lambda b: sum(f.size for f in b)
+    worth = [b for b in bins if len(b) >= max(2, policy.least_files) or (len(b) > 1 and size(b) >= policy.small)]
+    return [b for b, _ in takewhile(lambda x: x[1] <= policy.most_bytes, zip(worth, accumulate(map(size, worth)), strict=True))]
 
 
 class InputGone(Exception):
     """A file to be replaced is not in the table any more."""
 
 
-def rewrite(table: Table, files: list[File]) -> tuple[File, ...]:
-    """The rows of a bin, in the order of its files and of rows in them, as files of one writer."""
+def rewrite(table: Table, bins: list[list[File]]) -> list[tuple[File, ...]]:
+    """The rows of each bin, in the order of its files and of rows in them, as one file: one job for all bins.
+
+    A bin is a partition, so bins are written side by side. Which file goes where is joined to the rows by broadcast; the
+    list is as long as the plan, which the policy bounds.
+    """
     spark = table.spark
-    order = {f.path.rsplit("/", 1)[1]: n for n, f in enumerate(files)}
-    df = spark.read.schema(table.schema()).parquet(*[f.path for f in files])
-    if len(files) < 2:
-        return table.write_files(df.coalesce(1), "compact")
-    place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.element_at(F.split(F.input_file_name(), "/"), -1)]
-    tagged = df.select("*", place.alias("__file"), F.monotonically_increasing_id().alias("__row")).coalesce(1)
-    return table.write_files(tagged.sortWithinPartitions("__file", "__row").drop("__file", "__row"), "compact")
+    if not bins:
+        return []
+    places = [(f.path.rsplit("/", 1)[1], n, k) for n, files in enumerate(bins) for k, f in enumerate(files)]
+    listed = F.broadcast(spark.createDataFrame(places, "__name string, __bin int, __file int"))
+    rows = spark.read.schema(table.schema()).parquet(*[f.path for files in bins for f in files])
+    rows = rows.select("*", F.col("_metadata.file_name").alias("__name"), F.col("_metadata.row_index").alias("__row")).join(listed, "__name")
+    dealt = rows.repartitionById(len(bins), F.col("__bin")).sortWithinPartitions("__file", "__row").drop("__name", "__bin", "__file", "__row")
+    made = table.write_files(dealt, "compact")
+    of = lambda f: int(re.search(r"part-(\d+)", f.path.rsplit("/", 1)[1])[1])
+    return [tuple(f for f in made if of(f) == n) for n in range(len(bins))]
 
 
 def compact(table: Table, policy: Policy, before_commit: Callable[[], None] | None = None) -> dict[str, int]:
-    """Rewrites the planned bins; each is replaced in a commit of its own, or not at all."""
+    """Rewrites the planned bins in one job; each is then replaced in a commit of its own, or not at all."""
     report = Counter(bins=0, files_in=0, files_out=0, bytes_in=0)
     _, state = table.load()
     if state.current is None:
         return dict(report)
-    for old in plan(list(state.current.files), policy):
-        new = rewrite(table, old)
-        if sum(f.rows for f in new) != sum(f.rows for f in old):
-            for f in new:
-                table.store.delete(f.path)
-            raise ValueError(f"{table.name}: rewritten rows differ; nothing was replaced")
+    bins = plan(list(state.current.files), policy)
+    made = rewrite(table, bins)
+    if [sum(f.rows for f in b) for b in made] != [sum(f.rows for f in b) for b in bins]:
+        for f in (f for b in made for f in b):
+            table.store.delete(f.path)
+        raise ValueError(f"{table.name}: rewritten rows differ; nothing was replaced")
+    for n, (old, new) in enumerate(zip(bins, made, strict=True)):
         if before_commit:
             before_commit()
 
@@ -114,7 +113,7 @@ def compact(table: Table, policy: Policy, before_commit: Callable[[], None] | No
         try:
             table.commit(change)
         except InputGone:
-            for f in new:
+            for f in (f for b in made[n:] for f in b):
                 table.store.delete(f.path)
             break
         report.update(bins=1, files_in=len(old), files_out=len(new), bytes_in=sum(f.size for f in old))

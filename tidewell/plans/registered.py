@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from tidewell.functions import coercion, dialect, lsn, naming, sketches
 from tidewell.operators import changelog, joins
 from tidewell.operators.current import current_rows, latest, page
-from tidewell.operators.maintenance import Policy, plan
+from tidewell.operators.maintenance import Policy, compact, plan
 from tidewell.sources import catalogs
-from tidewell.sources.scratch import stored
-from tidewell.sources.tablelog import File
+from tidewell.sources.scratch import folder, stored
+from tidewell.sources.tablelog import Catalog, File, Table
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -463,3 +463,72 @@ def _(spark, sf_dir):
     ranks = e.join(F.broadcast(found), "event_type").groupBy("event_type", "share", "n").agg(F.count_if(F.col("value") < F.col("estimate")).alias("below"), F.count_if(F.col("value") <= F.col("estimate")).alias("upto"))
     off = sketches.rank_bound() * F.col("n")
     return ranks.select("event_type", "share", "n", ((F.col("below") - off <= F.col("share") * F.col("n")) & (F.col("share") * F.col("n") <= F.col("upto") + off)).alias("within"))
+
+
+# tables of the lake: made of the events in eight commits, each of a range of positions
+
+
+def _lake(spark: SparkSession, sf_dir: str) -> Table:
+    log = events_log(spark, sf_dir)
+    most = read(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
+    table = Catalog(spark, folder(spark, "lake")).create("ns", "public__events", log.schema, ["event_id"])
+    for n in range(8):
+        low, high = (k * (most + 1) // 8 for k in (n, n + 1))
+        table.append(log.where((F.col("event_id") >= low) & (F.col("event_id") < high)).repartitionByRange(4, "event_id").sortWithinPartitions("event_id"), None, "events")
+    return table
+
+
+def _at(event_id: int) -> str:
+    return lsn.show((event_id // 16384) << 32 | (event_id % 16384) * 262144)
+
+
+@register("lake_scan_pruned", f"SELECT _op, _position, event_id, user_id, event_type, value FROM {EVENTS_LOG} WHERE event_id >= 2000 AND event_id < 4500")
+def _(spark, sf_dir):
+    return _lake(spark, sf_dir).scan(where=[("_position", ">=", _at(2000)), ("_position", "<", _at(4500))]).drop("_source_id", "_commit_timestamp_us")
+
+
+@register("lake_time_travel", """SELECT n, CAST((SELECT count(*) FROM events WHERE event_id < (n * (SELECT max(event_id) + 1 FROM events)) // 8) AS BIGINT) AS total, (SELECT max(event_id) FROM events WHERE event_id < (n * (SELECT max(event_id) + 1 FROM events)) // 8) AS last
+FROM (SELECT CAST(unnest([1, 3, 8]) AS INTEGER) AS n) t""")
+def _(spark, sf_dir):
+    table = _lake(spark, sf_dir)
+    snapshots = table.load()[1].snapshots
+    parts = [table.scan(snapshots[n - 1].id).agg(F.count("*").alias("total"), F.max("event_id").alias("last")).select(F.lit(n).alias("n"), "total", "last") for n in (1, 3, 8)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_COMMITS = "SELECT n, (SELECT count(*) FROM events WHERE event_id >= (n - 1) * m // 8 AND event_id < n * m // 8) AS added, (SELECT count(*) FROM events WHERE event_id < n * m // 8) AS total FROM (SELECT unnest(range(1, 9)) AS n, (SELECT max(event_id) + 1 FROM events) AS m) t"
+
+
+@register("lake_snapshots", f"SELECT CAST(n AS BIGINT) AS sequence_number, 'append' AS operation, added, total, 'events' AS source FROM ({_COMMITS})")
+def _(spark, sf_dir):
+    s = F.col("summary")
+    return _lake(spark, sf_dir).metadata("snapshots").select("sequence_number", "operation", s["added-records"].cast("long").alias("added"), s["total-records"].cast("long").alias("total"), s["cdc.source-id"].alias("source"))
+
+
+@register("lake_manifests", f"SELECT CAST(a.n AS BIGINT) AS snapshot, CAST(b.n AS BIGINT) AS sequence_number, b.added AS records FROM ({_COMMITS}) a JOIN ({_COMMITS}) b ON b.n <= a.n")
+def _(spark, sf_dir):
+    table = _lake(spark, sf_dir)
+    order = table.metadata("snapshots").select("snapshot_id", F.col("sequence_number").alias("snapshot"))
+    return table.metadata("manifests").join(order, "snapshot_id").groupBy("snapshot", "sequence_number").agg(F.sum("record_count").alias("records"))
+
+
+@register("lake_history", f"SELECT CAST(n AS BIGINT) AS sequence_number, CAST(nullif(n - 1, 0) AS BIGINT) AS parent, true AS is_current_ancestor FROM ({_COMMITS})")
+def _(spark, sf_dir):
+    table = _lake(spark, sf_dir)
+    order = table.metadata("snapshots").select("snapshot_id", "sequence_number")
+    named = table.metadata("history").join(order, "snapshot_id")
+    return named.join(order.toDF("parent_id", "parent"), "parent_id", "left").select("sequence_number", "parent", "is_current_ancestor")
+
+
+@register("lake_compacted", "SELECT event_id, row_number() OVER (ORDER BY event_id) AS place, true AS fewer FROM events")
+def _(spark, sf_dir):
+    table = _lake(spark, sf_dir)
+    before = table.load()[1].current.files
+    size = sum(f.size for f in before) // 10
+    compact(table, Policy(target=2 * size, small=2 * size, least_files=2, most_bytes=1 << 62))
+    after = sorted(table.load()[1].current.files, key=lambda f: f.sequence)
+    # the place of a row: rows of the files before its own, and its number there
+    starts = [(f.path.rsplit("/", 1)[1], sum(g.rows for g in after[:n])) for n, f in enumerate(after)]
+    rows = spark.read.schema(table.schema()).parquet(*[f.path for f in after]).select("event_id", F.col("_metadata.file_name").alias("name"), F.col("_metadata.row_index").alias("nth"))
+    named = rows.join(F.broadcast(spark.createDataFrame(starts, "name string, start long")), "name")
+    return named.select("event_id", (F.col("start") + F.col("nth") + 1).alias("place"), F.lit(len(after) < len(before)).alias("fewer"))
