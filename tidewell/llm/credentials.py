@@ -2,8 +2,9 @@
 
 Strong spans (assignments, access identifiers, long hex runs) are always reported. Weak candidates
 (names of accounts, mixed runs of characters that may be keys, endpoints) are reported only where a
-complementary part starts within the same scope: an interval join on the start of the parts, done as
-a range frame over the parts of a document. One shuffle, by row, of the parts and of the columns that
+complementary part starts within the same scope and does not overlap them, so that no text confirms itself; a
+mixed run that begins inside an endpoint is a piece of it and no part. An interval join on the start of the parts, done as
+range frames over the parts of a document. One shuffle, by row, of the parts and of the columns that
 are kept; no pair of parts is ever emitted.
 
 Defined cases: a null text is an empty one and has no spans. Every row gets one row of result, also
@@ -32,6 +33,7 @@ class Kind:
     group: int = 0
     needs: tuple[str, ...] = ()  # any of these roles in scope; none: strong
     also: tuple[str, ...] = ()  # classes of characters that the match must all have
+    outside: tuple[str, ...] = ()  # names of kinds inside which it does not count
 
 
 SECRET, IDENTIFIER, ENDPOINT = "secret", "identifier", "endpoint"
@@ -42,7 +44,7 @@ KINDS = (
     Kind("access", r"AKIA[A-Z0-9]+", IDENTIFIER, 20),
     Kind("hex", r"[0-9a-f]{24,}", SECRET, 24),
     Kind("account", r"""(?i)(user_?name|login|client_?id|account_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)""", IDENTIFIER, 3, 2, (SECRET,)),
-    Kind("mixed", r"[A-Za-z0-9+/]{32,}", SECRET, 32, 0, (IDENTIFIER, ENDPOINT), ("[a-z]", "[A-Z]", "[0-9]")),
+    Kind("mixed", r"[A-Za-z0-9+/]{32,}", SECRET, 32, 0, (IDENTIFIER, ENDPOINT), ("[a-z]", "[A-Z]", "[0-9]"), ("endpoint",)),
     Kind("endpoint", r"""https?://[^\x20\x09-\x0D"'<>]+""", ENDPOINT, 10, 0, (SECRET,)),
 )
 
@@ -84,17 +86,28 @@ def linked_spans(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     sofar = Window.partitionBy("row", "kind").orderBy("nth")
     end = F.sum(F.col("gap").cast("long") + F.col("size")).over(sofar)
     rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
+    upto = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    for number, kind in enumerate(kinds):
+        if kind.outside:
+            around = F.col("kind").isin([n for n, k in enumerate(kinds) if k.name in kind.outside])
+            covered = F.max(F.when(around & F.col("counts"), F.col("end"))).over(upto)
+            rows = rows.withColumn("covered", covered).withColumn("counts", F.col("counts") & ~((F.col("kind") == number) & (F.coalesce("covered", F.lit(0)) > F.col("start")))).drop("covered")
     role = F.element_at(F.array(*[F.lit(k.role) for k in kinds]), F.col("kind") + 1)
     rows = rows.withColumn("role", F.when(F.col("counts"), role))
-    near = Window.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
-    there = {r: F.max(F.when(F.col("role") == r, True)).over(near).alias(r) for r in sorted({x for k in kinds for x in k.needs})}
+    before, after = (Window.partitionBy("row").orderBy("start").rangeBetween(*x) for x in ((-scope, 0), (0, scope)))
+    there = {}
+    for r in sorted({x for k in kinds for x in k.needs}):
+        own = F.col("role") == r
+        ends_before = F.min(F.when(own, F.col("end"))).over(before) <= F.col("start")
+        begins_after = F.max(F.when(own, F.col("start"))).over(after) >= F.col("end")
+        there[r] = (F.coalesce(ends_before, F.lit(False)) | F.coalesce(begins_after, F.lit(False))).alias(r)
     rows = rows.select("row", "kept", "kind", "start", "end", "counts", *there.values())
     reported = F.col("counts")
     for number, kind in enumerate(kinds):
         if kind.needs:
             linked = F.lit(False)
             for r in kind.needs:
-                linked = linked | F.coalesce(F.col(r), F.lit(False))
+                linked = linked | F.col(r)
             reported = reported & ((F.col("kind") != number) | linked)
     span = F.when(reported, F.struct("start", "kind", "end"))
     found = rows.groupBy("row").agg(F.first("kept", ignorenulls=True).alias("kept"), F.sort_array(F.collect_list(span)).alias("spans"))
@@ -152,14 +165,18 @@ def _sql(kinds: tuple[Kind, ...] = KINDS, scope: int = SCOPE) -> str:
     roles = "CASE " + " ".join(f"WHEN counts AND kind = {n} THEN '{k.role}'" for n, k in enumerate(kinds)) + " END"
     names = "CASE kind " + " ".join(f"WHEN {n} THEN '{k.name}'" for n, k in enumerate(kinds)) + " END"
     needed = sorted({x for k in kinds for x in k.needs})
-    near = ", ".join(f"bool_or(role = '{r}') OVER near AS near_{r}" for r in needed)
+    near = ", ".join(f"(coalesce(min(CASE WHEN role = '{r}' THEN e END) OVER before <= s, false) OR coalesce(max(CASE WHEN role = '{r}' THEN s END) OVER after >= e, false)) AS near_{r}" for r in needed)
+    covers = lambda k: ", ".join(str(n) for n, o in enumerate(kinds) if o.name in k.outside)
+    inside = " OR ".join(f"(kind = {n} AND coalesce(max(CASE WHEN kind IN ({covers(k)}) AND counts THEN e END) OVER (PARTITION BY doc_id ORDER BY s RANGE UNBOUNDED PRECEDING) > s, false))" for n, k in enumerate(kinds) if k.outside) or "false"
     strong = [n for n, k in enumerate(kinds) if not k.needs]
     counted = ", ".join(f"CAST(count(*) FILTER (WHERE kind = {n}) AS BIGINT) AS n_{kinds[n].name}" for n in strong)
     return f"""
 WITH found AS ({" UNION ALL ".join(scans)}),
 placed AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY nth) AS BIGINT) AS e FROM found),
-parts AS (SELECT doc_id, kind, e - length(m) AS s, e, counts, {roles} AS role FROM placed),
-linked AS (SELECT *, {near} FROM parts WINDOW near AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN {scope} PRECEDING AND {scope} FOLLOWING)),
+found_at AS (SELECT doc_id, kind, e - length(m) AS s, e, counts FROM placed),
+alone AS (SELECT doc_id, kind, s, e, counts AND NOT ({inside}) AS counts FROM found_at),
+parts AS (SELECT *, {roles} AS role FROM alone),
+linked AS (SELECT *, {near} FROM parts WINDOW before AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN {scope} PRECEDING AND CURRENT ROW), after AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND {scope} FOLLOWING)),
 spans AS (SELECT doc_id, kind, s, {names} || ':' || s || ':' || e AS span FROM linked WHERE {" AND ".join(reported)}),
 listed AS (SELECT doc_id, {counted}, coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind IN ({", ".join(map(str, strong))})), '') AS base, string_agg(span, ',' ORDER BY s, kind) AS spans FROM spans GROUP BY doc_id)
 SELECT d.doc_id, {", ".join(f"coalesce(n_{kinds[n].name}, 0) AS n_{kinds[n].name}" for n in strong)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
