@@ -59,11 +59,27 @@ def rows(events: DataFrame, source_id: str, target: T.StructType) -> DataFrame:
     return events.select(*[c.alias(n) for c, n in zip(fixed, FIXED)], *typed)
 
 
-def refused(events: DataFrame, target: T.StructType) -> DataFrame:
-    """Events with a text that its column's type refuses, and the names of these columns: a dead-letter output."""
+def checked(events: DataFrame, target: T.StructType) -> DataFrame:
+    """Events with ``refused``: names of the columns whose type refuses the event's text."""
     own = image()
     wrong = [F.when(coercion.checked(own[f.name], f.dataType)[1], F.lit(f.name)) for f in target.fields[len(FIXED) :]]
-    return events.withColumn("refused", F.array_compact(F.array(*wrong))).where(F.size("refused") > 0)
+    return events.withColumn("refused", F.array_compact(F.array(*wrong)))
+
+
+def refused(events: DataFrame, target: T.StructType) -> DataFrame:
+    """Events with a text that its column's type refuses, and the names of these columns: a dead-letter output."""
+    return checked(events, target).where(F.size("refused") > 0)
+
+
+def decoded(lines: DataFrame, text: str = "line") -> DataFrame:
+    """Lines of JSON as events, with ``error``: the line itself where it is no change, else null."""
+    shape = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in EVENT.fields], T.StructField("_broken", T.StringType(), True)])
+    read = lines.withColumn("__e", F.from_json(F.col(text), shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    missing = [F.col("__e")[f.name].isNull() for f in EVENT.fields if not f.nullable]
+    bad = F.col("__e").isNull() | F.col("__e")["_broken"].isNotNull()
+    for m in missing:
+        bad = bad | m
+    return read.select(*[F.when(~bad, F.col("__e")[f.name]).alias(f.name) for f in EVENT.fields], F.when(bad, F.coalesce(F.col(text), F.lit(""))).alias("error"))
 
 
 def selected(events: DataFrame, tables: DataFrame | None) -> DataFrame:

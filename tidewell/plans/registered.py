@@ -532,3 +532,30 @@ def _(spark, sf_dir):
     rows = spark.read.schema(table.schema()).parquet(*[f.path for f in after]).select("event_id", F.col("_metadata.file_name").alias("name"), F.col("_metadata.row_index").alias("nth"))
     named = rows.join(F.broadcast(spark.createDataFrame(starts, "name string, start long")), "name")
     return named.select("event_id", (F.col("start") + F.col("nth") + 1).alias("place"), F.lit(len(after) < len(before)).alias("fewer"))
+
+
+# side outputs
+
+_LINE = """'{"schema":"s","table":"events","op":"insert","after":{"id":"' || event_id || '"},"position":"0/' || printf('%X', event_id) || '","commit_position":"0/' || printf('%X', event_id) || '","commit_timestamp_us":0}'"""
+
+
+@register("decode_errors", f"SELECT kind, line, count(*) AS n FROM (SELECT CASE WHEN event_id % 7 = 0 THEN 'decode' ELSE 'good' END AS kind, CASE WHEN event_id % 7 = 0 THEN left(l, length(l) - 3 - event_id % 5) ELSE '' END AS line FROM (SELECT event_id, {_LINE} AS l FROM events) a) b GROUP BY kind, line")
+def _(spark, sf_dir):
+    lines = read(spark, sf_dir, "events").select("event_id", F.expr(_LINE).alias("l"))
+    cut = F.when(F.col("event_id") % 7 == 0, F.expr("left(l, cast(length(l) - 3 - event_id % 5 as int))")).otherwise(F.col("l"))
+    out = changelog.decoded(lines.select(cut.alias("line")))
+    return out.groupBy(F.when(F.col("error").isNotNull(), "decode").otherwise("good").alias("kind"), F.coalesce("error", F.lit("")).alias("line")).agg(F.count("*").alias("n"))
+
+
+@register("refused_rows", """SELECT 'refused' AS kind, '0/' || printf('%X', o_orderkey) AS position, 'id' AS columns FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT 'landed', '', CAST(count(*) AS VARCHAR) FROM orders WHERE o_orderkey % 3 <> 0""")
+def _(spark, sf_dir):
+    from tidewell.streaming.apply import Applier, SourceTable
+
+    broken = lambda c: F.transform_values(c, lambda k, v: F.when((k == "id") & (v.cast("long") % 3 == 0), F.concat(v, F.lit("x"))).otherwise(v))
+    batch = _text_events(spark, sf_dir).withColumn("after", broken("after")).withColumn("before", broken("before"))
+    applier = Applier(Catalog(spark, folder(spark, "letters")), "00000000-0000-0000-0000-000000000001", {("public", "orders"): SourceTable(_ORDERS, ["id"])}, dead_letters=True)
+    for _ in range(2):  # delivered twice, landed once
+        applier.apply(batch)
+    landed = applier.table("public", "orders").scan().agg(F.lit("landed").alias("kind"), F.lit("").alias("position"), F.count("*").cast("string").alias("columns"))
+    return applier.letters().scan().select("kind", "position", "columns").unionByName(landed)

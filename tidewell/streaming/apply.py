@@ -11,8 +11,9 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.functions import lsn, naming
 from tidewell.functions.naming import table_of
@@ -21,6 +22,9 @@ from tidewell.sources.tablelog import Catalog, Table, checkpoint_of
 
 log = logging.getLogger(__name__)
 
+DEAD_LETTERS, DEAD_MARK = "_dead_letters", "cdc.dead"
+LETTERS = T.StructType([T.StructField(c, T.LongType() if c == "line" else T.StringType(), True) for c in ("kind", "schema", "table", "position", "line", "columns", "content")])
+
 
 @dataclass(frozen=True)
 class SourceTable:
@@ -56,6 +60,50 @@ class Applier:
     tables: dict[tuple[str, str], SourceTable]
     selection: Callable[[], set[tuple[str, str]] | None] = lambda: None
     failed: dict[tuple[str, str], Exception] = field(default_factory=dict)
+    #: Rows that a column's type refuses, and lines that could not be decoded, go to the table of dead letters; else the
+    #: former fail their table's batch and the latter are logged.
+    dead_letters: bool = False
+
+    def letters(self) -> Table:
+        """kind (decode or refused), schema, table, position, line, columns (that refuse their text), content (what came)."""
+        return self.catalog.create(self.namespace, DEAD_LETTERS, LETTERS)
+
+    def _bury(self, rows: DataFrame, kind: str, mark: str, covered: Column) -> None:
+        """Appends letters that are not there yet and, in the same commit, up to where those of this kind are."""
+        table = self.letters()
+        name = f"{DEAD_MARK}.{kind}"
+        known = table.load()[1].properties.get(name)
+        new = rows if known is None else rows.where(covered > known)
+        if known is None or mark > known:
+            table.append(new.select(*LETTERS.names), None, self.source_id, "dead", {name: mark})
+
+    def _decode_errors(self, errors: DataFrame) -> None:
+        count, last = errors.agg(F.count("*"), F.max("line") if "line" in errors.columns else F.lit(None).cast("long")).first()
+        if not count:
+            return
+        if not self.dead_letters or last is None:
+            log.error("%d lines could not be decoded", count)
+            return
+        found = errors.select(F.lit("decode").alias("kind"), "schema", "table", "position", "line", F.lit(None).cast("string").alias("columns"), F.concat_ws(": ", F.col("after")["error"], F.col("after")["raw"]).alias("content"))
+        self._bury(found, "decode", f"{last:020d}", F.lpad(F.col("line").cast("string"), 20, "0"))
+
+    def _refused(self, new: DataFrame, table: Table, schema: str, name: str, top: str) -> DataFrame:
+        """Puts away the rows of a batch that a column refuses; the others."""
+        target = table.schema()
+        marked = changelog.checked(new, target)
+        found = marked.where(F.size("refused") > 0).select(
+            F.lit("refused").alias("kind"),
+            "schema",
+            "table",
+            "position",
+            (F.col("line") if "line" in new.columns else F.lit(None)).cast("long").alias("line"),
+            F.array_join("refused", ",").alias("columns"),
+            F.to_json(changelog.image()).alias("content"),
+            lsn.sort_key(F.col("commit_position")).alias("at"),
+        )
+        if not found.isEmpty():
+            self._bury(found, f"refused.{schema}.{name}", top, F.col("at"))
+        return marked.where(F.size("refused") == 0).drop("refused")
 
     @property
     def namespace(self) -> str:
@@ -71,13 +119,16 @@ class Applier:
         """Commits a batch of whole transactions; returns the checkpoints of the tables that grew.
 
         Tables are committed one by one; if one fails the others go on, and the batch is to be
-        delivered again, which the tables that have it will skip.
+        delivered again, which the tables that have it will skip. Dead letters are committed before the rows beside
+        them, with a mark of their own, so that they too are there once, however often a batch is delivered.
         """
         self.failed = {}
         chosen = self.selection()
-        events = batch.where("op <> 'progress'").persist()
+        whole = batch.where("op <> 'progress'").persist()
+        events = whole.where("op <> 'error'")
         landed: dict[tuple[str, str], str] = {}
         try:
+            self._decode_errors(whole.where("op = 'error'"))
             for schema, name in sorted((r.schema, r.table) for r in events.select("schema", "table").distinct().collect()):
                 if chosen is not None and (schema, name) not in chosen:
                     continue
@@ -88,6 +139,8 @@ class Applier:
                     top = new.agg(F.max(lsn.sort_key(F.col("commit_position")))).first()[0]
                     if top is None:
                         continue
+                    if self.dead_letters:
+                        new = self._refused(new, table, schema, name, top)
                     rows = changelog.rows(new.orderBy(lsn.sort_key(F.col("commit_position")), *([F.col("line")] if "line" in new.columns else [lsn.sort_key(F.col("position"))])), self.source_id, table.schema(state))
                     mark = lsn.show(int(top, 16))
                     table.append(rows, mark, self.source_id)
@@ -96,7 +149,7 @@ class Applier:
                     log.exception("batch of %s.%s", schema, name)
                     self.failed[schema, name] = error
         finally:
-            events.unpersist()
+            whole.unpersist()
         return landed
 
     def foreach_batch(self, batch: DataFrame, number: int) -> None:
