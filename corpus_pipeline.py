@@ -4,7 +4,7 @@ Each stage takes what the one before kept and returns the columns of ``documents
 the places of the documents in batches.
 
 Defined cases: a null text has no words, so the quality rules reject it; a stage that gets one keeps it as
-it is. Documents are told apart by doc_id and text: rows that share only the doc_id are documents of their
+it is; line dedup drops it, as it drops what is left without a word. Documents are told apart by doc_id and text: rows that share only the doc_id are documents of their
 own, of rows that share both the join keeps one. Null doc_ids come first. Further columns, of any name and
 type, are carried along. An empty table gives empty stages.
 """
@@ -28,8 +28,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that another has in the same or a similar form first."""
-    return _counted(lines.dedup(docs).drop("n_removed_lines"))
+    """Documents without the lines that another has in the same or a similar form first; those left without a word go."""
+    return _counted(lines.dedup(docs).drop("n_removed_lines")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
