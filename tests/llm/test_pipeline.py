@@ -28,7 +28,8 @@ def test_stages_against_brute_force(spark):
 
     lined = {r.doc_id: r for r in lines.collect()}
     want = {k: t for k, _, t in line_brute([(k, r.text) for k, r in ruled.items()])}
-    assert set(lined) == set(ruled) and sum(lined[k].text == want[k] for k in want) >= 0.98 * len(want)
+    assert {k for k in want if want[k].split()} <= set(lined) <= set(ruled) and all(r.text.split() for r in lined.values())
+    assert sum(lined[k].text == want[k] for k in lined) >= 0.98 * len(lined) and len(lined) < len(ruled)
 
     grouped = {r.doc_id: r for r in groups.collect()}
     assert set(grouped) == {c for _, _, c in set_brute([(k, r.text) for k, r in lined.items()])}
@@ -41,7 +42,7 @@ def test_stages_against_brute_force(spark):
             assert grouped[k].text[a:b] not in r.text
 
     rows = packed.collect()
-    assert sorted(r.doc_id for r in rows) == sorted(masked)
+    assert sorted(r.doc_id for r in rows) == sorted(masked) and min(r.n_tokens for r in rows) > 0
     assert all(r.n_tokens == len(masked[r.doc_id].text.encode().split()) <= r.bucket_len for r in rows)
     used = {}
     for r in rows:
@@ -60,6 +61,8 @@ def test_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0, name
         if name == "n-gram Jaccard join":
             assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in out.collect()) == [(0, ""), (1, "other"), (1, "word0"), (3, "")]
+        elif name == "line dedup":  # null and empty texts have no word; the only line of 2 is similar to one of 1
+            assert sorted((r.doc_id, r.text[:5]) for r in out.collect()) == [(1, "other"), (1, "word0"), (1, "word0")], name
         else:
             assert out.count() == len(rows), name
 
