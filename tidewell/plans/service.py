@@ -98,11 +98,17 @@ class QueryService:
         """The query as a DataFrame of a session of its own, which sees the tables in scope as they are now."""
         allowed, own = set(namespaces), scoped(self.spark)
         views: dict[tuple[str, str], str] = {}
+        named: set[str] | None = None
 
         def view_of(parts: tuple[str, ...]) -> str | None:
-            # a name of one part is a WITH clause's, and only where it cannot reach the shared catalog instead
-            if len(parts) == 1 and parts[0].lower() in gate.named_in_with(own, sql) and not own.catalog.tableExists(f"`{parts[0].replace('`', '``')}`"):
-                return None
+            nonlocal named
+            if len(parts) == 1:
+                if named is None:
+                    named = gate.named_in_with(own, sql)
+                    for name in named:
+                        _hide(own, name)
+                if parts[0].lower() in named:
+                    return None
             if len(parts) != 3 or parts[0] != CATALOG or parts[1] not in allowed:
                 raise ExecutionError(f"table not found: {'.'.join(parts)}")
             where = parts[1], parts[2]
@@ -161,6 +167,12 @@ class QueryService:
         return to_json(page(current_rows(own.table("page"), keys), offset, limit))
 
 
+def _hide(own: SparkSession, name: str) -> None:
+    """Where a WITH clause's name does not reach, it is a view that fails, never a table of the shared catalog."""
+    missing = F.raise_error(F.lit(f"table not found: {name}"))
+    own.range(1).where(missing.cast("string").isNull()).toDF(f"_{uuid.uuid4().hex}").createOrReplaceTempView(quoted(name))
+
+
 def _register(own: SparkSession, df: DataFrame, name: str) -> None:
     """A view of the same files in another session: a schema and paths are all that it takes."""
     files = df.inputFiles()
