@@ -34,10 +34,24 @@ def test_odd_rows(spark):
     rows = [(0, one), (20, one), (40, [0.0] * 5), (60, None), (80, [1.0, None, 1.0, 1.0, 1.0]), (100, [float("nan")] * 5), (None, one), (3, one), (2, one), (2, one), (7, [1.0])]
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<float>, rank int")
     got = sorted(tuple(r) for r in nearest.search(df, F.col("id") % 20 == 0, k=3).collect())
-    assert got == [(0, 1, 2, 6.25), (0, 2, 3, 6.25), (0, 3, 20, 6.25), (20, 1, 0, 6.25), (20, 2, 2, 6.25), (20, 3, 3, 6.25)]
+    assert got == [(0, 1, 2, 6.25), (0, 2, 2, 6.25), (0, 3, 3, 6.25), (20, 1, 0, 6.25), (20, 2, 2, 6.25), (20, 3, 2, 6.25)]
     assert nearest.search(df.limit(0), F.col("id") % 20 == 0).collect() == []
 
 
+def test_repeated_ids_are_all_candidates(spark):
+    rng = np.random.default_rng(3)
+    ids = [int(i) for i in rng.integers(0, 60, 300)] + [40] * 150  # one id with a third of all rows
+    x = np.round(rng.normal(size=(450, 8)), 2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "`vec.id` long, `the ``v` array<double>")
+    got = sorted(tuple(r) for r in nearest.search(df, F.col("id") % 20 == 0, k=5, key="vec.id", vector="the `v", probes=4096).collect())
+    want = []
+    for n, q in enumerate(ids):
+        if q % 20 == 0:
+            best = sorted((-float((x[m] * x[n]).sum()), ids[m]) for m in range(len(ids)) if m != n)[:5]
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
 def test_hot_vector_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(nearest, "BLOCK", 50)
     monkeypatch.setattr(nearest, "QUERIES", 3)

@@ -10,8 +10,10 @@ Lists and the queries that visit them meet in blocks of bounded size, so a list
 all vectors is many tasks. Broadcast: the centroids and codebooks, bounded by LISTS and CODES.
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold null or
-non-finite components take no part, nor do rows with a null id. Of rows with one id the smallest
-vector (component by component) counts. Only the named columns are read.
+non-finite components take no part, nor do rows with a null id. Rows that repeat an id are each a
+candidate, and each a query where their id is asked: a query leaves out its own row, not its own id.
+Rows are told apart by a number that they get when the vectors are written. An empty table has no
+result. Only the named columns are read; their names may hold any character.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewell.functions.naming import quoted
 from tidewell.llm.workspace import Workspace
 
 SAMPLE = 20_000
@@ -146,13 +149,13 @@ def blocks_of(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _vectors(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
     """(id, raw) of the rows that take part, raw as doubles; and their dimension."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
+    rows = df.select(F.col(quoted(key)).cast("long").alias("id"), F.col(quoted(vector)).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").take(1)
     if not lengths:
         return df.sparkSession.createDataFrame([], "id long, raw binary"), 0
     dim = lengths[0].n
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where((F.size("v") == dim) & ~odd & F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v"))
+    rows = rows.where((F.size("v") == dim) & ~odd & F.exists("v", lambda x: x != 0))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,12 +177,12 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec
     """
     spark, ws = df.sparkSession, Workspace(df.sparkSession, "nearest")
     rows, dim = _vectors(df, key, vector)
-    rows = ws.put(rows, "vectors")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect() if dim else []
+    rows = ws.put(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    sample = rows.orderBy(F.xxhash64("id", "raw"), "id", "raw").limit(SAMPLE).collect() if dim else []
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], schema)
-    vectors = _matrix([bytes(r.raw) for r in sorted(sample)], dim)
+    vectors = _matrix([bytes(r.raw) for r in sorted(sample, key=lambda r: (r.id, bytes(r.raw)))], dim)
     quantiser = fit(vectors, rows.count())
     shared = spark.sparkContext.broadcast(quantiser)
     visited = probes or calibrate(vectors, quantiser, k)
@@ -188,9 +191,9 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec
         for b in batches:
             if b.num_rows:
                 place, codes = shared.value.encode(_matrix(b.column(1).to_pylist(), dim))
-                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1)], ["list", "id", "code", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1), b.column(2)], ["list", "id", "code", "raw", "row"])
 
-    index = ws.put(rows.mapInArrow(assign, "list bigint, id bigint, code binary, raw binary"), "index")
+    index = ws.put(rows.mapInArrow(assign, "list bigint, id bigint, code binary, raw binary, row bigint"), "index")
     held = np.zeros(len(quantiser.centroids), np.int64)
     for r in index.groupBy("list").count().collect():  # a row for each list
         held[r["list"]] = r["count"]
@@ -215,33 +218,33 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec
                 block += list(mine)
                 lists += list(mine.values())
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), b.column(0).take(take), b.column(1).take(take), pa.array(lists, pa.list_(pa.int64()))], ["block", "query_id", "query", "lists"])
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), b.column(0).take(take), b.column(2).take(take), b.column(1).take(take), pa.array(lists, pa.list_(pa.int64()))], ["block", "query_id", "query_row", "query", "lists"])
 
-    visits = ws.put(rows.where(queries).mapInArrow(visit, "block bigint, query_id bigint, query binary, lists array<bigint>"), "visits")
+    visits = ws.put(rows.where(queries).mapInArrow(visit, "block bigint, query_id bigint, query_row bigint, query binary, lists array<bigint>"), "visits")
     sets = {r["block"]: -(-r["count"] // QUERIES) for r in visits.groupBy("block").count().collect()}  # a row for each block
     table = spark.createDataFrame([(n, int(first[n]), int(parts[n])) for n in range(len(held))], "list long, first long, parts int")
     turns = F.broadcast(spark.createDataFrame(list(sets.items()) or [(0, 1)], "block long, sets int"))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = index.join(F.broadcast(table), "list").withColumn("block", F.col("first") + part("id", "parts"))
-    left = left.join(turns, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("sets") - 1)).alias("set"), "list", "id", "code", "raw")
-    right = visits.join(turns, "block").select("block", part("query_id", "sets").alias("set"), "query_id", "query", "lists")
+    left = index.join(F.broadcast(table), "list").withColumn("block", F.col("first") + part("row", "parts"))
+    left = left.join(turns, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("sets") - 1)).alias("set"), "list", "id", "row", "code", "raw")
+    right = visits.join(turns, "block").select("block", part("query_row", "sets").alias("set"), "query_id", "query_row", "query", "lists")
 
     def meet(vectors: pa.Table, asking: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if vectors.num_rows and asking.num_rows:
-            ids = vectors.column("id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, raw = ids[order], _matrix(vectors.column("raw").to_pylist(), dim)[order]
+            ids, rows = vectors.column("id").to_numpy(), vectors.column("row").to_numpy()
+            order = np.lexsort((rows, ids))
+            ids, rows, raw = ids[order], rows[order], _matrix(vectors.column("raw").to_pylist(), dim)[order]
             codes = np.frombuffer(b"".join(vectors.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             lists, place = np.unique(vectors.column("list").to_numpy()[order], return_inverse=True)
-            q, own = _matrix(asking.column("query").to_pylist(), dim), asking.column("query_id").to_numpy()
+            q, own, asked = _matrix(asking.column("query").to_pylist(), dim), asking.column("query_row").to_numpy(), asking.column("query_id").to_numpy()
             open_ = np.stack([np.isin(lists, x) for x in asking.column("lists").to_pylist()])
             few = min(RERANK * k, len(ids))
             for at in range(0, len(q), 64):
                 one, mine = q[at : at + 64], own[at : at + 64]
                 tables = shared.value.tables(one)
-                approx = sum(tables[:, m, codes[:, m]] for m in range(codes.shape[1]))
-                approx[~open_[at : at + 64][:, place] | (ids[None, :] == mine[:, None])] = -np.inf
+                approx = (one @ shared.value.centroids[lists].T)[:, place] + sum(tables[:, m, codes[:, m]] for m in range(codes.shape[1]))
+                approx[~open_[at : at + 64][:, place] | (rows[None, :] == mine[:, None])] = -np.inf
                 # the best by distance tables; of equals those of the smallest ids
                 least = -np.partition(-approx, few - 1, axis=1)[:, few - 1 : few]
                 above, equal = approx > least, approx == least
@@ -253,12 +256,13 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec
                 scores = np.take_along_axis(exact, best, 1)
                 real = scores > -np.inf
                 out[0].append(np.repeat(mine, real.sum(1)))
-                out[1].append(ids[np.take_along_axis(near, best, 1)[real]])
-                out[2].append(scores[real])
-        kinds = [pa.int64(), pa.int64(), pa.float64()]
-        return pa.Table.from_arrays([pa.array(np.concatenate(o), t) for o, t in zip(out, kinds, strict=True)], ["query_id", "vec_id", "score"])
+                out[1].append(np.repeat(asked[at : at + 64], real.sum(1)))
+                out[2].append(ids[np.take_along_axis(near, best, 1)[real]])
+                out[3].append(scores[real])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+        return pa.Table.from_arrays([pa.array(np.concatenate(o), t) for o, t in zip(out, kinds, strict=True)], ["query_row", "query_id", "vec_id", "score"])
 
     keys = ["block", "set"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_row bigint, query_id bigint, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
