@@ -559,3 +559,56 @@ def _(spark, sf_dir):
         applier.apply(batch)
     landed = applier.table("public", "orders").scan().agg(F.lit("landed").alias("kind"), F.lit("").alias("position"), F.count("*").cast("string").alias("columns"))
     return applier.letters().scan().select("kind", "position", "columns").unionByName(landed)
+
+
+# backfills: in key ranges side by side, with the stream's commits between
+
+_CUSTOMERS = [("id", "bigint"), ("name", "text"), ("total", "double precision")]
+
+
+def _customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("total"))
+
+
+@register("backfill_beside_stream", """SELECT id, name, total FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC) AS r FROM (
+SELECT c_custkey AS id, c_name AS name, c_acctbal AS total, 'read' AS op, 0 AS p FROM customer UNION ALL
+SELECT o_custkey, o_orderpriority, o_totalprice, CASE o_orderstatus WHEN 'F' THEN 'delete' ELSE 'update' END, o_orderkey + 1 FROM orders)) WHERE r = 1 AND op <> 'delete'""")
+def _(spark, sf_dir):
+    from tidewell.streaming import backfill
+    from tidewell.streaming.apply import Applier, SourceTable
+
+    o, rows = read(spark, sf_dir, "orders"), _customer_rows(spark, sf_dir)
+    image = F.create_map(F.lit("id"), F.col("o_custkey").cast("string"), F.lit("name"), F.col("o_orderpriority"), F.lit("total"), F.col("o_totalprice").cast("string"))
+    gone, at = F.col("o_orderstatus") == "F", lsn.from_number(F.col("o_orderkey") + 1)
+    last = o.agg(F.max("o_orderkey")).first()[0] or 0
+    slices = F.least(F.expr(f"o_orderkey * 4 div {last + 1}"), F.lit(3))
+    events = o.select(F.lit("public").alias("schema"), F.lit("customer").alias("table"), F.when(gone, "delete").otherwise("update").alias("op"), F.when(gone, image).alias("before"), F.when(~gone, image).alias("after"), at.alias("position"), at.alias("commit_position"), F.lit(0).cast("long").alias("commit_timestamp_us"), slices.alias("slice"))
+    source = "00000000-0000-0000-0000-000000000002"
+    applier = Applier(Catalog(spark, folder(spark, "backfill")), source, {("public", "customer"): SourceTable(_CUSTOMERS, ["id"])})
+    table, waiting = applier.table("public", "customer"), [0, 1, 2, 3]
+
+    def deliver() -> bool:
+        """A slice of the stream before each wave of ranges."""
+        if waiting:
+            applier.foreach_batch(events.where(F.col("slice") == waiting.pop(0)).drop("slice"), 0)
+        return False
+
+    backfill.fill(table, source, rows, ["id"], -(-rows.count() // 8) or 1, at_once=2, stop=deliver)
+    while waiting:
+        deliver()
+    return current_rows(table.scan(), ["id"], ordered=False)
+
+
+@register("backfill_ranges", "SELECT count(*) AS n, true AS even, true AS apart FROM lineitem")
+def _(spark, sf_dir):
+    from tidewell.streaming import backfill
+
+    rows, keys = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_linenumber"]
+    schema = changelog.schema([("l_orderkey", "bigint"), ("l_linenumber", "integer"), ("l_quantity", "double precision")])
+    table = Catalog(spark, folder(spark, "backfill")).create("ns", "public__lineitem", schema, keys)
+    backfill.fill(table, "s", rows, keys, -(-rows.count() // 16) or 1)
+    own = F.struct(*keys)
+    files = table.scan().groupBy(F.col("_metadata.file_path")).agg(F.count("*").alias("rows"), F.min(own).alias("low"), F.max(own).alias("high"))
+    before = F.lag("high").over(Window.orderBy("low"))  # a row for each of sixteen ranges
+    met = files.withColumn("apart", F.coalesce(F.col("low") > before, F.lit(True)))
+    return met.agg(F.sum("rows").alias("n"), (F.max("rows") <= 2 * F.avg("rows")).alias("even"), F.every("apart").alias("apart"))
