@@ -18,6 +18,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
+from tidewell.functions import sqlnames
+
 #: Nodes of the parser that make up queries.
 ALLOWED = frozenset(
     """Project Filter Aggregate Sort GlobalLimit LocalLimit LimitAll Offset Distinct Deduplicate Union Intersect Except Join LateralJoin
@@ -26,6 +28,8 @@ ALLOWED = frozenset(
     UnresolvedHaving Expand Sample Range LocalRelation UnresolvedHint CTERelationRef CTERelationDef WithCTE View Tail
     RepartitionByExpression Repartition RebalancePartitions UnresolvedOrdinal UnresolvedTableAliases""".split()
 )
+#: Table functions: Spark's, and those that the session gets by the names of other dialects.
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split()) | set(sqlnames.TABLES)
 #: Functions that run code of the caller's choice or read what is not in the tables.
 REFUSED = frozenset("java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length read_files".split())
 
@@ -112,7 +116,12 @@ def _expressions(plan) -> list:
 
 def relations(spark: SparkSession, sql: str) -> list[tuple[tuple[str, ...], int, int]]:
     """(name parts, first character, last character) of every table named; Refused if it is no query."""
-    found = set()
+    return names(spark, sql)[0]
+
+
+def names(spark: SparkSession, sql: str) -> tuple[list[tuple[tuple[str, ...], int, int]], list[tuple[str, int, int]]]:
+    """What a query names: tables as relations() has them, and functions as (name, number of arguments, first character)."""
+    found, calls = set(), set()
     for p in _plans(parse(spark, sql)):
         name = p.getClass().getSimpleName()
         if name not in ALLOWED:
@@ -123,17 +132,19 @@ def relations(spark: SparkSession, sql: str) -> list[tuple[tuple[str, ...], int,
             found.add((parts, origin.startIndex().get(), origin.stopIndex().get()))
         if name == "UnresolvedTableValuedFunction":
             parts = [x.lower() for x in _seq(p.name())]
-            if parts[-1] not in ("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"):
+            if parts[-1] not in TABLE_FUNCTIONS:
                 raise Refused(f"no such table function: {parts[-1]}")
+            calls.add((parts[-1], 0, -1))  # made in the session, never renamed
         for e in _expressions(p):
             kind = e.getClass().getSimpleName()
             if kind == "UnresolvedFunction":
                 parts = [x.lower() for x in _seq(e.nameParts())]
                 if parts[-1] in REFUSED or len(parts) > 1:
                     raise Refused(f"not allowed: {'.'.join(parts)}")
+                calls.add((parts[-1], e.arguments().length(), e.origin().startIndex().get()))
             if "Identifier" in kind and "Expression" in kind and kind.startswith("ExpressionWith"):
                 raise Refused("IDENTIFIER() is not allowed")
-    return sorted(found, key=lambda x: x[1])
+    return sorted(found, key=lambda x: x[1]), sorted(calls)
 
 
 def named_in_with(spark: SparkSession, sql: str) -> set[str]:
@@ -146,16 +157,29 @@ def named_in_with(spark: SparkSession, sql: str) -> set[str]:
 
 
 def rewrite(spark: SparkSession, sql: str, view_of: Callable[[tuple[str, ...]], str | None]) -> str:
-    """The query with tables' names replaced by view_of(parts); None leaves a name as it is."""
-    out = sql
+    """The query with tables' names replaced by view_of(parts); None leaves a name as it is.
+
+    Functions of other dialects get Spark's names, or are made in the session.
+    """
+    tables, calls = names(spark, sql)
+    edits: list[tuple[int, int, str]] = []
     last = len(sql)
-    for parts, first, stop in reversed(relations(spark, sql)):
+    for parts, first, stop in reversed(tables):
         view = view_of(parts)
         if view is None or stop >= last:
             continue
         text = sql[first : stop + 1]
         named = re.match(r"""(?:[^\s"`(),;]+|"(?:[^"]|"")*"|`(?:[^`]|``)*`)+""", text)
-        end = first + (named.end() if named else len(text))
-        out = out[:first] + view + out[end:]
+        edits.append((first, first + (named.end() if named else len(text)), view))
         last = first
+    wanted = set()
+    for name, arguments, first in calls:
+        other = sqlnames.renamed(name, arguments)
+        if other and first >= 0 and sql[first : first + len(name)].lower() == name:
+            edits.append((first, first + len(name), other))
+        wanted.add(other or name)
+    sqlnames.define(spark, wanted)
+    out = sql
+    for first, end, text in sorted(edits, reverse=True):
+        out = out[:first] + text + out[end:]
     return out

@@ -612,3 +612,47 @@ def _(spark, sf_dir):
     before = F.lag("high").over(Window.orderBy("low"))  # a row for each of sixteen ranges
     met = files.withColumn("apart", F.coalesce(F.col("low") > before, F.lit(True)))
     return met.agg(F.sum("rows").alias("n"), (F.max("rows") <= 2 * F.avg("rows")).alias("even"), F.every("apart").alias("apart"))
+
+
+# free SQL as its users send it, through the gate, over tables of the lake
+
+
+def _served(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A statement through the query service; lake.ns.public__X are the given tables it names."""
+    from tidewell.plans.service import QueryService
+
+    catalog = Catalog(spark, folder(spark, "served"))
+    for t in TABLES:
+        if f"public__{t}" in text:
+            rows = read(spark, sf_dir, t)
+            catalog.create("ns", f"public__{t}", rows.schema).append(rows, None, "s")
+    return QueryService(spark, catalog).frame(text, ["ns"])
+
+
+def free(name: str, text: str, other: str) -> None:
+    queries[name] = lambda spark, sf_dir: _served(spark, sf_dir, text)
+    oracle_sql[name] = other
+
+
+free(
+    "free_sql_strings",
+    """SELECT p_partkey, strpos(p_name, 'e') AS place, to_hex(p_partkey * 31) AS hexed, string_to_array(p_name, ' ')[0] AS word, array_to_string(make_array(p_brand, p_type), '|') AS both,
+    regexp_match(p_brand, '([A-Za-z]+)#?([0-9])')[1] AS digit, starts_with(p_name, 'a') AS a FROM lake.ns.public__part""",
+    """SELECT p_partkey, CAST(strpos(p_name, 'e') AS INTEGER) AS place, printf('%x', p_partkey * 31) AS hexed, string_split(p_name, ' ')[1] AS word, p_brand || '|' || p_type AS both,
+    CASE WHEN regexp_matches(p_brand, '([A-Za-z]+)#?([0-9])') THEN regexp_extract(p_brand, '([A-Za-z]+)#?([0-9])', 2) END AS digit, starts_with(p_name, 'a') AS a FROM part""",
+)
+free(
+    "free_sql_numbers",
+    "SELECT p_partkey, gcd(p_partkey, p_size) AS g, lcm(p_partkey, p_size) AS l, trunc(0 - p_retailprice) AS whole, lower(hex(digest(p_name, 'sha256'))) AS d, lower(hex(digest(p_name, 'md5'))) AS m FROM lake.ns.public__part WHERE gcd(p_partkey, 6) > 1",
+    "SELECT p_partkey, CAST(gcd(p_partkey, p_size) AS BIGINT) AS g, CAST(lcm(p_partkey, p_size) AS BIGINT) AS l, CAST(trunc(-p_retailprice) AS DOUBLE) AS whole, sha256(p_name) AS d, md5(p_name) AS m FROM part WHERE gcd(p_partkey, 6) > 1",
+)
+free(
+    "free_sql_date_bin",
+    "SELECT date_bin(INTERVAL '7' HOUR, ts, TIMESTAMP_NTZ'2001-02-03 04:05:06') AS bin, event_type, count(*) AS n FROM lake.ns.public__events GROUP BY date_bin(INTERVAL '7' HOUR, ts, TIMESTAMP_NTZ'2001-02-03 04:05:06'), event_type",
+    "SELECT time_bucket(INTERVAL '7 hours', CAST(ts AS TIMESTAMP), TIMESTAMP '2001-02-03 04:05:06') AS bin, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+)
+free(
+    "free_sql_series",
+    "SELECT n_nationkey, value FROM lake.ns.public__nation, LATERAL generate_series(n_nationkey, n_nationkey * 300, 7) UNION ALL SELECT n_nationkey, s.value FROM generate_series(24, 0, -1) AS s JOIN lake.ns.public__nation ON n_nationkey = s.value",
+    "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, unnest(generate_series(n_nationkey, n_nationkey * 300, 7)) AS value FROM nation UNION ALL SELECT n_nationkey, n_nationkey FROM nation WHERE n_nationkey BETWEEN 0 AND 24",
+)
