@@ -11,11 +11,14 @@ from dataclasses import dataclass, replace
 from itertools import accumulate, groupby, takewhile
 from operator import itemgetter
 
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.sources.tablelog import CHECKPOINT, MAINTENANCE, SOURCE, Catalog, File, State, Table, checkpoint_of, counters, snapshot
 
 log = logging.getLogger(__name__)
+SWEPT = "cdc.swept-at-ms"
 MIB = 1 << 20
 
 
@@ -31,6 +34,9 @@ class Policy:
     snapshots_kept: int = 10
     orphan_age: float | None = 3 * 24 * 3600
     every: float = 300
+    #: A table is swept once in so many seconds; so many entries of its log stay, whatever their age.
+    sweep_every: float = 3600
+    entries_kept: int = 100
 
 
 def plan(files: list[File], policy: Policy) -> list[list[File]]:
@@ -79,6 +85,20 @@ def rewrite(table: Table, bins: list[list[File]]) -> list[tuple[File, ...]]:
     return [tuple(f for f in made if of(f) == n) for n in range(len(bins))]
 
 
+def supported(table: Table, state: State, bins: list[list[File]]) -> bool:
+    """Whether a rewrite keeps all that the files hold: they lie where this library writes them, in no partition folders, and
+    have no column, and no type of one, that the table's schema does not have. The footers are read in one job."""
+    paths = [f.path for b in bins for f in b]
+    if not all(re.search(rf"{re.escape(table.name)}/data/[^/=]+/[^/]+$", p) for p in paths):
+        return False
+    try:
+        stored = table.spark.read.option("mergeSchema", "true").parquet(*paths).schema if paths else []
+    except (AnalysisException, PySparkException):
+        return False
+    known = {f.name: f.dataType for f in table.schema(state).fields}
+    return all(known.get(f.name) == f.dataType for f in stored)
+
+
 def compact(table: Table, policy: Policy, before_commit: Callable[[], None] | None = None) -> dict[str, int]:
     """Rewrites the planned bins in one job; each is then replaced in a commit of its own, or not at all."""
     report = Counter(bins=0, files_in=0, files_out=0, bytes_in=0)
@@ -86,6 +106,9 @@ def compact(table: Table, policy: Policy, before_commit: Callable[[], None] | No
     if state.current is None:
         return dict(report)
     bins = plan(list(state.current.files), policy)
+    if not supported(table, state, bins):
+        log.warning("%s.%s: not compacted, its files are not of the table's layout", table.namespace, table.name)
+        return dict(report)
     made = rewrite(table, bins)
     if [sum(f.rows for f in b) for b in made] != [sum(f.rows for f in b) for b in bins]:
         for f in (f for b in made for f in b):
@@ -150,19 +173,70 @@ def expire(table: Table, policy: Policy, now: float | None = None) -> dict[str,
     return {"snapshots": count, "files": len(gone)}
 
 
+def _plain(path: Column) -> Column:
+    """A path without its scheme, however many slashes follow that."""
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+
+
+def orphans(listed: DataFrame, named: DataFrame, before_ms: int) -> DataFrame:
+    """(path) of the data files in a listing (path, modified_ms) that are older than a time and that nothing names.
+
+    An anti join. A file whose age is not known stays; a null path is no file.
+    """
+    old = listed.where(F.col("path").endswith(".parquet") & (F.col("modified_ms") < before_ms)).withColumn("__plain", _plain(F.col("path")))
+    kept = named.where("path is not null").select(_plain(F.col("path")).alias("__plain"))
+    return old.join(kept, "__plain", "left_anti").select("path")
+
+
+def listing(table: Table) -> DataFrame:
+    """(path, modified_ms) of the data files, listed by Spark: folders are listed in tasks where there are many, and no
+    content is read. What is there when this is called is in it."""
+    found = table.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{table.root}/data")
+    return found.select("path", F.unix_millis("modificationTime").alias("modified_ms"))
+
+
 def sweep(table: Table, policy: Policy, now: float | None = None) -> dict[str, int]:
-    """Deletes old data files that no snapshot names: what failed writers left."""
-    if policy.orphan_age is None:
-        return {"orphans": 0}
-    limit = ((now or time.time()) - policy.orphan_age) * 1000
-    listed = [(p, at) for p, _, at in table.store.list(f"{table.root}/data") if p.endswith(".parquet")]
-    _, state = table.load()  # after the listing: a file committed meanwhile is named
-    plain = lambda p: p.split(":", 1)[-1].replace("///", "/").replace("//", "/")
-    named = {plain(f.path) for s in state.snapshots for f in s.files}
-    lost = [p for p, at in listed if plain(p) not in named and at < limit]
-    for p in lost:
-        table.store.delete(p)
-    return {"orphans": len(lost)}
+    """Deletes what failed writers left and what is old and of no use: data files that no snapshot names, folders of
+    writers that never came to a commit, entries of the log far behind the newest. Once in ``sweep_every`` seconds.
+
+    Files are listed before the log is read, so one that is committed meanwhile is named. Nothing younger than
+    ``orphan_age`` goes; a folder goes only where all it holds is older. Files without a byte, which Spark does not list, go
+    with their folder only.
+    """
+    report = {"orphans": 0, "folders": 0, "entries": 0}
+    now = now or time.time()
+    swept = table.load()[1].properties.get(SWEPT)
+    if policy.orphan_age is None or (swept is not None and now * 1000 < int(swept) + policy.sweep_every * 1000):
+        return report
+    limit, store, data = int((now - policy.orphan_age) * 1000), table.store, f"{table.root}/data"
+    if store.exists(data):
+        listed, folders = listing(table), store.folders(data)
+        version, state = table.load()
+        names = {f.path for s in state.snapshots for f in s.files}
+        named = table.spark.createDataFrame([(p,) for p in names], "path string")
+        for row in orphans(listed, named, limit).toLocalIterator():
+            store.delete(row.path)
+            report["orphans"] += 1
+        used = {p.rsplit("/", 2)[1] for p in names}
+        for folder in folders:
+            if folder not in used:
+                left = store.list(f"{data}/{folder}")
+                if all(at < limit for _, _, at in left):
+                    report["orphans"] += sum(p.endswith(".parquet") for p, _, _ in left)
+                    report["folders"] += 1
+                    store.delete(f"{data}/{folder}")
+    else:
+        version = table.version()
+    for path, _, at in store.list(f"{table.root}/metadata"):
+        number = re.search(r"/v(\d+)\.json$", path)
+        if number and int(number[1]) <= version - policy.entries_kept and at < limit:
+            store.delete(path)
+            report["entries"] += 1
+    for path, _, at in store.list(f"{store.root}/_new"):
+        if at < limit:
+            store.delete(path)
+    table.set_property(SWEPT, str(int(now * 1000)))
+    return report
 
 
 def maintain(catalog: Catalog, policy: Policy | None = None, namespaces: set[str] | None = None, now: float | None = None) -> dict[str, int]:

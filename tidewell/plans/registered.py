@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import coercion, dialect, lsn, naming, sketches
 from tidewell.operators import changelog, joins
 from tidewell.operators.current import current_rows, latest, page
-from tidewell.operators.maintenance import Policy, compact, plan
+from tidewell.operators.maintenance import Policy, compact, orphans, plan
 from tidewell.sources import catalogs
 from tidewell.sources.scratch import folder, stored
 from tidewell.sources.tablelog import Catalog, File, Table
@@ -656,3 +656,59 @@ free(
     "SELECT n_nationkey, value FROM lake.ns.public__nation, LATERAL generate_series(n_nationkey, n_nationkey * 300, 7) UNION ALL SELECT n_nationkey, s.value FROM generate_series(24, 0, -1) AS s JOIN lake.ns.public__nation ON n_nationkey = s.value",
     "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, unnest(generate_series(n_nationkey, n_nationkey * 300, 7)) AS value FROM nation UNION ALL SELECT n_nationkey, n_nationkey FROM nation WHERE n_nationkey BETWEEN 0 AND 24",
 )
+
+
+@register("orphan_files", """SELECT 'file:///lake/data/c' || o_orderkey % 100 || '/' || o_orderkey || '.parquet' AS path FROM orders
+WHERE o_orderkey % 5 <> 0 AND o_custkey < 1000 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 25)""")
+def _(spark, sf_dir):
+    o, items = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem").where("l_quantity > 25")
+    at = lambda root, key, end: F.concat(F.lit(root), F.col(key) % 100, F.lit("/"), F.col(key), end)
+    listed = o.select(at("file:///lake/data/c", "o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, ".crc").otherwise(".parquet")).alias("path"), F.col("o_custkey").alias("modified_ms"))
+    return orphans(listed, items.select(at("file:/lake/data/c", "l_orderkey", F.lit(".parquet")).alias("path")), 1000)
+
+
+# more of the scalar and aggregate families
+
+sql(
+    "more_dates",
+    "SELECT o_orderkey, date_format(o_orderdate, 'yyyy-MM') AS month, make_date(year(o_orderdate), month(o_orderdate), 1) AS first_day, to_timestamp(date_format(o_orderdate, 'dd.MM.yyyy'), 'dd.MM.yyyy') AS parsed, from_unixtime(o_orderkey * 1000) AS clock, CAST(timestamp_millis(o_orderkey * 1001) AS TIMESTAMP_NTZ) AS millis FROM orders",
+    "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, make_date(year(o_orderdate), month(o_orderdate), 1) AS first_day, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS parsed, strftime(epoch_ms(o_orderkey * 1000000), '%Y-%m-%d %H:%M:%S') AS clock, epoch_ms(o_orderkey * 1001) AS millis FROM orders",
+)
+sql(
+    "array_building",
+    "SELECT p_partkey, array_append(array(p_size, 7), 3) AS appended, concat(array(p_size), array(1, 2)) AS joined, array_sort(array(p_size, 25, 3)) AS ordered, array_sort(array_union(array(p_size, 1), array(1, 2))) AS united, array_position(array(1, p_size), p_size) AS place FROM part",
+    "SELECT p_partkey, list_append([p_size, 7], 3) AS appended, list_concat([p_size], [1, 2]) AS joined, list_sort([p_size, 25, 3]) AS ordered, list_sort(list_distinct([p_size, 1, 2])) AS united, CAST(list_position([1, p_size], p_size) AS BIGINT) AS place FROM part",
+)
+sql(
+    "map_access",
+    "SELECT p_partkey, array_sort(map_values(m)) AS vals, array_sort(map_keys(m)) AS names, m['b'] AS b, m['z'] AS absent, map_contains_key(m, 'a') AS has FROM (SELECT p_partkey, map('a', p_size, 'b', p_size + 1) AS m FROM part) t",
+    "SELECT p_partkey, list_sort(map_values(m)) AS vals, list_sort(map_keys(m)) AS names, m['b'] AS b, m['z'] AS absent, map_contains(m, 'a') AS has FROM (SELECT p_partkey, MAP {'a': p_size, 'b': p_size + 1} AS m FROM part) t",
+)
+sql(
+    "byte_encodings",
+    "SELECT p_partkey, base64(CAST(p_name AS BINARY)) AS b64, lower(hex(p_name)) AS hexed, CAST(unbase64(base64(CAST(p_name AS BINARY))) AS STRING) AS back, CAST(unhex(hex(p_name)) AS STRING) AS again FROM part",
+    "SELECT p_partkey, to_base64(encode(p_name)) AS b64, lower(hex(encode(p_name))) AS hexed, decode(from_base64(to_base64(encode(p_name)))) AS back, decode(unhex(hex(encode(p_name)))) AS again FROM part",
+)
+
+
+@register("first_last_nth_aggregates", """SELECT l_orderkey, first(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS first_part, last(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS last_part, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey)[2] AS second_part FROM lineitem GROUP BY l_orderkey""")
+def _(spark, sf_dir):
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    least = F.min(order).getField("l_partkey").alias("first_part")
+    # the second by a running number, kept for two rows a key, not by a list of the whole group
+    ranked = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    nth = ranked.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(order))).where("n <= 2")
+    second = nth.groupBy("l_orderkey").agg(F.max(F.when(F.col("n") == 2, F.col("l_partkey"))).alias("second_part"))
+    ends = ranked.groupBy("l_orderkey").agg(least, F.max(order).getField("l_partkey").alias("last_part"))
+    return ends.join(second, "l_orderkey")
+
+
+@register("current_rows_keyless_ordered", "SELECT event_id, user_id, event_type, value FROM events WHERE event_type <> 'error' ORDER BY event_id LIMIT 60 OFFSET 40")
+def _(spark, sf_dir):
+    return page(current_rows(events_log(spark, sf_dir), []), 40, 60)
+
+
+@register("epoch_shift", "SELECT event_id, epoch_us(CAST(ts AS TIMESTAMP)) AS shifted FROM events")
+def _(spark, sf_dir):
+    since = F.unix_micros(F.col("ts").cast("timestamp")) - changelog.EPOCH_SHIFT  # the log's own clock
+    return read(spark, sf_dir, "events").select("event_id", changelog.unix_micros(since).alias("shifted"))
