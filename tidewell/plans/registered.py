@@ -712,3 +712,10 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     since = F.unix_micros(F.col("ts").cast("timestamp")) - changelog.EPOCH_SHIFT  # the log's own clock
     return read(spark, sf_dir, "events").select("event_id", changelog.unix_micros(since).alias("shifted"))
+
+
+@register("column_list", "SELECT n_name AS \"column\", 'k' || n_nationkey AS type FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' ORDER BY n_nationkey")
+def _(spark, sf_dir):
+    n, regions = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    columns = n.join(regions, n.n_regionkey == regions.r_regionkey).select(F.lit("s").alias("schema"), F.col("r_name").alias("table"), F.col("n_name").alias("column"), F.col("n_nationkey").alias("ordinal"), F.concat(F.lit("k"), "n_nationkey").alias("type"))
+    return catalogs.column_list(columns, "s", "ASIA")

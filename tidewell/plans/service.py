@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,17 @@ class EncodingError(QueryError):
     code = 500
 
 
+@contextmanager
+def _reading() -> Iterator[None]:
+    """What goes wrong while the catalog is read is the catalog's fault, not the query's."""
+    try:
+        yield
+    except (QueryError, NoSuchTable):
+        raise
+    except Exception as error:
+        raise CatalogError(f"the catalog cannot be read: {(str(error).strip() or type(error).__name__).splitlines()[0]}") from error
+
+
 def is_metadata(name: str) -> bool:
     """Whether a name ends, after its last dollar sign, as one of the metadata tables."""
     return "$" in name and name.rsplit("$", 1)[1] in METADATA
@@ -49,7 +61,11 @@ def to_json(df: DataFrame, most_rows: int | None = None) -> str:
     if not df.columns:
         return "[" + ",".join(["{}"] * rows.count()) + "]"
     whole = F.struct(*[F.col(quoted(c)) for c in df.columns])
-    texts = [r[0] for r in rows.select(F.to_json(whole, {"ignoreNullFields": "false"})).collect()]
+    try:
+        encoded = rows.select(F.to_json(whole, {"ignoreNullFields": "false"}))
+    except AnalysisException as error:  # the rows themselves are analysed already
+        raise EncodingError(f"the result has no form in JSON: {error}") from error
+    texts = [r[0] for r in encoded.collect()]
     if most_rows is not None and len(texts) > most_rows:
         raise ExecutionError(f"the result has more than {most_rows} rows")
     return "[" + ",".join(texts) + "]"
@@ -114,7 +130,8 @@ class QueryService:
             where = parts[1], parts[2]
             if where not in views:
                 try:
-                    df = self._frame(*where)
+                    with _reading():
+                        df = self._frame(*where)
                 except NoSuchTable:
                     raise ExecutionError(f"table not found: {'.'.join(parts)}") from None
                 views[where] = f"v_{uuid.uuid4().hex}"
@@ -147,7 +164,9 @@ class QueryService:
         allowed = set(namespaces)
 
         def compute() -> str:
-            found = [{"namespace": ns, "table": t} | ({"source": names[ns]} if names and ns in names else {}) for ns, t in self.catalog.tables(allowed) if not is_metadata(t)]
+            with _reading():
+                listed = self.catalog.tables(allowed)
+            found = [{"namespace": ns, "table": t} | ({"source": names[ns]} if names and ns in names else {}) for ns, t in listed if not is_metadata(t)]
             return json.dumps(found)
 
         return self.cache.through("tables", ",".join(sorted(allowed)), json.dumps(names, sort_keys=True), compute)
@@ -158,7 +177,8 @@ class QueryService:
             raise ExecutionError(f"{name} has no rows of its own")
         table = self.catalog.table(namespace, name)
         try:
-            keys, rows = table.keys(), table.scan()
+            with _reading():
+                keys, rows = table.keys(), table.scan()
         except NoSuchTable as error:
             raise ExecutionError(f"table not found: {namespace}.{name}") from error
         own = scoped(self.spark)  # names that differ in case only, without touching the caller's session

@@ -35,6 +35,13 @@ def stored_columns(attributes: DataFrame) -> DataFrame:
     return rows.select("attrelid", F.col("k.attname").alias("columns"))
 
 
+def column_list(columns: DataFrame, schema: str, table: str) -> DataFrame:
+    """(column, type) of one table in its own order, from columns(schema, table, column, ordinal, type); those that the
+    source generates are among them."""
+    own = columns.where((F.col("schema") == schema) & (F.col("table") == table))
+    return own.orderBy("ordinal").select("column", "type")
+
+
 def tables(classes: DataFrame) -> DataFrame:
     """Ordinary tables outside the system's schemas, in order."""
     own = classes.where((F.col("relkind") == "r") & ~F.col("schema").isin(*SYSTEM) & ~F.col("schema").startswith("pg_toast"))
