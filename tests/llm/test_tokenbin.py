@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
 
-from tidewell.llm import tokenbin
+from tidewell.llm import tokenbin, workspace
 from tidewell.llm.workspace import documents
 
 PATH = P.path("byte_bpe_50k.json")
@@ -94,3 +95,31 @@ def test_long_run_and_small_memory(monkeypatch):
     enc, run = tokenbin.Encoder(PATH), "aB3" * 100_000
     for texts in ([run, "some words"], ["more words here " * 20], ["some words", run[:-1]]):
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.block(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}},
+        {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}]}},
+        {"normalizer": {"type": "Lowercase"}},
+        {"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}},
+        {"added_tokens": [{"id": 7, "content": "see", "single_word": False, "lstrip": True, "rstrip": False, "normalized": False, "special": True}]},
+        {"added_tokens": []},
+    ],
+)
+def test_files_with_other_rules(tmp_path, change):
+    with open(PATH, encoding="utf-8") as f:
+        rules = json.load(f)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(rules | change))
+    library = tokenizers.Tokenizer.from_file(str(path))
+    texts = ["a,b", "(see)", " see it", "Some MORE words 12345", "", "a <|endoftext|> b", "é ñ", "\n\n  x"]
+    got = tokenbin.Encoder(str(path)).block(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "one two")], "`k.1` long, `the ``text` string")
+    assert [(r.k, r.n) for r in tokenbin.write_files(df, workspace.Workspace(spark, "dots").local_path("files"), PATH, "k.1", "the `text").selectExpr("documents AS k", "ids AS n").collect()] == [(1, 3)]

@@ -21,6 +21,7 @@ level uint64 codes, the chunks, the bitmap (least bit first, padded to 64 bytes)
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -35,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.naming import quoted
 from tidewell.llm.workspace import Workspace
 
 MAGIC = b"DAC1"
@@ -47,7 +49,6 @@ SPAN = 512
 REMEMBERED, REMEMBERED_BYTES = 1_500_000, 1 << 26
 #: The split below and the library's agree on all characters whose first UTF-8 byte is smaller.
 AGREED, FIRST_UNSURE = 0xD5, 0x540
-SPECIAL = "<|"
 
 
 def write_codes(ids: np.ndarray) -> bytes:
@@ -186,8 +187,9 @@ class Encoder:
 
     Ids of a text are those of its pieces, one after the other. So the texts of a block are cut into
     pieces in numpy; each distinct piece is encoded by the library once and remembered, by its bytes.
-    Texts with special tokens, or with scripts that the two splits might see differently, are given to
-    the library whole.
+    Texts with one of the file's added tokens, or with scripts that the two splits might see differently, are
+    given to the library whole; so are all texts where the file's rules are other than the byte-level split of
+    unchanged text (a normalizer, a prefix space, another split, truncation, padding).
     """
 
     def __init__(self, path: str) -> None:
@@ -195,6 +197,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        split, model = rules.get("pre_tokenizer") or {}, rules["model"]
+        unchanged = not any(rules.get(k) for k in ("normalizer", "truncation", "padding"))
+        by_bytes = split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
+        self.by_piece = unchanged and by_bytes and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        self.added = [t["content"] for t in rules.get("added_tokens") or [] if t["content"]]
         self.kind = _classes()
         self._clear()
 
@@ -259,10 +268,12 @@ class Encoder:
 
     def block(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        if not self.by_piece:
+            return self._whole(texts)
         plain = []
         for text in texts:
             raw = np.frombuffer(text.encode(), np.uint8)
-            plain.append(SPECIAL not in text and (not len(raw) or raw.max() < AGREED))
+            plain.append(not any(t in text for t in self.added) and (not len(raw) or raw.max() < AGREED))
         cut = iter(self._cut([t for t, p in zip(texts, plain) if p]))
         whole = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
         return [next(cut if p else whole) for p in plain]
@@ -287,7 +298,7 @@ def write_files(df: DataFrame, folder: str, path: str, key: str = "doc_id", text
     counts as empty; null keys come first; rows of one key follow each other, by a hash of the text.
     The manifest must be stored once: running it again writes the files again.
     """
-    ordered = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    ordered = df.select(F.col(quoted(key)).cast("long").alias("k"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("t"))
     # the bounds of the ranges come from a sample at the driver, so the texts themselves are no key
     ordered = ordered.withColumn("tie", F.xxhash64("t")).repartitionByRange("k", "tie")
     ordered = ordered.sortWithinPartitions(F.col("k").asc_nulls_first(), "tie").select("k", "t")
