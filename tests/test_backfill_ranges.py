@@ -42,6 +42,34 @@ def test_ranges_are_even_apart_and_whole(spark, table):
     assert backfill.fill(table, SOURCE, rows, ["a", "b"]) == {"state": "done"} and table.scan().count() == 500
 
 
+def test_large_ranges_are_parted(spark, table, monkeypatch):
+    """What one task sorts and writes does not grow with the range that was asked for."""
+    monkeypatch.setattr(backfill, "RANGE", 50)
+    rows, data = rows_of(spark)
+    assert backfill.fill(table, SOURCE, rows, ["a", "b"], size=250) == {"state": "done"}
+    assert landed(table) == sorted(data) and [f.rows for f in table.files()] == [50] * 10
+
+
+def test_bounds_of_files_without_sorting_the_rows(spark, table, monkeypatch):
+    kind = type(table.scan())
+    plans, own = [], kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), own(df))[1])
+    rows, data = rows_of(spark)
+    backfill.fill(table, SOURCE, rows, ["a", "b"], size=250)
+    bounds = [p for p in plans if "file_name" in p]
+    assert bounds and not any("SortAggregate" in p for p in bounds)
+    assert sum(f.rows for f in table.files()) == len(data)
+
+
+def test_ranges_as_compared_one_by_one(spark):
+    data = [(a, b) for a in (None, 1, 2, 3, 4) for b in (None, "", "k", "l", "m\u00e9")]
+    rows, bounds = spark.createDataFrame(data, "`a.0` int, b string"), [["1", "k"], ["2", ""], ["2", "l"], ["3", "k"], ["3", "m"]]
+    for n in range(len(bounds) + 1):
+        for r in rows.withColumn("n", backfill.range_of(rows, ["a.0", "b"], bounds[:n])).collect():
+            behind = [r[0] is not None and (r[0] > int(x) or (r[0] == int(x) and r[1] is not None and r[1] > y)) for x, y in bounds[:n]]
+            assert r.n == sum(behind)
+
+
 def test_goes_on_behind_the_last_wave(spark, table, monkeypatch):
     rows, data = rows_of(spark)
     calls = []

@@ -115,16 +115,16 @@ def _behind(rows: DataFrame, keys: list[str], cut: list[str]) -> Column:
 
 
 def range_of(rows: DataFrame, keys: list[str], bounds: list[list[str]]) -> Column:
-    """Which range a row is in, from 0: it holds the keys behind the cut before it up to its own. A tree of comparisons
-    that each halve the cuts; a key with nulls is left of a cut it cannot be compared with."""
-
-    def among(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(_behind(rows, keys, bounds[middle]), among(middle + 1, high)).otherwise(among(low, middle))
-
-    return among(0, len(bounds))
+    """Which range a row is in, from 0: it holds the keys behind the cut before it up to its own. A binary search in a
+    constant array, as a tree of comparisons makes a method too long to be compiled; a key with nulls is left of a cut
+    it cannot be compared with."""
+    if not bounds:
+        return F.lit(0)
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    known = F.array(*[F.struct(*[F.lit(v).cast(kinds[k]).alias(f"k{n}") for n, (k, v) in enumerate(zip(keys, cut, strict=True))]) for cut in bounds])
+    own = F.struct(*[F.col(quoted(k)).alias(f"k{n}") for n, k in enumerate(keys)])  # nulls are least in a struct's order
+    strides = F.array(*[F.lit(1 << j) for j in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(strides, F.lit(0), lambda low, s: F.when(F.get(known, low + s - 1) < own, low + s).otherwise(low))
 
 
 def wave(rows: DataFrame, keys: list[str], bounds: list[list[str]], first: int, last: int) -> DataFrame:
@@ -139,13 +139,17 @@ def wave(rows: DataFrame, keys: list[str], bounds: list[list[str]], first: int,
         part = part.where(~_behind(rows, keys, bounds[last - 1]) | _any_null(keys))
     own = bounds[max(0, first - 1) : last]  # the cuts around these ranges, and no others, are compared
     part = part.withColumn("__range", range_of(rows, keys, own) + F.lit(max(0, first - 1) - first))
-    part = part.where(F.col("__range").between(0, last - first - 1))
+    if first > 0 or last <= len(bounds):  # others than keys with nulls were chosen by the outer cuts
+        part = part.where(~_any_null(keys) | F.col("__range").between(0, last - first - 1))
     return part.repartitionById(last - first, F.col("__range").cast("int")).sortWithinPartitions("__range", *[F.col(quoted(k)) for k in keys]).drop("__range")
 
 
 def fill(table: Table, source_id: str, rows: DataFrame, keys: list[str], size: int = RANGE, at_once: int = WAVE, now_us: int = 0, stop: Callable[[], bool] = lambda: False) -> dict:
     """Fills a table from ranges of about ``size`` rows, ``at_once`` in a job and a commit; a failed call may be made again.
 
+    A range is sorted and written by one task, so it has about RANGE rows at most, whatever ``size`` is: larger tables have
+    more ranges, not larger tasks. Only rows of one key are never parted.
+
     Defined cases: no key: skipped. No rows: done. Repeated keys are in one range and all land. A key with nulls lands in
     the range left of what it cannot be compared with. A backfill begun in pages goes on in pages (``run``).
     """
@@ -153,7 +157,7 @@ def fill(table: Table, source_id: str, rows: DataFrame, keys: list[str], size: i
     if state is None:
         if keys:
             count = rows.count()
-            state = {"state": "ranges", "cuts": cuts(rows, keys, math.ceil(count / size)), "next": 0}
+            state = {"state": "ranges", "cuts": cuts(rows, keys, math.ceil(count / min(size, RANGE))), "next": 0}
         else:
             state = {"state": "skipped", "reason": "no key"}
         _advance(table, None, source_id, None, state)
