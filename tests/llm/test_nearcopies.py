@@ -79,6 +79,27 @@ def test_chain_over_blocks(spark, monkeypatch):
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == want
 
 
+def test_links_of_a_block_are_stars():
+    """What a block joins is a chain of texts here; its classes are told their root at once, without rounds over the links."""
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[k * 6 : k * 6 + 80]).encode() for k in range(9)]
+    sets = nearcopies.exact_sets(texts, nearcopies.SHINGLE)
+    signatures = np.stack([nearcopies.signature(s).astype("<u2") for s in nearcopies.shingle_sets(texts, nearcopies.SHINGLE)])
+    assert sorted(nearcopies._links(list(range(20, 29)), [[1]] * 9, None, signatures, sets)) == [(k, 20) for k in range(21, 29)]
+
+
+@pytest.mark.parametrize("block, most", [(1024, 1), (3, 3)])
+def test_rounds_over_links(spark, monkeypatch, block, most):
+    """Rounds for the coarse components, and only where these have several blocks for what the blocks leave apart."""
+    names, whole = [], nearcopies.components
+    monkeypatch.setattr(nearcopies, "components", lambda links, ws, name: (names.append(name), whole(links, ws, name))[1])
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[k * 6 : k * 6 + 80])) for k in range(40)]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert names[0] == "coarse" and len(names) <= most
+
+
 def test_group_of_thousands(spark):
     rng = random.Random(5)
     base = [f"v{rng.randrange(10**6)}" for _ in range(120)]

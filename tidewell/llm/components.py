@@ -1,6 +1,6 @@
 """Connected components of links by large-star and small-star rounds, on DataFrames only.
 
-Each round is two joins and two aggregations over the links; the links of a round are written to the
+Each round is two joins and three aggregations over the links; the links of a round are written to the
 shared folder, so rounds neither lengthen the lineage nor depend on one executor. A node with very
 many links is split by the skew handling of sort-merge joins, and its minimum is taken before the
 shuffle. Nothing is gathered at the driver but whether a round is the last.
@@ -15,18 +15,18 @@ from tidewell.llm.workspace import Workspace
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the least of its neighbours and itself."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """Every larger neighbour of a node is linked to the least of its neighbours and itself: a > b, some more than once."""
+    # both ways from one reading of the links
+    both = links.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    """Every node and its smaller neighbours are linked to the least of them."""
-    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+def _small_star(down: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours are linked to the least of them; down: links with a > b."""
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    moved = down.join(least, "a").select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
+    return moved.where("a <> b").distinct()
 
 
 def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -40,8 +40,9 @@ def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
         now = ws.put(_small_star(_large_star(now)), f"{name}-{k}")
         ws.drop(f"{name}-{k - 1}")
         # done once every node is linked to one other, and that to none
-        state = now.groupBy("a").agg(F.count("*").alias("n")).join(now.select(F.col("b").alias("a")).distinct().withColumn("above", F.lit(1)), "a", "left")
-        if state.where("n > 1 or above = 1").isEmpty():
+        down, up = (F.struct(F.col(c).alias("node"), F.lit(x).alias("down"), F.lit(1 - x).alias("up")) for c, x in (("a", 1), ("b", 0)))
+        ends = now.select(F.inline(F.array(down, up))).groupBy("node").agg((F.sum("down") + F.max("up")).alias("n"))
+        if ends.where("n > 1").isEmpty():
             break
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

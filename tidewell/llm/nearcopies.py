@@ -148,13 +148,13 @@ def _named(key: Column, text: Column) -> list[Column]:
     return [F.xxhash64(key, text).alias("h1"), F.xxhash64(text, key, F.lit(1)).alias("h2")]
 
 
-def _links(nodes: list[int], roots: list[int], met: list[list[int]], sides: list[int] | None, signatures: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join what is connected among one block's classes, and no more. ``sides``: only pairs across them count."""
+def _links(roots: list[int], met: list[list[int]], sides: list[int] | None, signatures: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(root, least root) of the roots that links among one block's classes join to a lesser one. ``sides``: only pairs across them count."""
     by: dict[int, list[int]] = {}
     for k, own in enumerate(met):
         for g in own:
             by.setdefault(g, []).append(k)
-    shared = np.zeros((len(nodes), len(nodes)), bool)
+    shared = np.zeros((len(roots), len(roots)), bool)
     for members in {tuple(m) for m in by.values() if len(m) > 1}:
         shared[np.ix_(members, members)] = True
     sizes, root = np.array([len(s) for s in sets]), np.array(roots)
@@ -170,17 +170,16 @@ def _links(nodes: list[int], roots: list[int], met: list[list[int]], sides: list
             r = above[r]
         return r
 
-    out = []
     for i, j in zip(*(x.tolist() for x in survivors(signatures, *np.nonzero(np.triu(shared, 1)))), strict=True):
         ri, rj = find(roots[i]), find(roots[j])
         if ri != rj and linked(sets[i], sets[j]):
             above[max(ri, rj)] = min(ri, rj)
-            out.append((nodes[i], nodes[j]))
-    return out
+    # stars, not chains: fewer rounds, or none, join them over the blocks
+    return [(r, find(r)) for r in above]
 
 
 def _compared(rows: pa.Table) -> pa.Table:
-    """Classes of blocks (of one component, or of several small ones) to links (a, b)."""
+    """Classes of blocks (of one component, or of several small ones) to (a, b): roots and the least that their block joins them to."""
     order = rows.column("node").to_numpy().argsort(kind="stable")
     rows = rows.take(pa.array(order))
     nodes, roots, coarse, sides, met, values, texts = (rows.column(c).to_pylist() for c in ("node", "root", "coarse", "side", "met", "values", "text"))
@@ -196,12 +195,12 @@ def _compared(rows: pa.Table) -> pa.Table:
             pick = lambda x: [x[k] for k in own]  # noqa: E731, B023
             signatures = np.stack([np.frombuffer(values[k], "<u2") for k in own])
             sets = exact_sets([t.encode() for t in pick(texts)], SHINGLE)
-            out += _links(pick(nodes), pick(roots), pick(met), pick(sides) if sides[own[0]] is not None else None, signatures, sets)
+            out += _links(pick(roots), pick(met), pick(sides) if sides[own[0]] is not None else None, signatures, sets)
     return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("ab")})
 
 
 def links(texts: DataFrame, placed: DataFrame, *key: Column) -> DataFrame:
-    """Links (a, b) of the classes in ``placed`` that meet under a key; texts: (h1, h2, text)."""
+    """Links (a, b) of the roots of the classes in ``placed`` that meet under a key; texts: (h1, h2, text)."""
     shown = ["node", "root", "coarse", "side", "met", "values", "text"]
     met = maybe(texts, placed, "h1").where("likely").drop("likely").join(placed, ["h1", "h2"])
     return met.select(*[k.alias(f"k{n}") for n, k in enumerate(key)], *shown).groupBy(*[f"k{n}" for n in range(len(key))]).applyInArrow(_compared, "a long, b long")
@@ -231,8 +230,9 @@ def class_components(df: DataFrame, ws: Workspace, key: str = "doc_id", text: st
     deal = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).cast("int")
     calls = max(64, 4 * placed.count() // BLOCK)  # small components share a call, of some hundreds of classes
     home = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("coarse"), F.lit(calls))).otherwise(F.col("coarse"))
-    found = ws.put(links(texts, placed, home, F.when(F.col("blocks") > 1, deal(0)).otherwise(-1)), "links-0")
-    roots = ws.put(components(found, ws, "first"), "roots-0")
+    # a class is in one block only, so what its block joins it to is its root
+    found = links(texts, placed, home, F.when(F.col("blocks") > 1, deal(0)).otherwise(-1))
+    roots = ws.put(found.select(F.col("a").alias("node"), F.col("b").alias("root")), "roots-0")
     for turn in (1, 2):
         # components of several blocks that are not joined: dealt anew, then each block against each other
         now = placed.where("blocks > 1").drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -245,8 +245,10 @@ def class_components(df: DataFrame, ws: Workspace, key: str = "doc_id", text: st
         else:
             left = left.withColumn("side", deal(0)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> side")
             more = links(texts, left, F.col("coarse"), F.least("side", "other"), F.greatest("side", "other"))
-        found = ws.put(found.unionByName(more), f"links-{turn}")
-        roots = ws.put(components(found, ws, f"turn-{turn}"), f"roots-{turn}")
+        # links of roots: those of classes in other components stay as they are
+        more = components(more, ws, f"turn-{turn}").select(F.col("node").alias("above"), F.col("root").alias("to"))
+        every = roots.unionByName(left.select("node", "root")).distinct()
+        roots = ws.put(every.join(more, F.col("root") == F.col("above"), "left").select("node", F.coalesce("to", "root").alias("root")), f"roots-{turn}")
     return sets.select("id", "size", "class"), classes, roots
 
 
