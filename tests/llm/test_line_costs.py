@@ -1,3 +1,5 @@
+import random
+
 from tidewell.llm import lines
 
 TEXTS = ["please read the terms of use of this site\nanother line", "please read the terms of use of this site", " \n\x0b\n\t\x0c\r", "ä 😀 " * 9, None, ""]
@@ -26,3 +28,27 @@ def test_texts_are_split_after_the_join(spark):
 def test_lines_are_counted_in_what_is_left(spark):
     got = {r.doc_id: (r.n_lines, r.n_removed_lines) for r in lines.digest(docs(spark)).collect()}
     assert got == {0: (2, 0), 1: (1, 1), 2: (0, 0), 3: (1, 0), 4: (0, 0), 5: (0, 0)}
+
+
+def test_parts_have_no_pairs_that_are_joined_already(spark, monkeypatch):
+    """Pairs of one component are left out before their signatures are read."""
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base = some(60)
+    alike = [base + some(40) for _ in range(60)]
+    texts = [f"{x}\n{x}ij\n{x}kl" for x in alike]
+    put, tables = lines.Workspace.put, {}
+
+    def kept(ws, df, name):
+        out = put(ws, df, name)
+        if name in ("roots-0", "parts", "star-1"):
+            tables[name] = [tuple(r) for r in out.select(*{"roots-0": ["node", "root"], "parts": ["key", "h"], "star-1": ["a", "b"]}[name]).collect()]
+        return out
+
+    monkeypatch.setattr(lines.Workspace, "put", kept)
+    lines.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    root, groups = dict(tables["roots-0"]), {}
+    for key, h in tables["parts"]:
+        groups.setdefault(key, set()).add(root.get(h, h))
+    assert groups and all(len(x) > 1 for x in groups.values())
+    assert all(root.get(a, a) != root.get(b, b) for a, b in tables["star-1"])

@@ -140,34 +140,40 @@ def _company(members: DataFrame) -> DataFrame:
 
 
 def _star(members: DataFrame, company: DataFrame, packed: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """(a, b): every member (key, h, width, n) of a group and its pivot b, once each, if their signatures agree."""
+    """(a, b): every member (key, h, width, n) of a group and its pivot b, once each, if their signatures agree.
+
+    Members with a root are not paired with a pivot of the same.
+    """
     # copies are more alike the line with most company than one another; of equals the least hash.
     # The order is of lines, not of groups: no two lines are pivots of each other
     order = F.col("company").cast("decimal(18,0)") * F.lit(Decimal(2**64)) - F.col("h")
-    first = members.join(company, "h").groupBy("key").agg(F.max_by("h", order).alias("b"))
-    star = members.select("key", F.col("h").alias("a"), "width").join(first, "key").where("a <> b").select("a", "b", "width").distinct()
+    rooted = "root" in members.columns
+    pivot = [F.max_by("h", order).alias("b"), *[F.max_by("root", order).alias("rb")] * rooted]
+    first = members.join(company, "h").groupBy("key").agg(*pivot)
+    star = members.withColumnRenamed("h", "a").join(first, "key").where("a <> b")
+    star = (star.where("root <> rb") if rooted else star).select("a", "b", "width").distinct()
     one, two = (packed.select(F.col("h").alias(x), "width", *[F.col(f"p{n}").alias(f"{x}{n}") for n in range(HASHES // 2)]) for x in "ab")
     unlike = [F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}")) for n in range(HASHES // 2)]
     agreed = sum(((half == 0).cast("int") for x in unlike for half in (F.shiftrightunsigned(x, 32), F.shiftleft(x, 32))), F.lit(0))
     return ws.put(star.join(one, ["a", "width"]).join(two, ["b", "width"]).where(agreed >= AGREED).select("a", "b").distinct(), name)
 
 
-def _open(members: DataFrame, roots: DataFrame, least: int) -> DataFrame:
-    """Members of groups of at least so many lines that are not in one component."""
-    placed = members.where(F.col("n") >= least).join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (and their roots) of groups of three lines or more that are not in one component."""
+    placed = members.where("n > 2").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     apart = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    return placed.join(apart, "key").select(members.columns)
+    return placed.join(apart, "key").select(*members.columns, "root")
 
 
 def _finer(members: DataFrame, packed: DataFrame) -> DataFrame:
-    """Members (key, h, width, n) of the groups' parts: those that agree in one more hash, for each of FURTHER."""
+    """Members (key, h, width, root, n) of the groups' parts that are not in one component: lines that agree in one more hash, for each of FURTHER."""
     halves = (half for n in range(HASHES // 2) for half in (F.shiftrightunsigned(f"p{n}", 32), F.col(f"p{n}").bitwiseAND(F.lit(2**32 - 1))))
     hashes = F.array(*halves).alias("hashes")
     others = F.get(F.array(*[F.array(*map(F.lit, x)) for x in FURTHER]), F.col("band"))
-    every = members.join(packed, ["h", "width"]).select("key", "h", "width", hashes, F.explode(others).alias("other"))
-    split = every.select("h", "width", F.xxhash64("key", "other", F.get("hashes", F.col("other"))).alias("key"))
-    many = split.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return split.join(many, "key")
+    every = members.join(packed, ["h", "width"]).select("key", "h", "width", "root", hashes, F.explode(others).alias("other"))
+    split = every.select("h", "width", "root", F.xxhash64("key", "other", F.get("hashes", F.col("other"))).alias("key"))
+    apart = split.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    return split.join(apart.select("key", "n"), "key")
 
 
 def line_roots(docs: DataFrame, signatures: DataFrame, ws: Workspace, length: int) -> DataFrame:
@@ -188,16 +194,14 @@ def line_roots(docs: DataFrame, signatures: DataFrame, ws: Workspace, length: in
     roots = ws.put(components(links, ws, "first"), "roots-0")
 
     # what is apart from others of its group meets the pivots of the group's parts
-    open_ = ws.put(_open(members, roots, 3), "open")
+    open_ = ws.put(_open(members, roots), "open")
     ws.drop("members")
-    parts = ws.put(_open(ws.put(_finer(open_, packed), "parts"), roots, 2), "open-parts")
+    parts = ws.put(_finer(open_, packed), "parts")
     again = _star(parts, _company(parts), packed, ws, "star-1")
     # the company within the parts may turn a pair round
     again = again.join(star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    for x in "ab":
-        again = again.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
-    more = ws.put(_verified(again.where("ra <> rb").select("a", "b"), texts, length), "links-1")
-    ws.drop("company", "open", "parts", "open-parts", "star", "star-1")
+    more = ws.put(_verified(again, texts, length), "links-1")
+    ws.drop("company", "open", "parts", "star", "star-1")
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return ws.put(components(known.unionByName(more), ws, "second"), "roots-1")
 
