@@ -52,3 +52,27 @@ def test_parts_have_no_pairs_that_are_joined_already(spark, monkeypatch):
         groups.setdefault(key, set()).add(root.get(h, h))
     assert groups and all(len(x) > 1 for x in groups.values())
     assert all(root.get(a, a) != root.get(b, b) for a, b in tables["star-1"])
+
+
+def test_only_texts_of_pairs_are_sent(spark, monkeypatch):
+    rng = random.Random(5)
+    some = ["".join(rng.choice("abcdé ") for _ in range(30)) for _ in range(400)]
+    some += [some[0] + "f", some[0].replace("é", "e") + "f"]
+    texts = spark.createDataFrame(list(enumerate(some)), "h long, line string")
+    want = {(0, b) for b in (1, 400, 401) if (lambda x, y: len(x & y) * 100 >= 75 * len(x | y))(*({some[i][k : k + 5] for k in range(len(some[i]) - 4)} for i in (0, b)))}
+    met, sent = lines._met, []
+
+    def counted(rows, table, on, how="inner"):
+        sent.append(table.count())
+        return met(rows, table, on, how)
+
+    monkeypatch.setattr(lines, "_met", counted)
+    got = lines._verified(spark.createDataFrame([(0, 1), (0, 400), (0, 401)], "a long, b long"), texts, 5).collect()
+    assert {tuple(r) for r in got} == want and (0, 400) in want and (0, 1) not in want
+    assert len(sent) == 2 and max(sent) < 40
+
+
+def test_ranks_are_by_company_and_then_by_the_least_hash(spark):
+    rows = [(5, 2), (5, 3), (-7, 5), (9, 4), (2**63 - 1, 2**40), (-(2**63), 1)]
+    rank = {r.h: r["rank"] for r in lines._company(spark.createDataFrame(rows, "h long, n long")).collect()}
+    assert sorted(rank, key=rank.get) == [-(2**63), 9, 5, -7, 2**63 - 1]

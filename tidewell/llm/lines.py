@@ -26,8 +26,6 @@ along. An empty table gives an empty one.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,27 +114,44 @@ def _fenced(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def _shingles(line: Column, length: int) -> Column:
-    """Hashes of a line's shingles, equal ones as often as they come: in pieces, so that a long line costs no more a character.
+def _met(rows: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a table that has one row a key: its part of a partition is hashed, and neither side is sorted."""
+    return rows.join(table.hint("shuffle_hash"), on, how)
+
+
+def _shingles(raw: Column, unit: Column, length: int) -> Column:
+    """Hashes of a line's shingles, equal ones as often as they come. raw: its bytes, ``unit`` of them a character.
 
-    Characters of a piece become four bytes each, as a shingle is a slice then.
+    A shingle is a slice then. In a lambda of its own the line is not copied for each of them, so a long line costs no more a character.
     """
-    pieces = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{length},{length + 31}}})).{{1,32}}"), F.lit(1))
-    starts = lambda p: F.sequence(F.lit(1), F.octet_length(p) - (4 * length - 1), F.lit(4))
-    wide = F.transform(pieces, lambda p: F.encode(p, "UTF-32"))
-    return F.flatten(F.transform(wide, lambda p: F.transform(starts(p), lambda i: F.xxhash64(F.substr(p, i, F.lit(4 * length))))))
+    starts = lambda p: F.sequence(F.lit(1), F.octet_length(p) - (unit * length - 1), unit)
+    return F.get(F.transform(F.array(raw), lambda p: F.transform(starts(p), lambda i: F.xxhash64(F.substr(p, i, unit * length)))), F.lit(0))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """Pairs (a, b) that are similar."""
+    """Pairs (a, b: a table) that are similar."""
+    # most lines with company have no pair: their texts are not sent
+    texts = maybe(texts, pairs.select(F.explode(F.array("a", "b")).alias("h")), "h").where("likely")
     one, two = (texts.select(F.col("h").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
-    both = _fenced(pairs.join(one, "a").join(two, "b"), ["a", "b"], **{f"s{x}": _shingles(F.col(f"l{x}"), length) for x in "ab"})
+    both = _met(_met(pairs, one, "a"), two, "b")
+    # a byte is a character if neither line has others
+    plain = (F.octet_length("la") == F.length("la")) & (F.octet_length("lb") == F.length("lb"))
+    both = both.select("a", "b", "la", "lb", plain.alias("plain"))
+    raw = {f"r{x}": F.when(F.col("plain"), F.col(f"l{x}").cast("binary")).otherwise(F.encode(f"l{x}", "UTF-32")) for x in "ab"}
+    both = _fenced(both, ["a", "b"], unit=F.when(F.col("plain"), F.lit(1)).otherwise(F.lit(4)), **raw)
+    both = both.where(F.least(F.octet_length("ra"), F.octet_length("rb")) >= F.col("unit") * length)
+    both = _fenced(both, ["a", "b"], **{f"s{x}": _shingles(F.col(f"r{x}"), F.col("unit"), length) for x in "ab"})
     met = _fenced(both, ["a", "b"], shared=F.size(F.array_intersect("sa", "sb")), either=F.size(F.array_union("sa", "sb")))
     return met.where((F.col("shared") > 0) & (SHARE[1] * F.col("shared") >= SHARE[0] * F.col("either"))).select("a", "b")
 
 
 def _company(members: DataFrame) -> DataFrame:
-    return members.groupBy("h").agg(F.sum("n").alias("company"))
+    """(h, rank): lines that have more company in their groups have a higher rank, of equals those of a lesser hash.
+
+    A long, as decimals are slow to compare: 23 bits of the company and 40 of the hash.
+    """
+    few = F.least(F.sum("n"), F.lit(2**23 - 1))
+    return members.groupBy("h").agg(few.alias("few")).select("h", F.shiftleft("few", 40).bitwiseOR(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(2**63 - 1)), 24)).alias("rank"))
 
 
 def _star(members: DataFrame, company: DataFrame, packed: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -144,25 +159,24 @@ def _star(members: DataFrame, company: DataFrame, packed: DataFrame, ws: Workspa
 
     Members with a root are not paired with a pivot of the same.
     """
-    # copies are more alike the line with most company than one another; of equals the least hash.
+    # copies are more alike the line with most company than one another.
     # The order is of lines, not of groups: no two lines are pivots of each other
-    order = F.col("company").cast("decimal(18,0)") * F.lit(Decimal(2**64)) - F.col("h")
     rooted = "root" in members.columns
-    pivot = [F.max_by("h", order).alias("b"), *[F.max_by("root", order).alias("rb")] * rooted]
-    first = members.join(company, "h").groupBy("key").agg(*pivot)
-    star = members.withColumnRenamed("h", "a").join(first, "key").where("a <> b")
+    pivot = [F.max_by("h", "rank").alias("b"), *[F.max_by("root", "rank").alias("rb")] * rooted]
+    first = _met(members, company, "h").groupBy("key").agg(*pivot)
+    star = _met(members.withColumnRenamed("h", "a"), first, "key").where("a <> b")
     star = (star.where("root <> rb") if rooted else star).select("a", "b", "width").distinct()
     one, two = (packed.select(F.col("h").alias(x), "width", *[F.col(f"p{n}").alias(f"{x}{n}") for n in range(HASHES // 2)]) for x in "ab")
     unlike = [F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}")) for n in range(HASHES // 2)]
     agreed = sum(((half == 0).cast("int") for x in unlike for half in (F.shiftrightunsigned(x, 32), F.shiftleft(x, 32))), F.lit(0))
-    return ws.put(star.join(one, ["a", "width"]).join(two, ["b", "width"]).where(agreed >= AGREED).select("a", "b").distinct(), name)
+    return ws.put(_met(_met(star, one, ["a", "width"]), two, ["b", "width"]).where(agreed >= AGREED).select("a", "b").distinct(), name)
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members (and their roots) of groups of three lines or more that are not in one component."""
-    placed = members.where("n > 2").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    placed = _met(members.where("n > 2"), roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     apart = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    return placed.join(apart, "key").select(*members.columns, "root")
+    return _met(placed, apart, "key").select(*members.columns, "root")
 
 
 def _finer(members: DataFrame, packed: DataFrame) -> DataFrame:
@@ -170,20 +184,20 @@ def _finer(members: DataFrame, packed: DataFrame) -> DataFrame:
     halves = (half for n in range(HASHES // 2) for half in (F.shiftrightunsigned(f"p{n}", 32), F.col(f"p{n}").bitwiseAND(F.lit(2**32 - 1))))
     hashes = F.array(*halves).alias("hashes")
     others = F.get(F.array(*[F.array(*map(F.lit, x)) for x in FURTHER]), F.col("band"))
-    every = members.join(packed, ["h", "width"]).select("key", "h", "width", "root", hashes, F.explode(others).alias("other"))
+    every = _met(members, packed, ["h", "width"]).select("key", "h", "width", "root", hashes, F.explode(others).alias("other"))
     split = every.select("h", "width", "root", F.xxhash64("key", "other", F.get("hashes", F.col("other"))).alias("key"))
     apart = split.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    return split.join(apart.select("key", "n"), "key")
+    return _met(split, apart.select("key", "n"), "key")
 
 
 def line_roots(docs: DataFrame, signatures: DataFrame, ws: Workspace, length: int) -> DataFrame:
     """(node, root) of lines that have a similar other one."""
     banded = signatures.select("h", "width", F.posexplode(_bands()).alias("band", "key"))
     groups = ws.put(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "groups")
-    members = ws.put(maybe(banded, groups, "key").where("likely").drop("likely").join(groups, "key"), "members")
+    members = ws.put(_met(maybe(banded, groups, "key").where("likely").drop("likely"), groups, "key"), "members")
     ws.drop("groups")
     company = ws.put(_company(members), "company")
-    candidates = maybe(signatures.drop("n"), company, "h").where("likely").drop("likely").join(company, "h", "left_semi")
+    candidates = _met(maybe(signatures.drop("n"), company, "h").where("likely").drop("likely"), company, "h", "left_semi")
     packed = ws.put(_packed(candidates), "candidates")
     star = _star(members, company, packed, ws, "star")
     again = maybe(_lines(docs).select("h", _spot().alias("spot"), "line"), packed, "spot").where("likely").drop("likely")
@@ -199,9 +213,9 @@ def line_roots(docs: DataFrame, signatures: DataFrame, ws: Workspace, length: in
     parts = ws.put(_finer(open_, packed), "parts")
     again = _star(parts, _company(parts), packed, ws, "star-1")
     # the company within the parts may turn a pair round
-    again = again.join(star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    more = ws.put(_verified(again, texts, length), "links-1")
-    ws.drop("company", "open", "parts", "star", "star-1")
+    again = _met(again, star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    more = ws.put(_verified(ws.put(again, "star-2"), texts, length), "links-1")
+    ws.drop("company", "open", "parts", "star", "star-1", "star-2")
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return ws.put(components(known.unionByName(more), ws, "second"), "roots-1")
 
@@ -212,13 +226,13 @@ def removed_places(docs: DataFrame, ws: Workspace, length: int = LENGTH) -> Data
     ws.tidy()
     roots = line_roots(docs, signatures, ws, length)
     ws.tidy()
-    rooted = signatures.groupBy("h").agg(F.sum("n").alias("n")).join(roots.withColumnRenamed("node", "h"), "h", "left")
+    rooted = _met(signatures.groupBy("h").agg(F.sum("n").alias("n")), roots.withColumnRenamed("node", "h"), "h", "left")
     wanted = ws.put(rooted.where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root")), "wanted")
     occurrences = maybe(_lines(docs).select("doc", "id", "place", "h"), wanted, "h").where("likely").drop("likely")
-    every = ws.put(occurrences.join(wanted, "h").drop("h"), "occurrences")
+    every = ws.put(_met(occurrences, wanted, "h").drop("h"), "occurrences")
     seat = F.struct("id", "doc", "place")
     stay = ws.put(every.groupBy("root").agg(F.min(seat).alias("stays")), "stays")
-    gone = every.join(stay, "root").where(~seat.eqNullSafe(F.col("stays")))
+    gone = _met(every, stay, "root").where(~seat.eqNullSafe(F.col("stays")))
     out = ws.put(gone.groupBy("doc").agg(F.collect_set("place").alias("removed")), "removed")
     ws.drop("signatures", "candidates", "texts", "stays", "wanted", "occurrences")
     ws.tidy()
@@ -239,7 +253,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     rows = maybe(rows, removed, "doc")
     own = named[df.columns.index(text)]
     same = rows.where(~F.col("likely")).select("row", F.col(f"row.{own}").alias("left"), F.lit(0).alias("n"))
-    some = rows.where("likely").join(removed, "doc", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    some = _met(rows.where("likely"), removed, "doc", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     # split after the join: the lines beside the text would be sent, too
     some = _fenced(some, ["row", "removed"], lines=F.split(F.col(f"row.{own}"), "\n", -1))
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
