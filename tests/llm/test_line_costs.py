@@ -76,3 +76,34 @@ def test_ranks_are_by_company_and_then_by_the_least_hash(spark):
     rows = [(5, 2), (5, 3), (-7, 5), (9, 4), (2**63 - 1, 2**40), (-(2**63), 1)]
     rank = {r.h: r["rank"] for r in lines._company(spark.createDataFrame(rows, "h long, n long")).collect()}
     assert sorted(rank, key=rank.get) == [-(2**63), 9, 5, -7, 2**63 - 1]
+
+
+def test_lines_that_come_once_are_not_sent_for_their_root(spark, monkeypatch):
+    rng = random.Random(6)
+    some = ["".join(rng.choice("abcdefghij ") for _ in range(40)) for _ in range(400)]
+    texts = [*some, some[0], some[1] + "k"]
+    met, sent = lines._met, []
+
+    def counted(rows, table, on, how="inner"):
+        if how == "left" and table.columns == ["h", "root"]:
+            sent.append(rows.count())
+        return met(rows, table, on, how)
+
+    monkeypatch.setattr(lines, "_met", counted)
+    out = lines.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in out.where("n_removed_lines > 0").collect()} == {400, 401}
+    assert 3 <= sent[-1] < 60
+
+
+def test_signatures_are_of_every_offset_and_a_piece_is_what_is_copied(spark):
+    rng = random.Random(9)
+    sizes = [1, 4, 5, 6, 15, 16, 24, 25, *(lines.PIECE * k + d for k in (1, 2) for d in range(-2, 16))]
+    every = ["".join(rng.choice("abcé😀") for _ in range(n)) for n in sizes]
+    signed = lines.signed(lines._keyed(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string"), "doc_id", "text"), 5)
+    plan = signed._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.split("\n") if "explode(sequence(begin" in x] and not [x for x in plan.split("\n") if "explode(sequence(begin" in x and "raw" in x]
+    runs = [(x, w, x[i : i + w].encode("utf-32-be")) for x in every for w in (5, 7) if (w == 5 and len(x) <= 24) or (w == 7 and len(x) >= 16) for i in range(max(1, len(x) - w + 1))]
+    table = spark.createDataFrame(runs, "line string, width int, run binary").selectExpr("xxhash64(line) h", "width", "xxhash64(run) x")
+    least = ", ".join(f"min(x ^ {(n + 1) * 0x9E3779B97F4A7C15 % 2**63}) m{n}" for n in range(lines.HASHES))
+    want = {tuple(r) for r in spark.sql(f"select h, width, {least} from {{t}} group by h, width", t=table).collect()}
+    assert {tuple(r) for r in signed.drop("n", "spot").collect()} == want

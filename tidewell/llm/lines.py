@@ -49,6 +49,8 @@ FURTHER = [((i + 1) % 4, (i + 2) % 4, 4 + (j + 1) % 4, 8 + (i + j + 1) % 4) for
 AGREED = 5
 #: Offsets whose hashes are computed together. More do not fit into a method that the JVM compiles.
 STEP = 8
+#: Offsets of a piece: the line is copied for each of its pieces, and only a piece for each STEP offsets.
+PIECE = 16 * STEP
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -83,12 +85,15 @@ def signed(docs: DataFrame, length: int) -> DataFrame:
     """
     short, long = SHORT
     size = F.length("line")
-    widths = F.array_compact(F.array(F.when(size <= long, F.lit(length)), F.when(size >= short, F.lit(max(GRAM, length)))))
+    few, many = F.lit(length), F.lit(max(GRAM, length))
+    widths = F.when(size < short, F.array(few)).when(size > long, F.array(many)).otherwise(F.array(few, many))
     rows = _lines(docs).select("h", _spot().alias("spot"), size.alias("size"), F.encode("line", "UTF-32").alias("raw"), F.explode(widths).alias("width"))
     last = "greatest(0, size - width)"
-    rows = rows.select("h", "spot", "size", "width", "raw", F.explode(F.expr(f"sequence(0, {last}, {STEP})")).alias("at"))
+    rows = rows.select("h", "spot", "size", "width", "raw", F.explode(F.expr(f"sequence(0, {last}, {PIECE})")).alias("begin"))
+    rows = rows.select("h", "spot", "size", "width", "begin", F.expr(f"substring(raw, 4 * begin + 1, 4 * ({PIECE - 1} + width))").alias("piece"))
+    rows = rows.select("h", "spot", "size", "width", "begin", "piece", F.explode(F.expr(f"sequence(begin, least({last}, begin + {PIECE - 1}), {STEP})")).alias("at"))
     here = F.expr(f"if(at = 0 and (width = {length} or size > {long}), 1, 0)").alias("here")
-    rows = rows.select("h", "spot", "width", here, F.expr(f"substring(raw, 4 * at + 1, 4 * ({STEP - 1} + width))").alias("part"), F.expr(f"4 * ({last} - at)").alias("most"), F.expr("4 * width").alias("bytes"))
+    rows = rows.select("h", "spot", "width", here, F.expr(f"substring(piece, 4 * (at - begin) + 1, 4 * ({STEP - 1} + width))").alias("part"), F.expr(f"4 * ({last} - at)").alias("most"), F.expr("4 * width").alias("bytes"))
     # beyond the last offset the last one again: the least stays the same
     hashes = [F.expr(f"xxhash64(substring(part, least({4 * k}, most) + 1, bytes))").alias(f"x{k}") for k in range(STEP)]
     rows = rows.select("h", "spot", "width", "here", *hashes)
@@ -99,8 +104,11 @@ def signed(docs: DataFrame, length: int) -> DataFrame:
     return rows.groupBy("h", "width").agg(F.sum("here").alias("n"), F.min("spot").alias("spot"), *[F.min(f"m{n}").alias(f"m{n}") for n in range(HASHES)])
 
 
-def _bands() -> Column:
-    return F.array(*[F.xxhash64("width", F.lit(n), *[f"m{k}" for k in band]) for n, band in enumerate(BANDS)])
+def _banded(signatures: DataFrame) -> DataFrame:
+    """(h, width, band, key): the bands of each signature."""
+    keys = F.array(*[F.xxhash64("width", F.lit(n), *[f"m{k}" for k in band]) for n, band in enumerate(BANDS)])
+    # a column of its own, as what stands in a generator is not compiled
+    return signatures.select("h", "width", keys.alias("keys")).select("h", "width", F.posexplode("keys").alias("band", "key"))
 
 
 def _packed(signatures: DataFrame) -> DataFrame:
@@ -119,13 +127,13 @@ def _met(rows: DataFrame, table: DataFrame, on: str | list[str], how: str = "inn
     return rows.join(table.hint("shuffle_hash"), on, how)
 
 
-def _shingles(raw: Column, unit: Column, length: int) -> Column:
+def _shingles(raw: Column, unit: int, length: int) -> Column:
     """Hashes of a line's shingles, equal ones as often as they come. raw: its bytes, ``unit`` of them a character.
 
     A shingle is a slice then. In a lambda of its own the line is not copied for each of them, so a long line costs no more a character.
     """
-    starts = lambda p: F.sequence(F.lit(1), F.octet_length(p) - (unit * length - 1), unit)
-    return F.get(F.transform(F.array(raw), lambda p: F.transform(starts(p), lambda i: F.xxhash64(F.substr(p, i, unit * length)))), F.lit(0))
+    starts = lambda p: F.sequence(F.lit(1), F.octet_length(p) - (unit * length - 1), F.lit(unit))
+    return F.get(F.transform(F.array(raw), lambda p: F.transform(starts(p), lambda i: F.xxhash64(F.substr(p, i, F.lit(unit * length))))), F.lit(0))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
@@ -138,10 +146,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     plain = (F.octet_length("la") == F.length("la")) & (F.octet_length("lb") == F.length("lb"))
     both = both.select("a", "b", "la", "lb", plain.alias("plain"))
     raw = {f"r{x}": F.when(F.col("plain"), F.col(f"l{x}").cast("binary")).otherwise(F.encode(f"l{x}", "UTF-32")) for x in "ab"}
-    both = _fenced(both, ["a", "b"], unit=F.when(F.col("plain"), F.lit(1)).otherwise(F.lit(4)), **raw)
-    both = both.where(F.least(F.octet_length("ra"), F.octet_length("rb")) >= F.col("unit") * length)
-    both = _fenced(both, ["a", "b"], **{f"s{x}": _shingles(F.col(f"r{x}"), F.col("unit"), length) for x in "ab"})
-    met = _fenced(both, ["a", "b"], shared=F.size(F.array_intersect("sa", "sb")), either=F.size(F.array_union("sa", "sb")))
+    both = _fenced(both, ["a", "b", "plain"], **raw)
+    both = both.where(F.least(F.octet_length("ra"), F.octet_length("rb")) >= F.when(F.col("plain"), length).otherwise(4 * length))
+    # a width for each kind is a constant in the lambda
+    hashes = {f"s{x}": F.when(F.col("plain"), _shingles(F.col(f"r{x}"), 1, length)).otherwise(_shingles(F.col(f"r{x}"), 4, length)) for x in "ab"}
+    both = _fenced(both, ["a", "b"], **hashes)
+    # sets are compiled in a projection, not in a generator; the union is not larger than without any repetition
+    shared = F.size(F.array_intersect("sa", "sb"))
+    most = F.size("sa") + F.size("sb") - shared
+    either = F.when(SHARE[1] * shared >= SHARE[0] * most, most).otherwise(F.size(F.array_union("sa", "sb")))
+    met = _fenced(both.select("a", "b", shared.alias("shared"), either.alias("either")), ["a", "b"], shared=F.col("shared"), either=F.col("either"))
     return met.where((F.col("shared") > 0) & (SHARE[1] * F.col("shared") >= SHARE[0] * F.col("either"))).select("a", "b")
 
 
@@ -192,7 +206,7 @@ def _finer(members: DataFrame, packed: DataFrame) -> DataFrame:
 
 def line_roots(docs: DataFrame, signatures: DataFrame, ws: Workspace, length: int) -> DataFrame:
     """(node, root) of lines that have a similar other one."""
-    banded = signatures.select("h", "width", F.posexplode(_bands()).alias("band", "key"))
+    banded = _banded(signatures)
     groups = ws.put(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "groups")
     members = ws.put(_met(maybe(banded, groups, "key").where("likely").drop("likely"), groups, "key"), "members")
     ws.drop("groups")
@@ -220,14 +234,20 @@ def line_roots(docs: DataFrame, signatures: DataFrame, ws: Workspace, length: in
     return ws.put(components(known.unionByName(more), ws, "second"), "roots-1")
 
 
+def _wanted(signatures: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h, root) of lines that come twice or are similar to others."""
+    # n is positive in one row of a line; a line that comes once and has no root is not sent
+    some = maybe(signatures.where("n > 0").select("h", "n"), roots, "h").where("n > 1 or likely").drop("likely")
+    return _met(some, roots, "h", "left").where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root"))
+
+
 def removed_places(docs: DataFrame, ws: Workspace, length: int = LENGTH) -> DataFrame:
     """(doc, removed): places of the lines that go, a row for each document that loses any."""
     signatures = ws.put(signed(docs, length), "signatures")
     ws.tidy()
     roots = line_roots(docs, signatures, ws, length)
     ws.tidy()
-    rooted = _met(signatures.groupBy("h").agg(F.sum("n").alias("n")), roots.withColumnRenamed("node", "h"), "h", "left")
-    wanted = ws.put(rooted.where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root")), "wanted")
+    wanted = ws.put(_wanted(signatures, roots.withColumnRenamed("node", "h")), "wanted")
     occurrences = maybe(_lines(docs).select("doc", "id", "place", "h"), wanted, "h").where("likely").drop("likely")
     every = ws.put(_met(occurrences, wanted, "h").drop("h"), "occurrences")
     seat = F.struct("id", "doc", "place")
